@@ -1,0 +1,26 @@
+"""Measured size of a table, as the gate for broadcasting it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+MAX_ROWS = 100_000
+MAX_BYTES = 64 * 1024 * 1024
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
+    """Whether the whole table is proven small.
+
+    The first probe stops reading after ``max_rows + 1`` rows, so it stays cheap on
+    a huge table; only a table below that is measured in bytes.
+    """
+    if not df.select(F.lit(1)).offset(max_rows).isEmpty():
+        return False
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    size = df.select(F.sum(F.octet_length(F.to_json(row)) + 32).alias("n")).first()["n"]
+    return (size or 0) <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Hint a broadcast only for a table measured to be small; else leave the choice to Spark."""
+    return F.broadcast(df) if fits_broadcast(df) else df
