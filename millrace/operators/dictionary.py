@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.operators.order import sort_by
+
 
 def extra_column(name: str) -> Column:
     """An extra column's text, ``''`` when the entry lacks it."""
@@ -49,8 +51,11 @@ def facets(entries: DataFrame, columns: list[str]) -> DataFrame:
     return entries.select(F.inline(F.array(*pairs))).where("value <> ''").distinct()
 
 
+def case_insensitive_keys(by: str = "key", direction: str = "asc") -> list[tuple[Column, str]]:
+    """Sort keys for key, value or an extra column, ignoring case."""
+    text = F.lower(by) if by in ("key", "value") else F.lower(extra_column(by))
+    return [(text, direction)]
+
+
 def sort_case_insensitive(entries: DataFrame, by: str = "key", direction: str = "asc") -> DataFrame:
-    """Entries ordered by key, value or an extra column, ignoring case."""
-    col = F.lower(by) if by in ("key", "value") else F.lower(extra_column(by))
-    tie = [F.col("position")] if "position" in entries.columns else [F.monotonically_increasing_id()]
-    return entries.orderBy(col.desc() if direction == "desc" else col.asc(), *tie)
+    return sort_by(entries, case_insensitive_keys(by, direction))

@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import coerce
-from millrace.operators.order import natural_keys
+from millrace.operators.order import natural_keys, sort_by
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -49,11 +49,7 @@ def column_filters(filters: dict[str, str]) -> Transform:
 def sort_natural(column: str, direction: str = "asc") -> Transform:
     """Sort by a column with numbers inside text compared by value, nulls last both ways."""
 
-    def apply(df: DataFrame) -> DataFrame:
-        keys = natural_keys(df.schema, column, direction)
-        return df.withColumn("__at", F.monotonically_increasing_id()).orderBy(*keys, "__at").drop("__at")
-
-    return apply
+    return lambda df: sort_by(df, natural_keys(df.schema, column, direction))
 
 
 def transpose(

@@ -39,7 +39,9 @@ def _without_partner(kept: DataFrame, other: DataFrame, mine: list[str], theirs:
     return kept.join(keys, test, "left_anti")
 
 
-def join_tables(other: DataFrame, keys: list[dict], how: str = "inner", prefix: str = "right_") -> Transform:
+def join_tables(
+    other: DataFrame, keys: list[dict], how: str = "inner", prefix: str = "right_", hot_keys: bool = True
+) -> Transform:
     """Join on key pairs ``[{left, right}]`` whose names may differ. Null keys never match.
 
     Inner joins are left to Spark, which broadcasts small inputs and splits skewed
@@ -48,6 +50,8 @@ def join_tables(other: DataFrame, keys: list[dict], how: str = "inner", prefix:
     task. Outer joins therefore broadcast that side when it is measured to be
     small, and otherwise run as the inner join plus the unmatched rows: both
     parts can be split, and both reuse the same shuffle of the kept side.
+    ``hot_keys=False`` says that the side which may be missing has no hot key (its
+    key is unique, say): a left or right join is then left to Spark as it is.
     """
     kind = _KINDS[how.lower()]
 
@@ -71,8 +75,8 @@ def join_tables(other: DataFrame, keys: list[dict], how: str = "inner", prefix:
                 *_padded(l_names, left, l_names), *[F.col(f"`{c}`").alias(n) for c, n in zip(other.columns, r_names)]
             )
 
-        if kind == "inner":
-            return plain(left, other, "inner")
+        if kind == "inner" or (kind != "full" and not hot_keys):
+            return plain(left, other, kind)
         if kind == "right":
             if fits_broadcast(left):
                 return plain(F.broadcast(left), other, "right")

@@ -26,9 +26,12 @@ def input_order(df: DataFrame) -> list[Column]:
         return [F.monotonically_increasing_id()]
 
 
-def sort_keys(schema: T.StructType, columns: list[dict]) -> list[Column]:
-    """Null last when ascending and first when descending; numbers before text."""
-    keys: list[Column] = []
+def sort_keys(schema: T.StructType, columns: list[dict]) -> list[tuple[Column, str]]:
+    """Key expressions, each with its direction.
+
+    Null comes last when ascending and first when descending; numbers before text.
+    """
+    keys: list[tuple[Column, str]] = []
     for spec in columns:
         name = spec.get("column", "")
         if name not in schema.names:
@@ -42,28 +45,45 @@ def sort_keys(schema: T.StructType, columns: list[dict]) -> list[Column]:
         else:
             parts = [col]
         down = (spec.get("direction") or "asc").lower() == "desc"
-        keys += [p.desc_nulls_first() if down else p.asc_nulls_last() for p in parts]
+        keys += [(p, "desc_nulls_first" if down else "asc_nulls_last") for p in parts]
     return keys
 
 
-def sort_rows(columns: list[dict]) -> Transform:
-    """Stable sort over several columns.
+def keyed(df: DataFrame, keys: list[tuple[Column, str]]) -> tuple[DataFrame, list[Column]]:
+    """The table with its sort keys as columns ``__k0 ..`` and the order over them.
+
+    A sort evaluates its expressions anew in every comparison, a column once per row.
+    """
+    names = [f"__k{i}" for i in range(len(keys))]
+    df = df.withColumns({n: e for n, (e, _) in zip(names, keys)})
+    return df, [getattr(F.col(n), direction)() for n, (_, direction) in zip(names, keys)]
+
+
+def sort_by(df: DataFrame, keys: list[tuple[Column, str]]) -> DataFrame:
+    """Stable sort by keys.
 
     The row's position is the last key: ties keep their order, and a value shared
     by a large part of the table is still split over many range partitions.
     """
+    if not keys:
+        return df
+    wide, order = keyed(df.withColumn("__at", F.monotonically_increasing_id()), keys)
+    return wide.orderBy(*order, "__at").select(*[f"`{c}`" for c in df.columns])
+
+
+def sort_rows(columns: list[dict]) -> Transform:
+    """Stable sort over several columns ``{column, direction}``."""
+    return lambda df: sort_by(df, sort_keys(df.schema, columns))
 
-    def apply(df: DataFrame) -> DataFrame:
-        keys = sort_keys(df.schema, columns)
-        if not keys:
-            return df
-        return df.withColumn("__at", F.monotonically_increasing_id()).orderBy(*keys, "__at").drop("__at")
 
-    return apply
+def number_sorted(df: DataFrame, keys: list[tuple[Column, str]], name: str = "row_number") -> DataFrame:
+    """Number all rows in the order of sort keys."""
+    wide, order = keyed(df, keys)
+    return number_rows(wide, order, name).drop(*[f"__k{i}" for i in range(len(keys))])
 
 
-def number_rows(df: DataFrame, keys: list, name: str = "row_number") -> DataFrame:
-    """Number all rows 1, 2, ... in key order, in parallel.
+def number_rows(df: DataFrame, order: list, name: str = "row_number") -> DataFrame:
+    """Number all rows 1, 2, ... in the order of columns, in parallel.
 
     Rows are range partitioned and sorted, each with its place in its partition,
     and written once to the shared scratch folder (the sampled range borders must
@@ -74,8 +94,8 @@ def number_rows(df: DataFrame, keys: list, name: str = "row_number") -> DataFram
     place = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
     (
         df.withColumn("__at", F.monotonically_increasing_id())
-        .repartitionByRange(*keys, "__at")
-        .sortWithinPartitions(*keys, "__at")
+        .repartitionByRange(*order, "__at")
+        .sortWithinPartitions(*order, "__at")
         .drop("__at")
         .withColumns({"__part": F.spark_partition_id(), "__place": place})
         .write.parquet(path)
@@ -91,13 +111,13 @@ def number_rows(df: DataFrame, keys: list, name: str = "row_number") -> DataFram
     return rows.join(F.broadcast(starts), "__part").select(*df.columns, number)
 
 
-def segments(df: DataFrame, size: int, keys: list | None = None) -> DataFrame:
+def segments(df: DataFrame, size: int, order: list | None = None) -> DataFrame:
     """Cut a table into numbered segments of ``size`` rows, in key or reading order."""
-    numbered = number_rows(df, keys or input_order(df), "__n")
+    numbered = number_rows(df, order or input_order(df), "__n")
     return numbered.withColumn("segment", F.floor((F.col("__n") - 1) / size).cast("long")).drop("__n")
 
 
-def natural_keys(schema: T.StructType, column: str, direction: str = "asc") -> list[Column]:
+def natural_keys(schema: T.StructType, column: str, direction: str = "asc") -> list[tuple[Column, str]]:
     """Keys of a grid sort: numeric text by value, nulls last both ways."""
     col, dtype = F.col(f"`{column}`"), schema[column].dataType
     text = coerce.cell_text(col, dtype)
@@ -107,4 +127,4 @@ def natural_keys(schema: T.StructType, column: str, direction: str = "asc") -> l
     tail = F.regexp_extract(text, r"([0-9]+)$", 1).try_cast("decimal(38,0)")
     parts = [value] if coerce.is_numeric(dtype) else [value.isNull(), value, stem, tail, text]
     down = direction.lower() == "desc"
-    return [col.isNull().asc()] + [p.desc_nulls_last() if down else p.asc_nulls_last() for p in parts]
+    return [(col.isNull(), "asc")] + [(p, "desc_nulls_last" if down else "asc_nulls_last") for p in parts]

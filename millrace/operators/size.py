@@ -8,17 +8,17 @@ MAX_ROWS = 100_000
 MAX_BYTES = 64 * 1024 * 1024
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
+def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
     """Whether the whole table is proven small.
 
-    The first probe stops reading after ``max_rows + 1`` rows, so it stays cheap on
-    a huge table; only a table below that is measured in bytes.
+    Takes the sizes of at most ``max_rows + 1`` rows: Spark reads partition by
+    partition and stops as soon as it has them, so the probe stays cheap on a
+    huge table.
     """
-    if not df.select(F.lit(1)).offset(max_rows).isEmpty():
-        return False
+    most, room = max_rows or MAX_ROWS, max_bytes or MAX_BYTES
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    size = df.select(F.sum(F.octet_length(F.to_json(row)) + 32).alias("n")).first()["n"]
-    return (size or 0) <= max_bytes
+    sizes = df.select((F.octet_length(F.to_json(row)) + 32).alias("n")).take(most + 1)
+    return len(sizes) <= most and sum(s["n"] for s in sizes) <= room
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:

@@ -7,18 +7,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.functions.coerce import text_in
 from millrace.functions.templating import replace_names
 from millrace.operators.size import broadcast_if_small
 from millrace.plans.transforms import READ_ONLY, check_statement
 from millrace.sinks.files import ROWS_PER_SEGMENT, extract_to_parquet
 
 
-def foreach_app(df: DataFrame, app_column: str, entries: DataFrame) -> DataFrame:
+def foreach_app(df: DataFrame, app_column: str, entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Rows of every listed application, tagged with its id and name.
 
     One join replaces one extract per application. ``entries`` has ``key`` and
-    ``value`` and unique keys.
+    ``value`` and unique keys. Known ``keys`` also become a filter, which reaches
+    the scan.
     """
+    dtype = df.schema[app_column].dataType
+    if keys:
+        df = df.where(text_in(F.col(app_column), dtype, [str(k) for k in keys]))
     apps = entries.select(F.col("key").alias("application_id"), F.col("value").alias("application_name"))
     return df.join(broadcast_if_small(apps), F.col(app_column).cast("string") == F.col("application_id"))
 

@@ -156,9 +156,8 @@ def apply_steps(df: DataFrame, steps: list[dict], env: Environment | None = None
 def _transform(kind: str, config: dict, inputs: list[DataFrame], env: Environment, ctx: RunContext) -> DataFrame:
     if kind == "join":
         left, right = inputs
-        return left.transform(
-            join_tables(right, config["keys"], config.get("join_type", "inner"), config.get("prefix", "right_"))
-        )
+        how, prefix = config.get("join_type", "inner"), config.get("prefix", "right_")
+        return left.transform(join_tables(right, config["keys"], how, prefix, config.get("hot_keys", True)))
     df = inputs[0] if len(inputs) == 1 else union_by_name(*inputs)
     if kind == "filter":
         return df.transform(filter_rows(config.get("conditions", []), config.get("logic") or "AND"))
@@ -249,7 +248,11 @@ def run(spark: SparkSession, graph: Graph, env: Environment, ctx: RunContext | N
 
 
 def observe_steps(df: DataFrame, steps: list[dict], env: Environment | None = None) -> tuple[DataFrame, dict]:
-    """The steps with a row counter before and after each, filled by whatever action runs the plan."""
+    """The steps with a row counter before and after each, filled by whatever action runs the plan.
+
+    The counters are run statistics: a map task that Spark repeats after losing an
+    executor is counted again. Counts of written rows do not have this weakness.
+    """
     seen: dict[str, Observation] = {}
 
     def count(frame: DataFrame, name: str) -> DataFrame:

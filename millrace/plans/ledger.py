@@ -80,7 +80,7 @@ def run_names(
     if pipeline_id:
         runs = runs.where(F.col("pipeline_id") == F.lit(pipeline_id).cast(runs.schema["pipeline_id"].dataType))
     names = pipelines.select(F.col("id").alias("pipeline_id"), F.col("name").alias("pipeline_name"))
-    out = runs.transform(join_tables(names, [{"left": "pipeline_id", "right": "pipeline_id"}], "left", "p_"))
+    out = runs.transform(join_tables(names, [{"left": "pipeline_id", "right": "pipeline_id"}], "left", "p_", False))
     out = out.drop("p_pipeline_id")
     if search:
         in_name = F.lower(F.coalesce("pipeline_name", F.lit(""))).contains(search.lower())

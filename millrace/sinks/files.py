@@ -25,20 +25,33 @@ def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+def by_partition(df: DataFrame, partition_by: list[str] | None, rebalance: bool = True) -> DataFrame:
+    """Bring the rows of a partition together, so that it gets a few full files instead of one per task.
+
+    Spark splits a partition that is too large for one task and joins small ones.
+    Switch it off for rows that are already laid out, such as those of one date.
+    """
+    return df.hint("rebalance", *partition_by) if partition_by and rebalance else df
+
+
 def write_parquet(
     df: DataFrame,
     path: str,
     mode: str = "overwrite",
     partition_by: list[str] | None = None,
     rows_per_file: int | None = None,
+    rebalance: bool = True,
 ) -> int:
-    """Parquet files, at most ``rows_per_file`` rows each. Returns the number of rows written."""
-    frame, seen = counted(df)
+    """Parquet files, at most ``rows_per_file`` rows each. Returns the number of rows written.
+
+    Only the partitions present in the new rows are replaced: a rerun of one date
+    leaves the others.
+    """
+    frame, seen = counted(by_partition(df, partition_by, rebalance))
     writer = frame.write.mode(write_mode(mode))
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     if partition_by:
-        # Only the partitions present in the new rows are replaced: a rerun of one date leaves the others.
         writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
     return seen.get["rows"]

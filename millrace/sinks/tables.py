@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.operators.combine import union_by_name
-from millrace.sinks.files import counted, write_mode
+from millrace.sinks.files import by_partition, counted, write_mode
 from millrace.sources.files import scan_files
 
 
@@ -32,7 +32,7 @@ def write_table(
     if not namespace or not table:
         raise ValueError("a table target needs a namespace and a table name")
     ensure_namespace(df.sparkSession, namespace)
-    frame, seen = counted(df)
+    frame, seen = counted(by_partition(df, partition_by))
     writer = frame.write.mode(write_mode(mode)).format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -90,9 +90,10 @@ def apps_frame(spark: SparkSession, base: str, fmt: str = "parquet", schema=None
     """Files of a dataset and its application folders as one scan, ``application_id`` from the path.
 
     Files directly in the folder belong to no application. Columns that only some
-    files have are null elsewhere (``mergeSchema``).
+    files have are null elsewhere; without a schema that takes a look at the footer
+    of every file.
     """
-    reader = spark.read.options(recursiveFileLookup=True, mergeSchema=True)
+    reader = spark.read.options(recursiveFileLookup=True, mergeSchema=schema is None)
     if fmt == "csv":
         reader = reader.options(header=True, inferSchema=schema is None)
     df = (reader.schema(schema) if schema else reader).format(fmt).load(base)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
@@ -73,10 +74,12 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", "modificationTime")
 
 
-def first_file(spark: SparkSession, path: str) -> str:
-    name = list_files(spark, path).agg(F.min("path")).first()[0]
+def first_file(spark: SparkSession, path: str, accept: Callable[[str], bool] = bool) -> str:
+    """Name of the first accepted file. Only Spark's file listing is read; no job runs."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).inputFiles()
+    name = min(filter(accept, files), default=None)
     if name is None:
-        raise FileNotFoundError(f"no files below {path}")
+        raise FileNotFoundError(f"no matching file below {path}")
     return name
 
 
@@ -129,25 +132,21 @@ def scan_glob(
     root, prefix = root.rstrip("/"), prefix.strip("/")
     base = f"{root}/{prefix}" if prefix else root
     ending = _name_glob(pattern)
+    expression = _path_expression(root, prefix, pattern)
     if fmt == "auto":
-        matched = list_files(spark, base).where(_matches(F.col("path"), root, prefix, pattern))
-        name = matched.agg(F.min("path")).first()[0]
-        if name is None:
-            raise FileNotFoundError(f"no file matches {pattern!r} below {base}")
-        fmt = detect_format(name)
+        fmt = detect_format(first_file(spark, base, lambda name: re.search(expression, name) is not None))
     opts = {**({"pathGlobFilter": ending} if ending else {}), **(options or {})}
     df = scan_files(spark, base, fmt, schema, options=opts, **csv)
-    return df.where(_matches(F.col("_metadata.file_path"), root, prefix, pattern))
+    return df.where(F.col("_metadata.file_path").rlike(expression))
 
 
-def _matches(path, root: str, prefix: str, pattern: str):
-    # Paths come back as URIs, so the root is matched without its scheme.
+def _path_expression(root: str, prefix: str, pattern: str) -> str:
+    """Expression for the URIs of matching files; the root is compared without its scheme."""
     place = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/"))
     below = re.escape(f"/{prefix}") if prefix else ""
     body = _pattern(pattern)
-    return path.rlike(f"^.*?{place}{below}/(?s:{body})$") | path.rlike(f"^.*?{place}/(?s:{body})$") & path.rlike(
-        f"^.*?{place}{below}/"
-    )
+    # relative to the prefix, or the whole key from the root
+    return f"^.*?{place}(?:{below}/(?s:{body})|(?={below}/)/(?s:{body}))$"
 
 
 def business_date_filter(df: DataFrame, column: str, date: str) -> DataFrame:

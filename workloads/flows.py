@@ -22,9 +22,12 @@ def _edges(*pairs: tuple[str, str]) -> list[dict]:
 
 
 def _segments(spark, sf):
-    """Market segments as the application dictionary."""
+    """Market segments as the application dictionary: a small stored table, read by whoever needs it."""
+    path = scratch(spark, "segments")
     names = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("key")).distinct()
-    return names.select("key", F.initcap("key").alias("value"), F.lit(None).cast("map<string,string>").alias("extra"))
+    named = names.select("key", F.initcap("key").alias("value"), F.lit(0).alias("position"))
+    named.withColumn("extra", F.lit(None).cast("map<string,string>")).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _orders_by_app(spark, sf):
@@ -52,9 +55,9 @@ def builtin_template(spark, sf):
     chosen = ["MACHINERY", "BUILDING", "HOUSEHOLD"]
 
     def extract(spark, config, context):
-        entries = _segments(spark, sf).withColumn("position", F.lit(0))
-        apps = iterator_entries(entries, chosen)
-        return fanout.foreach_app(_orders_by_app(spark, sf), "app_id", apps).drop("application_id", "application_name")
+        apps = iterator_entries(_segments(spark, sf), chosen)
+        mine = fanout.foreach_app(_orders_by_app(spark, sf), "app_id", apps, chosen)
+        return mine.drop("application_id", "application_name")
 
     spec = {
         "nodes": [

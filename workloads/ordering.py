@@ -22,7 +22,7 @@ def sort(spark, sf):
     keys = order.sort_keys(
         orders.schema, [{"column": "kind", "direction": "desc"}, {"column": "o_totalprice"}, {"column": "o_orderkey"}]
     )
-    return order.number_rows(orders, keys, "position").select("o_orderkey", "position")
+    return order.number_sorted(orders, keys, "position").select("o_orderkey", "position")
 
 
 @query("""
@@ -36,7 +36,7 @@ def sort_mixed(spark, sf):
     label = F.expr("CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN p_type ELSE cast(p_size AS string) END")
     parts = table(spark, sf, "part").select("p_partkey", label.alias("label"))
     keys = order.sort_keys(parts.schema, [{"column": "label"}, {"column": "p_partkey"}])
-    return order.number_rows(parts, keys, "position")
+    return order.number_sorted(parts, keys, "position")
 
 
 @query("""
@@ -46,8 +46,8 @@ FROM part
 """)
 def sort_natural(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", "p_brand")
-    keys = [*order.natural_keys(parts.schema, "p_brand", "desc"), F.col("p_partkey")]
-    return order.number_rows(parts, keys, "position")
+    keys = [*order.natural_keys(parts.schema, "p_brand", "desc"), (F.col("p_partkey"), "asc")]
+    return order.number_sorted(parts, keys, "position")
 
 
 @query("""
@@ -56,10 +56,9 @@ FROM nation JOIN region ON n_regionkey = r_regionkey
 """)
 def sort_case_insensitive(spark, sf):
     entries = nation_dictionary(spark, sf)
-    keys = [F.lower(dictionary.extra_column("region")).desc(), F.col("position")]
-    return order.number_rows(entries.select("key", "extra", "position"), keys, "n").select(
-        "key", F.col("n").alias("position")
-    )
+    keys = [*dictionary.case_insensitive_keys("region", "desc"), (F.col("position"), "asc")]
+    numbered = order.number_sorted(entries.select("key", "extra", "position"), keys, "n")
+    return numbered.select("key", F.col("n").alias("position"))
 
 
 @query("SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500 OFFSET 1000")

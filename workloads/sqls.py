@@ -105,17 +105,17 @@ SELECT l_orderkey, l_linenumber, l_partkey, o_orderdate, l_shipdate
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_shipdate < o_orderdate
 """, "lineitem", "orders")
 _passthrough("window", """
-SELECT event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn,
-       RANK() OVER (PARTITION BY user_id ORDER BY event_type) AS rk,
-       LAG(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous,
-       ROUND(AVG(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4)
+SELECT event_id, ROW_NUMBER() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn,
+       RANK() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_type) AS rk,
+       LAG(event_id) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS previous,
+       ROUND(AVG(value) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4)
          AS moving
 FROM events
 """, "events", check="""
-SELECT event_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS rn,
-       CAST(RANK() OVER (PARTITION BY user_id ORDER BY event_type) AS INTEGER) AS rk,
-       LAG(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous,
-       ROUND(AVG(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4)
+SELECT event_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS INTEGER) AS rn,
+       CAST(RANK() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_type) AS INTEGER) AS rk,
+       LAG(event_id) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS previous,
+       ROUND(AVG(value) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4)
          AS moving
 FROM events
 """)
