@@ -85,20 +85,22 @@ def exact_median(df: DataFrame, keys: list[str], column: str, alias: str) -> Dat
     groups = [f"__g{i}" for i in range(max(1, len(keys)))]
     rows = df.select(*named, value.alias("__v")).where("__v is not null")
     edges = F.percentile_approx("__v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY)
+    # The struct keys below hide how the rows are already placed: the join gets plain shuffles on both
+    # sides, which Spark can split where a group is hot, and the count gets a shuffle by value of its own.
     brackets = (
-        rows.groupBy(*groups)
+        rows.groupBy(F.struct(*groups).alias("__g"))
         .agg(F.count(F.lit(1)).alias("__n"), edges.alias("__e"))
-        .select(*groups, "__n", F.col("__e")[0].alias("__lo"), F.col("__e")[1].alias("__hi"))
+        .select("__g.*", "__n", F.col("__e")[0].alias("__lo"), F.col("__e")[1].alias("__hi"))
     )
     # Values below the bracket fold into one row per group, so only the bracket itself is counted by value.
     placed = (
         rows.join(brackets, groups)
         .where("__v <= __hi")
-        .withColumn("__v", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")))
-        .groupBy(*groups, "__n", "__v")
+        .select(F.struct(*groups).alias("__g"), "__n", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v"))
+        .groupBy("__g", "__n", "__v")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    upto = Window.partitionBy(*groups).orderBy(F.col("__v").asc_nulls_first())
+    upto = Window.partitionBy("__g").orderBy(F.col("__v").asc_nulls_first())
     upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = placed.withColumn("__to", F.sum("__c").over(upto))
     low, high = F.floor((F.col("__n") + 1) / 2), F.ceil((F.col("__n") + 1) / 2)
@@ -107,8 +109,9 @@ def exact_median(df: DataFrame, keys: list[str], column: str, alias: str) -> Dat
         return F.max(F.when((F.col("__to") - F.col("__c") < rank) & (rank <= F.col("__to")), F.col("__v")))
 
     return (
-        ranked.groupBy(*groups)
+        ranked.groupBy("__g")
         .agg(((at(low) + at(high)) / 2).alias(alias))
+        .select("__g.*", alias)
         .withColumnsRenamed({f"__g{i}": k for i, k in enumerate(keys)})
         .drop(*([] if keys else ["__g0"]))
     )
@@ -124,7 +127,7 @@ def aggregate(
 
     Columns the table lacks are skipped; rows with a null group key are dropped; an
     empty table gives an empty result, also without groups. ``first`` and ``last``
-    follow ``order_by`` (default: reading order).
+    follow the ascending ``order_by`` columns (default: reading order).
     """
     wanted, specs = group_by or [], aggregations or []
 

@@ -33,10 +33,19 @@ def _padded(columns: list[str], frame: DataFrame, names: list[str]) -> list[Colu
 
 
 def _without_partner(kept: DataFrame, other: DataFrame, mine: list[str], theirs: list[str]) -> DataFrame:
-    """Rows of ``kept`` with no match. The other side shrinks to its distinct keys before the shuffle."""
-    keys = other.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(theirs)]).distinct()
+    """Rows of ``kept`` with no match.
+
+    The other side shrinks to its distinct keys before the shuffle. Rows with a
+    null key are set aside first; the rest is then the same input as the inner
+    join's, so Spark shuffles it once for both.
+    """
+    key = F.struct(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(theirs)])
+    # Grouped as one struct and taken apart again: the join then shuffles the keys by itself, and
+    # only between two plain shuffles does Spark split a hot key of the kept rows over several tasks.
+    keys = other.select(key.alias("__key")).distinct().select("__key.*")
     test = reduce(and_, [F.col(f"`{c}`") == F.col(f"__k{i}") for i, c in enumerate(mine)])
-    return kept.join(keys, test, "left_anti")
+    whole = reduce(and_, [F.col(f"`{c}`").isNotNull() for c in mine])
+    return kept.where(whole).join(keys, test, "left_anti").union(kept.where(~whole))
 
 
 def join_tables(
@@ -94,7 +103,8 @@ def last_per_key(dictionary: DataFrame) -> DataFrame:
     """One value per dictionary key: the entry with the highest ``position``, or the last one read."""
     order = F.col("position") if "position" in dictionary.columns else F.monotonically_increasing_id()
     entries = dictionary.select(F.col("key").cast("string"), F.col("value").cast("string"), order.alias("__at"))
-    return entries.groupBy("key").agg(F.max_by("value", "__at").alias("value"))
+    last = entries.groupBy(F.struct("key").alias("__key")).agg(F.max_by("value", "__at").alias("value"))
+    return last.select("__key.key", "value")  # as a struct for the reason given in _without_partner
 
 
 def lookup(

@@ -39,7 +39,7 @@ def sort_keys(schema: T.StructType, columns: list[dict]) -> list[tuple[Column, s
         col, dtype = F.col(f"`{name}`"), schema[name].dataType
         if isinstance(dtype, T.StringType):
             value = coerce.number(col, dtype)
-            parts = [col.isNull(), value.isNull(), value, F.lower(col)]
+            parts = [col.isNull(), value.isNull(), value, F.when(value.isNull(), F.lower(col))]
         elif isinstance(dtype, coerce.NESTED):
             parts = [F.lower(coerce.cell_text(col, dtype))]
         else:

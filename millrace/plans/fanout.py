@@ -79,7 +79,8 @@ def foreach_extract(
             stats = extract_to_parquet((read or spark.sql)(replace_names(sql, params)), path, chunk_size)
             row |= {"total_rows": stats["total_rows"], "file_count": stats["file_count"]}
         except Exception as err:  # one entry's failure belongs in its result row
-            row |= {"total_rows": 0, "file_count": 0, "error": str(err).splitlines()[0]}
+            lines = str(err).strip().splitlines() or [type(err).__name__]
+            row |= {"total_rows": 0, "file_count": 0, "error": lines[0]}
         rows.append(row)
     schema = "key string, value string, total_rows long, file_count long, output_dir string, error string"
     names = [f.split()[0] for f in schema.split(", ")]

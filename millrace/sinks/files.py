@@ -58,9 +58,9 @@ def write_parquet(
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int | None = None, **options) -> int:
-    """CSV files with a header. Empty text stays distinct from null."""
+    """CSV files with a header. Empty text and null are the same in CSV: both are read back as null."""
     frame, seen = counted(df)
-    settings = {"header": True, "emptyValue": '""', **options}
+    settings = {"header": True, **options}
     if rows_per_file:
         settings["maxRecordsPerFile"] = rows_per_file
     frame.write.mode(write_mode(mode)).options(**settings).csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import fnmatch
 import re
 from collections.abc import Callable
@@ -18,9 +19,17 @@ EXTENSIONS = {
     ".orc": "orc",
 }
 
+# Spark's names of charsets that Python calls otherwise.
+CHARSETS = {"iso8859-1": "ISO-8859-1", "ascii": "US-ASCII"}
+
 Schema = str | T.StructType | None
 
 
+def _charset(encoding: str) -> str:
+    name = codecs.lookup(encoding).name
+    return CHARSETS.get(name, name)
+
+
 def _reader(spark: SparkSession, schema: Schema, options: dict | None) -> DataFrameReader:
     reader = spark.read.options(**(options or {}))
     return reader.schema(schema) if schema else reader
@@ -40,7 +49,7 @@ def scan_csv(
 
     Columns of a file without header are named ``0 .. n-1``.
     """
-    base = {"sep": sep, "header": header, "encoding": encoding, "inferSchema": infer and schema is None}
+    base = {"sep": sep, "header": header, "encoding": _charset(encoding), "inferSchema": infer and schema is None}
     df = _reader(spark, schema, {**base, **options}).csv(path)
     if header or schema:
         return df
