@@ -28,11 +28,11 @@ def foreach_app(df: DataFrame, app_column: str, entries: DataFrame, keys: list[s
     return df.join(broadcast_if_small(apps), F.col(app_column).cast("string") == F.col("application_id"))
 
 
-def multi_date(df: DataFrame, column: str, dates: list[str]) -> DataFrame:
-    """Rows of several business dates (compact text), with the date as partition column."""
+def multi_date(df: DataFrame, column: str, dates: list[str], name: str = "business_date") -> DataFrame:
+    """Rows of several business dates (compact text), with the date as a text column to partition by."""
     dtype = df.schema[column].dataType
     days = [F.to_date(F.lit(d), "yyyyMMdd").cast(dtype) for d in dates]
-    return df.where(F.col(column).isin(days)).withColumn("business_date", F.date_format(column, "yyyyMMdd"))
+    return df.where(F.col(column).isin(days)).withColumn(name, F.date_format(column, "yyyyMMdd"))
 
 
 def pending_units(planned: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:

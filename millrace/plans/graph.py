@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from millrace.functions.templating import resolve_dates
 from millrace.functions.tokens import path_token
 from millrace.operators.aggregate import aggregate
 from millrace.operators.columns import basic_chain
 from millrace.operators.combine import union_by_name
+from millrace.operators.dictionary import iterator_entries
 from millrace.operators.join import join_tables, lookup
 from millrace.operators.order import sort_rows
 from millrace.operators.predicates import filter_rows
 from millrace.plans.context import RunContext
-from millrace.plans.transforms import apply_callable, sql_over
+from millrace.plans.fanout import foreach_app, multi_date
+from millrace.plans.transforms import apply_callable, query, read_table, sql_over
 from millrace.sinks.files import write_parquet
 from millrace.sinks.tables import write_table
 from millrace.sources.layout import Layout
@@ -25,6 +28,9 @@ from millrace.sources.layout import Layout
 SOURCES = {"jdbc_extract", "impala_extract", "s3_extract", "csv_extract", "json_extract", "table_extract"}
 TRANSFORMS = {"filter", "join", "sort", "lookup", "sql_transform", "aggregate", "notebook_transform"}
 LOADS = {"load_sql", "load_parquet"}
+# These may also start a graph: SQL then runs over the catalog, a callable reads what it wants.
+STARTERS = {"sql_transform", "notebook_transform"}
+MAX_TEXT_ENTRIES = 1000
 
 Reader = Callable[[SparkSession, dict, RunContext], DataFrame]
 
@@ -93,7 +99,7 @@ class Graph:
             if node.type not in known:
                 raise ValueError(f"node {node.id} has the unknown type {node.type!r}")
             feeds = [i for i in node.inputs if self.nodes[i].type != "iterator"]
-            if node.type in TRANSFORMS | LOADS and not feeds:
+            if node.type in (TRANSFORMS - STARTERS) | LOADS and not feeds:
                 raise ValueError(f"{node.type} {node.id} has no input")
             if node.type == "join" and len(feeds) != 2:
                 raise ValueError(f"join {node.id} needs two inputs, has {len(feeds)}")
@@ -102,7 +108,12 @@ class Graph:
             raise ValueError(f"sources without a downstream load: {orphans}")
 
     def sources(self) -> list[str]:
-        return [n for n in self.order if self.nodes[n].type in SOURCES]
+        return [n for n in self.order if self.is_source(n)]
+
+    def is_source(self, nid: str) -> bool:
+        node = self.nodes[nid]
+        feeds = [i for i in node.inputs if self.nodes[i].type != "iterator"]
+        return node.type in SOURCES or (node.type in STARTERS and not feeds)
 
     def reachable(self, start: str) -> set[str]:
         seen, stack = set(), list(self.nodes[start].outputs)
@@ -182,11 +193,58 @@ def _transform(kind: str, config: dict, inputs: list[DataFrame], env: Environmen
     raise ValueError(f"unknown step type {kind!r}")
 
 
-def _source(spark: SparkSession, node: Node, env: Environment, ctx: RunContext, legacy: dict | None) -> DataFrame:
+def _entries(graph: Graph, nid: str, env: Environment) -> tuple[DataFrame | None, list[str]]:
+    """The dictionary entries of the iterator above a source, and the keys selected in it."""
+    iterator = graph.iterator_of(nid)
+    if iterator is None:
+        return None, []
+    cfg = graph.nodes[iterator].config
+    name = str(cfg.get("dictionary_id"))
+    if name not in env.dictionaries:
+        raise ValueError(f"iterator needs the dictionary {name}, which is not there")
+    keys = [str(k) for k in cfg.get("selected_keys") or []]
+    return iterator_entries(env.dictionaries[name], keys, cfg.get("entry_filters")), keys
+
+
+def _read(spark: SparkSession, node: Node, env: Environment, ctx: RunContext) -> DataFrame:
+    cfg = node.config
+    if node.type == "sql_transform":
+        return query(spark, ctx.render(cfg["sql"]), cfg.get("source_db") or ctx.namespace)
+    if node.type == "notebook_transform":
+        source = read_table(spark, cfg["source_table"], cfg.get("source_db")) if cfg.get("source_table") else None
+        return env.callables[cfg["callable"]](spark, source, ctx)
     reader = env.readers.get(node.id) or env.readers.get(node.type)
     if reader is None:
         raise ValueError(f"no reader for {node.type} {node.id}")
-    df = reader(spark, node.config, ctx)
+    return reader(spark, cfg, ctx)
+
+
+def _source(spark: SparkSession, graph: Graph, nid: str, env: Environment, ctx: RunContext, legacy: dict | None):
+    """A source's rows for all applications and dates of the run.
+
+    With ``app_column`` (and ``date_column``) one scan serves all of them. Only a
+    query whose text names ``$app_id`` or ``$app_name`` is built once per entry; the
+    parts are one union, so still one job.
+    """
+    node = graph.nodes[nid]
+    cfg = node.config
+    entries, keys = _entries(graph, nid, env)
+    text = str(cfg)
+    if entries is not None and not cfg.get("app_column") and ("$app_id" in text or "$app_name" in text):
+        found = entries.orderBy("iteration").select("key", "value").take(MAX_TEXT_ENTRIES + 1)
+        if len(found) > MAX_TEXT_ENTRIES:
+            raise ValueError(f"more than {MAX_TEXT_ENTRIES} entries: name the app_column instead of $app_id")
+        if not found:
+            raise ValueError(f"the iterator above {nid} selects no entry")
+        parts = [_read(spark, node, env, replace(ctx, app_id=e["key"], app_name=e["value"])) for e in found]
+        df = union_by_name(*[p.withColumn("application_id", F.lit(e["key"])) for p, e in zip(parts, found)])
+    else:
+        df = _read(spark, node, env, ctx)
+        if entries is not None and cfg.get("app_column"):
+            df = foreach_app(df, cfg["app_column"], entries, keys)
+    if cfg.get("date_column") and (cfg.get("dates") or cfg.get("date_from")):
+        days = resolve_dates(cfg.get("dates"), cfg.get("date_from"), cfg.get("date_to"), ctx.business_date)
+        df = multi_date(df, cfg["date_column"], days, cfg.get("date_partition", "business_date"))
     return df.transform(basic_chain(**legacy)) if legacy else df
 
 
@@ -226,8 +284,8 @@ def build(
         if node.type == "iterator" or nid in frames:
             continue
         inputs = [frames[i] for i in node.inputs if i in frames]
-        if node.type in SOURCES:
-            frames[nid] = _source(spark, node, env, ctx, legacy)
+        if graph.is_source(nid):
+            frames[nid] = _source(spark, graph, nid, env, ctx, legacy)
         elif node.type in LOADS:
             df = inputs[0] if len(inputs) == 1 else union_by_name(*inputs)
             if write:

@@ -7,11 +7,17 @@ and ``run_logs`` refer to it by ``run_id``.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.operators.join import join_tables
+from millrace.sinks.tables import write_records
 
+RUNS = """run_id string, pipeline string, status string, started_at timestamp, finished_at timestamp,
+ duration_seconds double, records_loaded long, error_message string"""
+STEPS = "run_id string, step_order int, step_label string, status string, target string, records_out long"
 GOOD = ("completed", "completed_with_warnings")
 DEFAULT_CATEGORY = "Unknown"
 
@@ -145,3 +151,31 @@ def step_rows(steps: DataFrame) -> DataFrame:
     return steps.groupBy("step_order", "step_label").agg(
         F.sum("records_in").alias("records_in"), F.sum("records_out").alias("records_out")
     )
+
+
+def record_run(spark: SparkSession, namespace: str, pipeline: str, work: Callable[[], list[dict]]) -> list[dict]:
+    """Run ``work`` and append its outcome to the tables ``runs`` and ``run_steps`` of a namespace.
+
+    ``work`` returns one result per load (``label``, ``rows_loaded``, ``table`` or
+    ``path``). A failure is recorded and raised again.
+    """
+    run_id, started = uuid.uuid4().hex, dt.datetime.now(dt.timezone.utc)
+    results: list[dict] = []
+    status, error = "failed", None
+    try:
+        results = work()
+        status = "completed"
+        return results
+    except Exception as err:
+        error = str(err)
+        raise
+    finally:
+        ended = dt.datetime.now(dt.timezone.utc)
+        loaded = sum(r["rows_loaded"] for r in results)
+        run = (run_id, pipeline, status, started, ended, (ended - started).total_seconds(), loaded, error)
+        write_records(spark, [run], namespace, "runs", schema=RUNS)
+        steps = [
+            (run_id, i, r["label"], status, r.get("table") or r.get("path"), r["rows_loaded"])
+            for i, r in enumerate(results)
+        ]
+        write_records(spark, steps, namespace, "run_steps", schema=STEPS)

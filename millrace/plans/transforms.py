@@ -31,11 +31,17 @@ def check_statement(sql: str, allowed: tuple[str, ...] = ALLOWED) -> str:
 
 
 def query(spark: SparkSession, sql: str, database: str | None = None) -> DataFrame:
-    """Any allowed statement, optionally in a database."""
+    """Any allowed statement, optionally in a database; the session's own database stays as it was."""
     check_statement(sql)
-    if database:
-        spark.catalog.setCurrentDatabase(database)
-    return spark.sql(sql)
+    if not database:
+        return spark.sql(sql)
+    before = spark.catalog.currentDatabase()
+    spark.catalog.setCurrentDatabase(database)
+    try:
+        return spark.sql(sql)
+    finally:
+        if not sql.strip().upper().startswith("USE"):
+            spark.catalog.setCurrentDatabase(before)
 
 
 def read_table(spark: SparkSession, table: str, database: str | None = None) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from millrace.plans import fanout, graph, ledger, transforms
 from millrace.plans.context import RunContext
+from millrace.plans.readers import standard_readers
 from millrace.sinks import tables
 from millrace.sources.layout import Layout
+from millrace.sources.objectstore import ObjectStore
 
 
 def node(nid, kind, **config):
@@ -240,3 +242,86 @@ def test_logs(rows):
     assert ledger.filter_logs(logs, ["info", "WARN"]).count() == 2
     assert ledger.filter_logs(logs, search="read").count() == 3
     assert ledger.filter_logs(logs, step="load").count() == 1
+
+
+# ---- sources of a graph
+
+
+def run_once(spark, db, nodes, env, *edges, ctx=None):
+    load = node("out", "load_sql", namespace_db=db, table_name="t")
+    graph.run(spark, graph.Graph(spec([*nodes, load], *edges)), env, ctx or RunContext("2026-04-16"))
+    return spark.table(f"{db}.t")
+
+
+@pytest.fixture
+def apps(rows):
+    return rows([("1", "one", None, 0), ("2", "two", {"desk": "x"}, 1), ("3", "three", {"desk": "x"}, 2)],
+                "key string, value string, extra map<string,string>, position int")
+
+
+def test_iterator_by_column(spark, rows, db, apps):
+    facts = rows([(1, 5), (2, 6), (3, 7), (9, 8)], "app int, v int")
+    env = graph.Environment({"s": lambda *a: facts}, {"d": apps})
+    it = node("it", "iterator", dictionary_id="d", entry_filters=[{"column": "desk", "value": "x"}])
+    out = run_once(spark, db, [it, node("s", "jdbc_extract", app_column="app")], env, ("it", "s"), ("s", "out"))
+    assert sorted((r.v, r.application_id, r.application_name) for r in out.collect()) == [(6, "2", "two"), (7, "3", "three")]
+    with pytest.raises(ValueError, match="dictionary"):
+        run_once(spark, db, [it, node("s", "jdbc_extract")], graph.Environment(env.readers), ("it", "s"), ("s", "out"))
+
+
+def test_iterator_by_text(spark, db, apps):
+    read = lambda spark, cfg, ctx: spark.sql(ctx.render(cfg["sql"]))
+    env = graph.Environment({"s": read}, {"d": apps})
+    it = node("it", "iterator", dictionary_id="d", selected_keys=["3", "1"])
+    source = node("s", "jdbc_extract", sql="SELECT '$app_name' AS n, '$business_date' AS d")
+    out = run_once(spark, db, [it, source], env, ("it", "s"), ("s", "out"))
+    assert sorted(tuple(r) for r in out.collect()) == [("one", "20260416", "1"), ("three", "20260416", "3")]
+    none = node("it", "iterator", dictionary_id="d", selected_keys=["zz"])
+    with pytest.raises(ValueError, match="no entry"):
+        run_once(spark, db, [none, source], env, ("it", "s"), ("s", "out"))
+
+
+def test_dates_of_a_source(spark, db):
+    days = lambda s, c, x: s.sql("SELECT date_add(date'2026-04-10', cast(id AS int)) AS d FROM range(9)")
+    source = node("s", "table_extract", date_column="d", date_from="2026-04-12", date_to="2026-04-13")
+    out = run_once(spark, db, [source], graph.Environment({"s": days}), ("s", "out"))
+    assert sorted(r.business_date for r in out.collect()) == ["20260412", "20260413"]
+
+
+def test_graph_may_start_with_sql_or_a_callable(spark, db):
+    sql = node("q", "sql_transform", sql="SELECT '$business_date' AS d, count(*) AS n FROM range(5)", source_db="default")
+    assert [tuple(r) for r in run_once(spark, db, [sql], graph.Environment(), ("q", "out")).collect()] == [("20260416", 5)]
+    call = node("c", "notebook_transform", callable="f")
+    env = graph.Environment(callables={"f": lambda spark, df, ctx: spark.range(4)})
+    assert run_once(spark, db, [call], env, ("c", "out")).count() == 4
+
+
+def test_standard_readers(spark, db, tmp_path):
+    (tmp_path / "2026").mkdir()
+    (tmp_path / "2026" / "a.csv").write_text("k;v\na;1\n")
+    (tmp_path / "b.json").write_text('{"k": "b", "v": 2}\n')
+    spark.range(3).write.saveAsTable(f"{db}.numbers")
+    env = graph.Environment(
+        standard_readers(stores={"7": ObjectStore(str(tmp_path), "file")}, sources_dir=str(tmp_path))
+    )
+    nodes = [
+        node("c", "csv_extract", file_path="2026/a.csv", csv_delimiter=";"),
+        node("j", "json_extract", file_path="b.json"),
+        node("o", "s3_extract", connection_id=7, pattern="*.csv", csv_sep=";", transform_sql="SELECT k, v + 10 AS v FROM {source}"),
+        node("n", "table_extract", table="numbers", database=db),
+    ]
+    out = run_once(spark, db, nodes, env, *[(n["id"], "out") for n in nodes])
+    got = sorted(((r.k, r.v, r.id) for r in out.collect()), key=str)
+    assert got == sorted([("a", 1, None), ("b", 2, None), ("a", 11, None), (None, None, 0), (None, None, 1), (None, None, 2)], key=str)
+    with pytest.raises(ValueError, match="connection"):
+        run_once(spark, db, [node("x", "jdbc_extract", connection_id=1, sql="SELECT 1")], env, ("x", "out"))
+
+
+def test_run_is_recorded(spark, db):
+    work = lambda: [{"label": "out", "table": "t", "rows_loaded": 3}]
+    ledger.record_run(spark, db, "daily", work)
+    with pytest.raises(RuntimeError):
+        ledger.record_run(spark, db, "daily", lambda: (_ for _ in ()).throw(RuntimeError("boom")))
+    got = {r.status: (r.records_loaded, r.error_message) for r in spark.table(f"{db}.runs").collect()}
+    assert got == {"completed": (3, None), "failed": (0, "boom")}
+    assert [(r.step_label, r.records_out) for r in spark.table(f"{db}.run_steps").collect()] == [("out", 3)]

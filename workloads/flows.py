@@ -55,14 +55,12 @@ def builtin_template(spark, sf):
     chosen = ["MACHINERY", "BUILDING", "HOUSEHOLD"]
 
     def extract(spark, config, context):
-        apps = iterator_entries(_segments(spark, sf), chosen)
-        mine = fanout.foreach_app(_orders_by_app(spark, sf), "app_id", apps, chosen)
-        return mine.drop("application_id", "application_name")
+        return _orders_by_app(spark, sf)
 
     spec = {
         "nodes": [
-            _node("iterator", "iterator", selected_keys=chosen),
-            _node("extract", "jdbc_extract"),
+            _node("iterator", "iterator", dictionary_id=1, selected_keys=chosen),
+            _node("extract", "jdbc_extract", app_column="app_id"),
             _node("settled", "filter", conditions=[{"column": "status", "operator": "IN", "value": "F, O"}]),
             _node(
                 "daily",
@@ -74,7 +72,8 @@ def builtin_template(spark, sf):
         ],
         "edges": _edges(("iterator", "extract"), ("extract", "settled"), ("settled", "daily"), ("daily", "target")),
     }
-    graph.run(spark, graph.Graph(spec, "daily"), graph.Environment(readers={"extract": extract}))
+    env = graph.Environment(readers={"extract": extract}, dictionaries={"1": _segments(spark, sf)})
+    graph.run(spark, graph.Graph(spec, "daily"), env)
     return spark.table(f"{db}.app_daily_aggregate").withColumn("total_amount", F.round("total_amount", 2))
 
 
@@ -282,3 +281,32 @@ def quarantine_rows(spark, sf):
     good, bad = split_valid(drifted_orders(spark, sf), ORDER_SCHEMA)
     kept = good.select(F.col("o_orderkey").cast("string"), "o_totalprice", F.lit(None).cast("string").alias("rejected_for"))
     return kept.union(bad.select("o_orderkey", "o_totalprice", F.concat_ws(",", "bad_columns")))
+
+
+@query("""
+SELECT o_orderstatus AS application_id, 'status ' || o_orderstatus AS application_name, COUNT(*) AS n
+FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY o_orderstatus
+""")
+def foreach_app_text(spark, sf):
+    """A query whose text names the application: built once per entry, read as one union."""
+    views(spark, sf, "orders")
+    path = scratch(spark, "statuses")
+    keys = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("key")).distinct()
+    entries = keys.select("key", F.concat(F.lit("status "), "key").alias("value"), F.lit(0).alias("position"))
+    entries.withColumn("extra", F.lit(None).cast("map<string,string>")).write.parquet(path)
+    sql = "SELECT o_orderkey, '$app_name' AS application_name FROM orders WHERE o_orderstatus = '$app_id'"
+    count = [{"column": "o_orderkey", "function": "count", "alias": "n"}]
+    spec = {
+        "nodes": [
+            _node("apps", "iterator", dictionary_id=1, selected_keys=["P", "F", "none"]),
+            _node("extract", "jdbc_extract", sql=sql),
+            _node("totals", "aggregate", group_by=["application_id", "application_name"], aggregations=count),
+            _node("out", "load_sql", table_name="unused"),
+        ],
+        "edges": _edges(("apps", "extract"), ("extract", "totals"), ("totals", "out")),
+    }
+    env = graph.Environment(
+        readers={"extract": lambda spark, config, context: spark.sql(context.render(config["sql"]))},
+        dictionaries={"1": spark.read.parquet(path)},
+    )
+    return graph.build(spark, graph.Graph(spec), env)[0]["totals"]
