@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from millrace.functions import coerce
 from millrace.operators.order import input_order
+from millrace.operators.size import fits_broadcast
+from millrace.session import scratch_path
 
 Transform = Callable[[DataFrame], DataFrame]
 
 ALIASES = {"average": "avg", "mean": "avg"}
 ORDERED = ("first", "last")
-# Rank error of the quantile sketch is at most n / ACCURACY; the bracket is three times as wide.
+# A group with more values than this is never sorted as a whole.
+GROUP_ROWS = 100_000
+# Rank error of the quantile sketch is at most n / ACCURACY; the bracket around the middle is three times as wide.
 ACCURACY = 10_000
 BRACKET = 3 / ACCURACY
 
@@ -74,27 +78,33 @@ KNOWN = {
 }
 
 
-def exact_median(df: DataFrame, keys: list[str], column: str, alias: str) -> DataFrame:
-    """Exact median per group without holding a group's values in one place.
+def _sorted_medians(values: DataFrame, groups: list[str]) -> DataFrame:
+    """Medians of groups that are known to be small, by sorting each."""
+    group = Window.partitionBy(*groups)
+    ranked = values.withColumns(
+        {"__n": F.count(F.lit(1)).over(group), "__r": F.row_number().over(group.orderBy("__v"))}
+    )
+    middle = ranked.where("__r = (__n + 1) div 2 OR __r = __n div 2 + 1")
+    return middle.groupBy(*groups).agg(F.avg("__v").alias("__median"))
+
+
+def _bracketed_medians(values: DataFrame, groups: list[str], few_groups: bool) -> DataFrame:
+    """Medians of large groups, none of which is ever held in one place.
 
-    A quantile sketch brackets the middle of each group. The second pass counts the
+    A quantile sketch brackets the middle of each group. A second pass counts the
     values below the bracket and sorts only the distinct values inside it.
     """
-    value = coerce.number(F.col(f"`{column}`"), df.schema[column].dataType)
-    named = [F.col(f"`{k}`").alias(f"__g{i}") for i, k in enumerate(keys)] or [F.lit(1).alias("__g0")]
-    groups = [f"__g{i}" for i in range(max(1, len(keys)))]
-    rows = df.select(*named, value.alias("__v")).where("__v is not null")
     edges = F.percentile_approx("__v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY)
-    # The struct keys below hide how the rows are already placed: the join gets plain shuffles on both
-    # sides, which Spark can split where a group is hot, and the count gets a shuffle by value of its own.
+    # The struct keys hide how the rows are already placed: the join gets plain shuffles on both sides,
+    # which Spark can split where a group is hot, and the count gets a shuffle by value of its own.
     brackets = (
-        rows.groupBy(F.struct(*groups).alias("__g"))
+        values.groupBy(F.struct(*groups).alias("__g"))
         .agg(F.count(F.lit(1)).alias("__n"), edges.alias("__e"))
         .select("__g.*", "__n", F.col("__e")[0].alias("__lo"), F.col("__e")[1].alias("__hi"))
     )
     # Values below the bracket fold into one row per group, so only the bracket itself is counted by value.
     placed = (
-        rows.join(brackets, groups)
+        values.join(F.broadcast(brackets) if few_groups else brackets, groups)
         .where("__v <= __hi")
         .select(F.struct(*groups).alias("__g"), "__n", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v"))
         .groupBy("__g", "__n", "__v")
@@ -108,13 +118,35 @@ def exact_median(df: DataFrame, keys: list[str], column: str, alias: str) -> Dat
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("__to") - F.col("__c") < rank) & (rank <= F.col("__to")), F.col("__v")))
 
-    return (
-        ranked.groupBy("__g")
-        .agg(((at(low) + at(high)) / 2).alias(alias))
-        .select("__g.*", alias)
-        .withColumnsRenamed({f"__g{i}": k for i, k in enumerate(keys)})
-        .drop(*([] if keys else ["__g0"]))
-    )
+    found = ranked.groupBy("__g").agg(((at(low) + at(high)) / 2).alias("__median"))
+    return found.select("__g.*", "__median")
+
+
+def _with_medians(out: DataFrame, rows: DataFrame, keys: list[str], medians: dict[str, Column]) -> DataFrame:
+    """Add exact medians to an aggregate that counted their values as ``__n_<alias>``.
+
+    The aggregate is written once to the shared scratch folder: it is read for its
+    own result and for the list of large groups, which take another way than the rest.
+    """
+    path = scratch_path(out.sparkSession, "aggregate")
+    out.write.parquet(path)
+    out = out.sparkSession.read.parquet(path)
+    groups = [f"__g{i}" for i in range(len(keys))]
+    named = [F.col(f"`{k}`").alias(g) for k, g in zip(keys, groups)]
+    for alias, value in medians.items():
+        values = rows.select(*named, value.alias("__v")).where("__v is not null")
+        large = out.where(F.col(f"`__n_{alias}`") > GROUP_ROWS).select(*named)
+        if large.isEmpty():
+            found = _sorted_medians(values, groups)
+        else:
+            few = fits_broadcast(large)
+            large = F.broadcast(large) if few else large
+            small = _sorted_medians(values.join(large, groups, "left_anti"), groups)
+            found = small.union(_bracketed_medians(values.join(large, groups, "left_semi"), groups, few))
+        match = reduce(and_, [F.col(f"`{k}`") == F.col(g) for k, g in zip(keys, groups)])
+        kept = [f"`{c}`" for c in out.columns if c != f"__n_{alias}"]
+        out = out.join(found, match, "left").select(*kept, F.col("__median").alias(alias))
+    return out
 
 
 def aggregate(
@@ -140,20 +172,22 @@ def aggregate(
         present = [s for s in specs if s.get("column") in df.columns]
         if not present:
             raise ValueError("no aggregated column is in the table")
-        measures, medians = {}, {}
+        measures, medians, order = {}, {}, []
         for spec in present:
             column, fn = spec["column"], (spec.get("function") or "sum").lower()
             fn = ALIASES.get(fn, fn)
             if fn not in KNOWN:
                 raise ValueError(f"unknown aggregate function {fn!r}")
             alias = spec.get("alias") or column
-            if alias in measures or alias in medians:
+            if alias in order:
                 alias = f"{alias}_{fn}"
+            order.append(alias)
+            col, dtype = F.col(f"`{column}`"), df.schema[column].dataType
             if fn == "median":
-                medians[alias] = column
+                value = medians[alias] = coerce.number(col, dtype)
+                measures[f"__n_{alias}"] = F.count(value)
             else:
-                col = F.col(f"`{column}`")
-                measures[alias] = _measure(fn, col, df.schema[column].dataType, bool(keys)).alias(alias)
+                measures[alias] = _measure(fn, col, dtype, bool(keys))
 
         rows = df
         if any((s.get("function") or "").lower() in ORDERED for s in present):
@@ -163,21 +197,18 @@ def aggregate(
             if isinstance(df.schema[k].dataType, coerce.FRACTIONAL):
                 rows = rows.where(~F.isnan(f"`{k}`"))
 
-        quoted = [f"`{k}`" for k in keys]
+        named = [m.alias(a) for a, m in measures.items()]
+        groups = keys
         if keys:
-            out = rows.groupBy(*quoted).agg(*measures.values()) if measures else rows.select(*quoted).distinct()
+            out = rows.groupBy(*[f"`{k}`" for k in keys]).agg(*named)
         else:
-            out = rows.agg(*measures.values(), F.count(F.lit(1)).alias("__n")).where("__n > 0")
-        for alias, column in medians.items():
-            middle = exact_median(rows, keys, column, alias)
-            if not keys:
-                out = out.withColumn("__one", F.lit(1)).join(middle.withColumn("__one", F.lit(1)), "__one", "left")
-                out = out.drop("__one")
-            else:
-                renamed = middle.withColumnsRenamed({k: f"__{k}" for k in keys})
-                match = reduce(and_, [F.col(f"`{k}`") == F.col(f"`__{k}`") for k in keys])
-                out = out.join(renamed, match, "left").drop(*[f"__{k}" for k in keys])
-        out = out.select(*quoted, *[f"`{a}`" for a in [*measures, *medians]])
-        return out.orderBy(*quoted) if sort_output and keys else out
+            out = rows.agg(*named, F.count(F.lit(1)).alias("__rows")).where("__rows > 0")
+            if medians:
+                groups = ["__one"]
+                rows, out = rows.withColumn("__one", F.lit(1)), out.withColumn("__one", F.lit(1))
+        if medians:
+            out = _with_medians(out, rows, groups, medians)
+        out = out.select(*[f"`{c}`" for c in [*keys, *order]])
+        return out.orderBy(*[f"`{k}`" for k in keys]) if sort_output and keys else out
 
     return apply

@@ -149,15 +149,18 @@ def test_group_functions_match_pandas(spark):
             assert same, (f, k, a, b)
 
 
-def test_median_of_a_hot_group(spark):
+@pytest.mark.parametrize("limits", [(100_000, 100_000), (1000, 100_000), (1000, 1), (30, 100_000)])
+def test_median_of_a_hot_group(spark, monkeypatch, limits):
     """Two thirds of the rows in one group, many of them equal, others all distinct."""
+    monkeypatch.setattr("millrace.operators.aggregate.GROUP_ROWS", limits[0])
+    monkeypatch.setattr(size, "MAX_ROWS", limits[1])
     df = spark.range(0, 90_000, 1, 8).selectExpr(
         "IF(id % 3 = 0, id % 50, -1) AS k", "IF(id % 5 = 0, 0.0, cast(hash(id) AS double)) AS v"
     )
-    ours = dict(values(df.transform(aggregate(["k"], [{"column": "v", "function": "median", "alias": "m"}]))))
-    assert ours == df.toPandas().groupby("k")["v"].median().to_dict()
-    whole = df.transform(aggregate([], [{"column": "v", "function": "median", "alias": "m"}])).first()["m"]
-    assert whole == df.toPandas()["v"].median()
+    median = [{"column": "v", "function": "median", "alias": "m"}]
+    pdf = df.toPandas()
+    assert dict(values(df.transform(aggregate(["k"], median)))) == pdf.groupby("k")["v"].median().to_dict()
+    assert df.transform(aggregate([], median)).first()["m"] == pdf["v"].median()
 
 
 # ---- joins
@@ -223,6 +226,7 @@ def test_hot_keys_are_split(spark, monkeypatch):
         assert "SortMergeJoin(skew=true)" in final_plan(missing)
         entries = one.selectExpr("string(k2) AS key", "string(w) AS value", "k2 AS position")
         assert "SortMergeJoin(skew=true)" in final_plan(hot.transform(join.lookup(entries, "k", "w")))
+        monkeypatch.setattr("millrace.operators.aggregate.GROUP_ROWS", 3)
         middle = hot.transform(aggregate(["k"], [{"column": "v", "function": "median", "alias": "m"}]))
         assert "SortMergeJoin(skew=true)" in final_plan(middle)
     finally:

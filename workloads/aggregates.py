@@ -39,7 +39,7 @@ def agg_global(spark, sf):
 
 
 @query("""
-SELECT kind, user_id, COUNT(value) AS n, ROUND(SUM(value), 2) AS total, ROUND(AVG(value), 6) AS mean
+SELECT kind, user_id, COUNT(value) AS n, ROUND(SUM(value), 2) AS total, ROUND(AVG(value), 9) AS mean
 FROM (SELECT *, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS kind FROM events)
 WHERE kind IS NOT NULL GROUP BY kind, user_id
 """)
@@ -48,7 +48,7 @@ def agg_group(spark, sf):
     kind = F.when(F.col("event_type") != "error", F.col("event_type"))
     specs = _specs(("value", "count", "n"), ("value", "sum", "total"), ("value", "average", "mean"))
     grouped = table(spark, sf, "events").withColumn("kind", kind).transform(aggregate(["kind", "user_id"], specs))
-    return _rounded(_rounded(grouped, "total"), "mean", places=6)
+    return _rounded(_rounded(grouped, "total"), "mean", places=9)
 
 
 def _one(name: str, function: str, expression: str, places: int | None = None) -> None:
@@ -63,8 +63,8 @@ def _one(name: str, function: str, expression: str, places: int | None = None) -
 
 
 _one("agg_sum", "sum", "ROUND(SUM(l_extendedprice), 2)", 2)
-_one("agg_avg", "avg", "ROUND(AVG(l_extendedprice), 4)", 4)
-_one("agg_average_alias", "average", "ROUND(AVG(l_extendedprice), 4)", 4)
+_one("agg_avg", "avg", "ROUND(AVG(l_extendedprice), 9)", 9)
+_one("agg_average_alias", "average", "ROUND(AVG(l_extendedprice), 9)", 9)
 _one("agg_count", "count", "COUNT(l_extendedprice)")
 _one("agg_min", "min", "MIN(l_extendedprice)")
 _one("agg_max", "max", "MAX(l_extendedprice)")
@@ -106,12 +106,14 @@ def dedup_keys(spark, sf):
 
 @query("""
 SELECT CAST(o_orderdate AS DATE) AS business_date, o_orderpriority AS application_id, o_orderstatus AS status,
-       COUNT(*) AS trade_count, ROUND(SUM(o_totalprice), 2) AS total_amount, ROUND(AVG(o_totalprice), 4) AS avg_amount,
+       COUNT(*) AS trade_count, CAST(SUM(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total_amount,
+       CAST(SUM(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / COUNT(*) AS avg_amount,
        MAX(o_totalprice) AS max_amount, MIN(o_totalprice) AS min_amount
 FROM orders GROUP BY ALL
 """)
 def daily_summary(spark, sf):
     price = F.col("o_totalprice")
+    total = F.sum(price.cast("decimal(18,2)")).cast("double")  # exact, whatever the order of the rows
     keys = [
         F.to_date("o_orderdate").alias("business_date"),
         F.col("o_orderpriority").alias("application_id"),
@@ -119,8 +121,8 @@ def daily_summary(spark, sf):
     ]
     summary = table(spark, sf, "orders").groupBy(*keys).agg(
         F.count(F.lit(1)).alias("trade_count"),
-        F.round(F.sum(price), 2).alias("total_amount"),
-        F.round(F.avg(price), 4).alias("avg_amount"),
+        total.alias("total_amount"),
+        (total / F.count(F.lit(1))).alias("avg_amount"),
         F.max(price).alias("max_amount"),
         F.min(price).alias("min_amount"),
     )
