@@ -9,7 +9,7 @@ from graphlib import CycleError, TopologicalSorter
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from millrace.functions.templating import resolve_dates
-from millrace.functions.tokens import path_token
+from millrace.functions.tokens import compact_date, path_token
 from millrace.operators.aggregate import aggregate
 from millrace.operators.columns import basic_chain
 from millrace.operators.combine import union_by_name
@@ -257,7 +257,7 @@ def _save(node: Node, df: DataFrame, graph: Graph, env: Environment, ctx: RunCon
     if env.output is None:
         raise ValueError(f"{node.id} writes files, but the environment has no output root")
     layout = Layout(env.output.root, cfg.get("output_dir"), cfg.get("path_template"))
-    path = layout.dataset(ctx.business_date or "undated", graph.name, node.label, ctx.app_id)
+    path = layout.dataset(compact_date(ctx.business_date or "undated"), graph.name, node.label, ctx.app_id)
     rows = write_parquet(df, path, mode, cfg.get("partition_by"), cfg.get("rows_per_segment"))
     return {"path": path, "rows_loaded": rows}
 

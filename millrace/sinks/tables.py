@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import reduce
 
@@ -97,8 +98,8 @@ def apps_frame(spark: SparkSession, base: str, fmt: str = "parquet", schema=None
     if fmt == "csv":
         reader = reader.options(header=True, inferSchema=schema is None)
     df = (reader.schema(schema) if schema else reader).format(fmt).load(base)
-    leaf = base.rstrip("/").split("/")[-1]
-    folder = F.regexp_extract(F.col("_metadata.file_path"), f"/{leaf}/([^/]+)/[^/]+$", 1)
+    place = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", base).rstrip("/"))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), f"^.*?{place}/([^/]+)/.+$", 1)
     return df.withColumn("application_id", F.nullif(folder, F.lit("")))
 
 

@@ -208,7 +208,7 @@ def test_apps_differ_in_columns(spark, tmp_path, db):
     place = layout.Layout(str(tmp_path))
     base = place.dataset("20260416", "p", "x")
     sink.write_parquet(spark.sql("SELECT 1L AS a, 'r' AS b"), base)
-    sink.write_parquet(spark.sql("SELECT 2L AS a, 2.5D AS c"), f"{base}/APP_1")
+    sink.write_parquet(spark.sql("SELECT 2L AS a, 2.5D AS c"), f"{base}/APP_1/X/deeper")
     tables.load_apps(spark, base, db, "t")
     got = sorted((tuple(r) for r in spark.table(f"{db}.t").select("a", "b", "c", "application_id").collect()))
     assert got == [(1, "r", None, None), (2, None, 2.5, "APP_1")]

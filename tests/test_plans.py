@@ -81,7 +81,7 @@ def test_run_with_two_sources_and_staging(spark, db, tmp_path):
     env = graph.Environment(readers={"table_extract": reader}, output=Layout(str(tmp_path)))
     done = {r["node_id"]: r for r in graph.run(spark, g, env, RunContext("2026-04-16"))}
     assert done["stage"]["rows_loaded"] == 3 and done["out"]["rows_loaded"] == 3 and sorted(reads) == [2, 3]
-    assert done["stage"]["path"] == f"{tmp_path}/2026-04-16/PIPELINE/STAGE"
+    assert done["stage"]["path"] == f"{tmp_path}/20260416/PIPELINE/STAGE"
     assert sorted(tuple(r) for r in spark.table(f"{db}.t").collect()) == [(1, 2), (1, 3), (2, 3)]
     frames, nothing = graph.build(spark, g, env)
     assert nothing == [] and frames["out"].count() == 3

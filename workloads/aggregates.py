@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.operators import combine, dictionary
 from millrace.operators.aggregate import aggregate
 from millrace.operators.dedup import dedup
-from workloads.registry import nation_dictionary, query, table
+from workloads.registry import customer_dictionary, query, table
 from workloads.rows import LINE_ORDER
 
 
@@ -135,12 +135,12 @@ def count_by_class(spark, sf):
 
 
 @query("""
-SELECT 'parity' AS "column", CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS value FROM nation GROUP BY ALL
-UNION ALL
-SELECT 'region', r_name FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
+SELECT 'segment' AS "column", c_mktsegment AS value FROM customer GROUP BY c_mktsegment
+UNION ALL SELECT 'nation', CAST(c_nationkey AS VARCHAR) FROM customer GROUP BY c_nationkey
+UNION ALL (SELECT DISTINCT 'funds', 'yes' FROM customer WHERE c_acctbal > 0)
 """)
 def distinct_facets(spark, sf):
-    return dictionary.facets(nation_dictionary(spark, sf), ["region", "parity", "not_there"])
+    return dictionary.facets(customer_dictionary(spark, sf), ["segment", "nation", "funds", "not_there"])
 
 
 TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events", "documents")

@@ -4,29 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import join
-from workloads.registry import nation_dictionary, query, table
+from millrace.operators import dictionary, join
+from workloads.registry import customer_dictionary, query, table
 
 CUSTOMER_KEY = [{"left": "o_custkey", "right": "c_custkey"}]
 
 
 @query("""
-SELECT c_custkey, c_nationkey,
-       CASE WHEN c_nationkey < 5 THEN 'renamed ' || c_nationkey
-            WHEN c_nationkey < 20 THEN (SELECT n_name FROM nation WHERE n_nationkey = c_nationkey)
-            ELSE 'n/a' END AS nation_name
-FROM customer
+SELECT o_orderkey, CASE WHEN c_acctbal <= 0 THEN 'n/a' WHEN c_mktsegment = 'BUILDING' THEN 'builder ' || c_custkey
+                        ELSE c_name END AS customer_name
+FROM orders JOIN customer ON o_custkey = c_custkey
 """)
 def lookup(spark, sf):
-    """Part of the nations only, and the first five keys entered a second time."""
-    entries = nation_dictionary(spark, sf).drop("extra").where("position < 20")
-    again = entries.where("position < 5").select(
-        "key", F.concat(F.lit("renamed "), "key").alias("value"), (F.col("position") + 1000).alias("position")
+    """Customers without funds are missing from the dictionary; builders are entered twice, the later entry counts."""
+    entries = customer_dictionary(spark, sf).where(dictionary.extra_column("funds") == "yes")
+    again = entries.where(dictionary.extra_column("segment") == "BUILDING").select(
+        "key", F.concat(F.lit("builder "), "key").alias("value"), (F.col("position") + 2**40).alias("position")
     )
-    mapped = table(spark, sf, "customer").transform(
-        join.lookup(entries.union(again), "c_nationkey", "nation_name", "n/a")
-    )
-    return mapped.select("c_custkey", "c_nationkey", "nation_name")
+    both = entries.drop("extra").union(again)
+    mapped = table(spark, sf, "orders").transform(join.lookup(both, "o_custkey", "customer_name", "n/a"))
+    return mapped.select("o_orderkey", "customer_name")
 
 
 @query("""

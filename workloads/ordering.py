@@ -8,7 +8,7 @@ from millrace.operators import dictionary, order, paging
 from millrace.plans import transforms
 from millrace.sinks.files import write_parquet
 from millrace.sources.layout import preview_dataset
-from workloads.registry import nation_dictionary, query, scratch, table, views
+from workloads.registry import customer_dictionary, query, scratch, table, views
 
 
 @query("""
@@ -51,12 +51,12 @@ def sort_natural(spark, sf):
 
 
 @query("""
-SELECT CAST(n_nationkey AS VARCHAR) AS key, row_number() OVER (ORDER BY lower(r_name) DESC, n_nationkey) AS position
-FROM nation JOIN region ON n_regionkey = r_regionkey
+SELECT CAST(c_custkey AS VARCHAR) AS key, row_number() OVER (ORDER BY lower(c_mktsegment) DESC, c_custkey) AS position
+FROM customer
 """)
 def sort_case_insensitive(spark, sf):
-    entries = nation_dictionary(spark, sf)
-    keys = [*dictionary.case_insensitive_keys("region", "desc"), (F.col("position"), "asc")]
+    entries = customer_dictionary(spark, sf)
+    keys = [*dictionary.case_insensitive_keys("segment", "desc"), (F.col("position"), "asc")]
     numbered = order.number_sorted(entries.select("key", "extra", "position"), keys, "n")
     return numbered.select("key", F.col("n").alias("position"))
 

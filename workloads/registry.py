@@ -64,3 +64,16 @@ def nation_dictionary(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("extra"),
         F.col("n_nationkey").alias("position"),
     )
+
+
+def customer_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as a dictionary; unlike nations it grows with the data."""
+    return table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("key"),
+        F.col("c_name").alias("value"),
+        F.create_map(
+            F.lit("segment"), "c_mktsegment", F.lit("nation"), F.col("c_nationkey").cast("string"),
+            F.lit("funds"), F.when(F.col("c_acctbal") > 0, "yes").otherwise(""),
+        ).alias("extra"),
+        F.col("c_custkey").alias("position"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 from millrace.operators import columns, dictionary, grid
 from millrace.operators.predicates import filter_equal, filter_rows
 from millrace.plans import ledger as runs
-from workloads.registry import nation_dictionary, query, table
+from workloads.registry import customer_dictionary, query, table
 
 
 def _filter(name: str, source: str, conditions: list[tuple], sql: str, logic: str = "AND", prepare=None) -> None:
@@ -170,23 +170,34 @@ def grid_transpose(spark, sf):
 
 
 @query("""
-SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey
-WHERE contains(lower(n_name), 'nation_1') AND r_name = 'ASIA'
+SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS value FROM customer
+WHERE contains(lower(c_name), 'customer#00000') AND contains(CAST(c_custkey AS VARCHAR), '1') AND c_mktsegment = 'BUILDING'
 """)
 def dictionary_entry_filter(spark, sf):
-    found = dictionary.entry_filter(nation_dictionary(spark, sf), value=" Nation_1 ", extras={"region": "ASIA"})
+    extras = {"segment": "BUILDING", "nation": " "}
+    found = dictionary.entry_filter(customer_dictionary(spark, sf), "1", " CUSTOMER#00000 ", extras)
     return found.select("key", "value")
 
 
 @query("""
-SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS value,
-       CAST(list_position(['12', '3', '8', '20', '99'], CAST(n_nationkey AS VARCHAR)) AS BIGINT) AS iteration
-FROM nation WHERE n_nationkey IN (12, 3, 8, 20) AND n_nationkey % 2 = 0
+SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS value, c_custkey AS iteration FROM customer
+WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 0
 """)
 def iterator_entry_filter(spark, sf):
-    wanted = [{"column": "parity", "value": "even"}, {"column": "", "value": "x"}]
-    found = dictionary.iterator_entries(nation_dictionary(spark, sf), ["12", "3", "8", "20", "99"], wanted)
-    return found.select("key", "value", "iteration")
+    """No key selected means all entries, in dictionary order."""
+    wanted = [{"column": "segment", "value": "MACHINERY"}, {"column": "funds", "value": "yes"}, {"column": "", "value": "x"}]
+    return dictionary.iterator_entries(customer_dictionary(spark, sf), [], wanted).select("key", "value", "iteration")
+
+
+@query("""
+SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS value,
+       list_position(['120', '3', '8', '20', 'none'], CAST(c_custkey AS VARCHAR)) AS iteration
+FROM customer WHERE c_custkey IN (120, 3, 8, 20)
+""".replace("list_position", "CAST(list_position").replace("AS VARCHAR)) AS iteration", "AS VARCHAR)) AS BIGINT) AS iteration"))
+def iterator_selected_keys(spark, sf):
+    """Selected keys keep the order of their selection."""
+    chosen = ["120", "3", "8", "20", "none"]
+    return dictionary.iterator_entries(customer_dictionary(spark, sf), chosen).select("key", "value", "iteration")
 
 
 @query("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import coerce, templating, tokens
 from millrace.operators.columns import literal_columns
 from millrace.operators.dictionary import extra_column
-from workloads.registry import nation_dictionary, query, table, views
+from workloads.registry import customer_dictionary, query, table, views
 
 # DuckDB spelling of the six date formats.
 SQL_FORMATS = {
@@ -197,13 +197,10 @@ def random_id(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", tokens.random_id(seed=7).alias("random_id"))
 
 
-@query("""
-SELECT CAST(n_nationkey AS VARCHAR) AS key, r_name AS region, '' AS missing
-FROM nation JOIN region ON n_regionkey = r_regionkey
-""")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_mktsegment AS segment, '' AS missing FROM customer")
 def extra_columns(spark, sf):
-    return nation_dictionary(spark, sf).select(
-        "key", extra_column("region").alias("region"), extra_column("not_there").alias("missing")
+    return customer_dictionary(spark, sf).select(
+        "key", extra_column("segment").alias("segment"), extra_column("not_there").alias("missing")
     )
 
 
