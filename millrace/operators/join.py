@@ -20,12 +20,15 @@ def _on(keys: list[dict]) -> Column:
     return reduce(and_, [F.col(f"l.`{k['left']}`") == F.col(f"r.`{k['right']}`") for k in keys])
 
 
-def _output(left: DataFrame, right: DataFrame, keys: list[dict], prefix: str) -> tuple[list[Column], list[Column]]:
-    """Output columns of both sides; a right column whose name clashes gets the prefix."""
-    taken = set(left.columns)
-    lefts = [F.col(f"l.`{c}`").alias(c) for c in left.columns]
-    rights = [F.col(f"r.`{c}`").alias(f"{prefix}{c}" if c in taken else c) for c in right.columns]
-    return lefts, rights
+def _right_names(left: DataFrame, right: DataFrame, prefix: str) -> list[str]:
+    """Output names of the right columns: one that clashes gets the prefix."""
+    taken, names = set(left.columns), []
+    for name in right.columns:
+        while name in taken:
+            name = f"{prefix}{name}"
+        taken.add(name)
+        names.append(name)
+    return names
 
 
 def _padded(columns: list[str], frame: DataFrame, names: list[str]) -> list[Column]:
@@ -66,10 +69,9 @@ def join_tables(
 
     def apply(left: DataFrame) -> DataFrame:
         lk, rk = [k["left"] for k in keys], [k["right"] for k in keys]
-        lefts, rights = _output(left, other, keys, prefix)
-        out = lefts + rights
-        l_names = left.columns
-        r_names = [f"{prefix}{c}" if c in l_names else c for c in other.columns]
+        l_names, r_names = left.columns, _right_names(left, other, prefix)
+        out = [F.col(f"l.`{c}`").alias(c) for c in l_names]
+        out += [F.col(f"r.`{c}`").alias(n) for c, n in zip(other.columns, r_names)]
 
         def plain(a: DataFrame, b: DataFrame, mode: str) -> DataFrame:
             return a.alias("l").join(b.alias("r"), _on(keys), mode).select(*out)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from functools import reduce
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.operators.combine import union_by_name
 from millrace.sinks.files import by_partition, counted, write_mode
-from millrace.sources.files import scan_files
+from millrace.sources.files import below, decoded, scan_files
 
 
 def quoted(namespace: str, table: str) -> str:
@@ -98,8 +97,7 @@ def apps_frame(spark: SparkSession, base: str, fmt: str = "parquet", schema=None
     if fmt == "csv":
         reader = reader.options(header=True, inferSchema=schema is None)
     df = (reader.schema(schema) if schema else reader).format(fmt).load(base)
-    place = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", base).rstrip("/"))
-    folder = F.regexp_extract(F.col("_metadata.file_path"), f"^.*?{place}/([^/]+)/.+$", 1)
+    folder = F.regexp_extract(decoded(F.col("_metadata.file_path")), f"{below(base)}([^/]+)/.+$", 1)
     return df.withColumn("application_id", F.nullif(folder, F.lit("")))
 
 

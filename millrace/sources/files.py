@@ -6,8 +6,9 @@ import codecs
 import fnmatch
 import re
 from collections.abc import Callable
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 # Format by file extension.
 EXTENSIONS = {
@@ -86,7 +87,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 def first_file(spark: SparkSession, path: str, accept: Callable[[str], bool] = bool) -> str:
     """Name of the first accepted file. Only Spark's file listing is read; no job runs."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).inputFiles()
-    name = min(filter(accept, files), default=None)
+    name = min(filter(accept, map(unquote, files)), default=None)
     if name is None:
         raise FileNotFoundError(f"no matching file below {path}")
     return name
@@ -111,6 +112,16 @@ def scan_files(
     return _reader(spark, schema, options).format(fmt).load(path)
 
 
+def below(path: str) -> str:
+    """Expression for a file URI up to and with the folder ``path``, whatever its scheme."""
+    return f"^.*?{re.escape(re.sub(r'^[a-z0-9]+:/*', '/', path).rstrip('/'))}/"
+
+
+def decoded(uri: Column) -> Column:
+    """A file URI as plain text."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def _pattern(glob: str) -> str:
     """Regular expression of a pattern in which ``*`` also crosses folders."""
     body = fnmatch.translate(glob)
@@ -146,16 +157,14 @@ def scan_glob(
         fmt = detect_format(first_file(spark, base, lambda name: re.search(expression, name) is not None))
     opts = {**({"pathGlobFilter": ending} if ending else {}), **(options or {})}
     df = scan_files(spark, base, fmt, schema, options=opts, **csv)
-    return df.where(F.col("_metadata.file_path").rlike(expression))
+    return df.where(decoded(F.col("_metadata.file_path")).rlike(expression))
 
 
 def _path_expression(root: str, prefix: str, pattern: str) -> str:
-    """Expression for the URIs of matching files; the root is compared without its scheme."""
-    place = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", root).rstrip("/"))
-    below = re.escape(f"/{prefix}") if prefix else ""
+    """Expression for the files whose key matches, relative to the prefix or whole from the root."""
     body = _pattern(pattern)
-    # relative to the prefix, or the whole key from the root
-    return f"^.*?{place}(?:{below}/(?s:{body})|(?={below}/)/(?s:{body}))$"
+    inside = f"{re.escape(prefix)}/" if prefix else ""
+    return f"{below(root)}(?:{inside}(?s:{body})|(?={inside})(?s:{body}))$"
 
 
 def business_date_filter(df: DataFrame, column: str, date: str) -> DataFrame:

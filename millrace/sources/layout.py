@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions.tokens import path_token, view_name
-from millrace.sources.files import list_files
+from millrace.sources.files import below, list_files
 
 DATA_SUFFIX = r"\.(parquet|csv|csv\.gz)$"
 
@@ -38,16 +38,10 @@ class Layout:
         return "/".join([self.root.rstrip("/"), *[p for p in parts if p]])
 
 
-def _relative(root: str, path: Column) -> Column:
-    """A file's path below the root."""
-    start = root.split("://")[-1].split(":", 1)[-1].strip("/")
-    return F.substring_index(path, f"{start}/", -1)
-
-
 def list_datasets(spark: SparkSession, root: str) -> DataFrame:
     """Dataset folders at whatever depth: name, format, files, bytes, last change and view name."""
     files = list_files(spark, root).where(F.col("path").rlike(DATA_SUFFIX) & ~F.col("path").rlike(r"/[_.][^/]*$"))
-    rel = _relative(root, F.col("path"))
+    rel = F.regexp_extract("path", f"{below(root)}(.*)$", 1)
     named = files.select(
         F.regexp_replace(rel, r"/[^/]*$", "").alias("name"),
         F.when(rel.endswith(".parquet"), "parquet").otherwise("csv").alias("format"),

@@ -70,6 +70,13 @@ def test_glob_follows_fnmatch(spark, tmp_path, pattern):
             files.scan_glob(spark, str(tmp_path), "in", pattern)
 
 
+def test_glob_with_odd_names(spark, tmp_path):
+    put(tmp_path / "my in/a b+c.json", '{"n": 1}\n')
+    put(tmp_path / "my in/a_b+c.json", '{"n": 2}\n')
+    got = files.scan_glob(spark, str(tmp_path), "my in", "a b+*.json", schema="n int")
+    assert [r.n for r in got.collect()] == [1]
+
+
 def test_object_store_options():
     store = ObjectStore("bucket", access_key="k", secret_key="s", endpoint_url="http://minio:9000")
     assert store.root == "s3a://bucket" and "secret" not in repr(store)
@@ -204,6 +211,12 @@ def test_listing_views_and_merge(spark, tmp_path, db):
     assert spark.table(f"{db}.y").count() == 5 and not spark.catalog.tableExists("20260417__p_y_")
 
 
+def test_listing_where_the_root_name_comes_again(spark, tmp_path):
+    root = str(tmp_path / "data")
+    sink.write_parquet(spark.range(2), f"{root}/20260416/P/X_data/data")
+    assert [r.name for r in layout.list_datasets(spark, root).collect()] == ["20260416/P/X_data/data"]
+
+
 def test_apps_differ_in_columns(spark, tmp_path, db):
     place = layout.Layout(str(tmp_path))
     base = place.dataset("20260416", "p", "x")

@@ -192,7 +192,13 @@ def test_joins(rows, monkeypatch, kind, limit):
         assert sorted(values(plain), key=str) == brute_join(kind)
 
 
-def skewed(spark, **settings):
+def test_join_names_stay_unique(rows):
+    left, right = rows([(1, 2)], "k int, right_k int"), rows([(1, 3)], "k int, right_right_k int")
+    out = left.transform(join.join_tables(right, [{"left": "k", "right": "k"}]))
+    assert out.columns == ["k", "right_k", "right_right_k", "right_right_right_k"]
+
+
+def skewed(spark):
     """Settings under which a small table already counts as skewed."""
     names = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
