@@ -6,8 +6,9 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.operators.combine import union_by_name
 from millrace.operators.paging import page
 from millrace.plans.context import RunContext
 from millrace.sinks.tables import quoted, write_table
@@ -126,6 +127,16 @@ def export_frames(frames: dict[str, DataFrame], name: str, target_db: str, table
     return write_table(frames[name], target_db, table, mode)
 
 
+def export_for_apps(
+    spark: SparkSession, fn: CallableTransform, contexts: list[RunContext], target_db: str, table: str, mode: str = "overwrite"
+) -> dict:
+    """Run a callable once per application and save all results as one table: one union, one write."""
+    frames = [fn(spark, None, ctx).withColumn("application_id", F.lit(ctx.app_id)) for ctx in contexts]
+    if not frames:
+        raise ValueError("no application to run for")
+    return write_table(union_by_name(*frames), target_db, table, mode)
+
+
 def preview(df: DataFrame, transform: str | CallableTransform, limit: int = 100, order_by: list | None = None):
     """First rows of a transform; nothing is written."""
     out = sql_over(df, transform) if isinstance(transform, str) else apply_callable(df, transform)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from millrace.operators.columns import schema_descriptor
+from millrace.operators.columns import schema_descriptor, schema_from_descriptor
 from millrace.operators.paging import BULK_LIMIT
 
 # Mode names by config value.
 MODES = {"overwrite": "overwrite", "append": "append", "ignore": "ignore", "error": "errorifexists"}
 ROWS_PER_SEGMENT = 100_000
+SCHEMA_ROWS = "position int, name string, type string, nullable boolean"
 
 
 def write_mode(mode) -> str:
@@ -78,13 +80,19 @@ def extract_to_parquet(df: DataFrame, path: str, chunk_size: int = ROWS_PER_SEGM
     spark: SparkSession = df.sparkSession
     rows = write_parquet(df, path, rows_per_file=chunk_size)
     schema = schema_descriptor(df.schema)
-    spark.createDataFrame(schema, "name string, type string, nullable boolean").coalesce(1).write.mode(
-        "overwrite"
-    ).json(f"{path}/_schema")
+    fields = [(i, f["name"], f["type"], f["nullable"]) for i, f in enumerate(schema)]
+    kept = spark.createDataFrame(fields, SCHEMA_ROWS).coalesce(1)
+    kept.write.mode("overwrite").json(f"{path}/_schema")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path").count()
     return {"total_rows": rows, "file_count": files, "output_dir": path, "schema": schema}
 
 
+def saved_schema(spark: SparkSession, path: str) -> StructType:
+    """The schema that ``extract_to_parquet`` kept beside a dataset."""
+    rows = spark.read.schema(SCHEMA_ROWS).json(f"{path}/_schema").orderBy("position").collect()
+    return schema_from_descriptor([r.asDict() for r in rows])
+
+
 def export_csv(df: DataFrame, path: str, max_rows: int = 100_000, order_by: list | None = None) -> int:
     """One CSV file with header, for download. The row cap is the feature; it bounds the single task."""
     if max_rows > BULK_LIMIT:

@@ -172,6 +172,7 @@ def test_extract_report(spark, tmp_path):
     assert (got["total_rows"], got["file_count"]) == (25, 3)
     assert got["schema"] == [{"name": "id", "type": "bigint", "nullable": False}]
     assert spark.read.parquet(str(tmp_path / "x")).count() == 25
+    assert sink.saved_schema(spark, str(tmp_path / "x")) == spark.range(1).schema
 
 
 def test_export_is_one_capped_file(spark, tmp_path):

@@ -161,6 +161,13 @@ def test_transform_tables(spark, db):
         transforms.export_frames({}, "result_df", db, "d")
 
 
+def test_export_for_apps(spark, db):
+    fn = lambda spark, df, ctx: spark.range(int(ctx.app_id))
+    done = transforms.export_for_apps(spark, fn, [RunContext(app_id="2"), RunContext(app_id="3")], db, "e")
+    assert done["rows_loaded"] == 5
+    assert {r.application_id: r["count"] for r in spark.table(f"{db}.e").groupBy("application_id").count().collect()} == {"2": 2, "3": 3}
+
+
 def test_previews(spark):
     spark.range(300).createOrReplaceTempView("numbers")
     assert transforms.preview_sql(spark, "SELECT * FROM numbers WHERE id >= $from ;", {"from": 10}).count() == 100

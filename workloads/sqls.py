@@ -76,6 +76,22 @@ def notebook_export(spark, sf):
     return spark.table(f"{db}.suppliers")
 
 
+@query("""
+SELECT o_orderstatus AS application_id, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total
+FROM orders GROUP BY o_orderstatus
+""")
+def notebook_export_apps(spark, sf):
+    """The same callable once per application, all results in one table."""
+    db = scratch_db(spark, "exports")
+
+    def totals(spark, df, context):
+        mine = table(spark, sf, "orders").where(F.col("o_orderstatus") == context.app_id)
+        return mine.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+    transforms.export_for_apps(spark, totals, [RunContext(app_id=a) for a in ("F", "O", "P")], db, "totals")
+    return spark.table(f"{db}.totals")
+
+
 @query("SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders ORDER BY o_orderkey LIMIT 100")
 def preview_transform(spark, sf):
     sql = "SELECT o_orderkey, o_totalprice * 2 AS twice FROM source"
