@@ -47,7 +47,8 @@ def write_parquet(
     """Parquet files, at most ``rows_per_file`` rows each. Returns the number of rows written.
 
     Only the partitions present in the new rows are replaced: a rerun of one date
-    leaves the others.
+    leaves the others. Never overwrite a path that the rows are read from: Spark
+    empties it first. Write beside it, or use a table.
     """
     frame, seen = counted(by_partition(df, partition_by, rebalance))
     writer = frame.write.mode(write_mode(mode))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.operators.combine import union_by_name
@@ -28,7 +29,10 @@ def write_table(
     mode: str = "overwrite",
     partition_by: list[str] | None = None,
 ) -> dict:
-    """Save as a catalog table, creating its database first. Returns table and row count."""
+    """Save as a catalog table, creating its database first. Returns table and row count.
+
+    A table that the rows are read from is replaced through a table beside it.
+    """
     if not namespace or not table:
         raise ValueError("a table target needs a namespace and a table name")
     ensure_namespace(df.sparkSession, namespace)
@@ -38,7 +42,12 @@ def write_table(
         writer = writer.partitionBy(*partition_by)
     name = quoted(namespace, table)
     existed = df.sparkSession.catalog.tableExists(name)
-    writer.saveAsTable(name)
+    try:
+        writer.saveAsTable(name)
+    except AnalysisException as err:
+        if not (err.getCondition() or "").startswith("UNSUPPORTED_OVERWRITE"):
+            raise
+        return replace_table(df, namespace, table, partition_by)
     rows = 0 if existed and write_mode(mode) == "ignore" else seen.get["rows"]
     return {"table": name, "rows_loaded": rows}
 

@@ -132,6 +132,8 @@ def test_table_can_replace_itself(spark, db):
     done = tables.replace_table(spark.table(f"{db}.t").where("id > 2"), db, "t")
     assert done == {"table": f"`{db}`.`t`", "rows_loaded": 2}
     assert sorted(r.id for r in spark.table(f"{db}.t").collect()) == [3, 4]
+    assert tables.write_table(spark.table(f"{db}.t").where("id > 3"), db, "t")["rows_loaded"] == 1
+    assert [r.id for r in spark.table(f"{db}.t").collect()] == [4]
     assert [t.name for t in spark.catalog.listTables(db) if not t.isTemporary] == ["t"]
 
 
