@@ -106,6 +106,16 @@ def test_aggregate_of_nothing(rows):
     assert nulls.transform(aggregate(["k"], [])).count() == 2
 
 
+def test_global_mix(rows):
+    specs = [{"column": "n", "function": f, "alias": f} for f in ("nunique", "sum", "median", "size")]
+    df = rows([("a", 1.0), ("b", 1.0), ("c", 4.0), ("c", None)], "k string, n double")
+    assert values(df.transform(aggregate([], specs))) == [(2, 6.0, 1.0, 4)]
+    assert values(df.transform(aggregate([], specs[:1]))) == [(2,)]
+    assert values(df.transform(aggregate([], specs[:2]))) == [(2, 6.0)]
+    for some in (specs, specs[:1], specs[:2], specs[2:3]):
+        assert df.limit(0).transform(aggregate([], some)).count() == 0
+
+
 def test_grouping_drops_null_keys_and_keeps_every_measure(rows):
     df = rows([("a", 1), ("a", 2), (None, 9), ("b", None)], "k string, v int")
     specs = [{"column": "v", "function": f, "alias": f"v_{f}"} for f in ("sum", "average", "count", "nunique", "size")]
