@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import ready
+from millrace.llm.common import Memory, ready
 
 NEVER = 1 << 30
 # Chunks of printable ASCII and the Latin-1 letters (all composed), cut as the vocabulary file says.
@@ -62,7 +63,7 @@ class Codec:
         self.normalise, self.cut = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
         self.ranks: dict[tuple[int, int], int] = {}
         self.whole: list[int] = []  # by rank
-        self.known: dict[str, list[int]] = {}  # tokens of words
+        self.known = Memory(CACHE)  # tokens of words
         self.judged: dict[tuple[int, int], bool] = {}  # pairs whose border was checked
         made: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -77,7 +78,10 @@ class Codec:
         keys = np.array([(a << 32) | b for a, b in self.ranks], np.int64)
         order = np.argsort(keys)
         self.keys, self.key_ranks = keys[order], np.array([*self.ranks.values()], np.int64)[order]
-        self.longest = max(map(len, self.vocab))
+        self.reach: dict[str, int] = {}  # characters of the longest token that begins with these two, or is this one
+        for name in self.vocab:
+            bare = name.removesuffix(self.suffix) if self.suffix else name
+            self.reach[bare[:2]] = max(self.reach.get(bare[:2], 1), len(bare))
         self.right: dict[int, list] = {}  # token: its last symbols as (symbol, made at, used at); None if it doesn't encode itself
         self.left: dict[int, list] = {}
 
@@ -143,9 +147,9 @@ class Codec:
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match; None if a character is not in the vocabulary."""
         marked, at, out = word + self.suffix, 0, []
-        end, find = len(word), self.vocab.get
+        end, find, reach = len(word), self.vocab.get, self.reach.get
         while at < end:
-            for upto in range(min(end, at + self.longest), at, -1):
+            for upto in range(min(end, at + reach(word[at : at + 2], 1)), at, -1):
                 token = find(marked[at:] if upto == end else marked[at:upto])
                 if token is not None:
                     break
@@ -220,15 +224,17 @@ class Codec:
                 out += [w for w, _ in self.cut(self.normalise(part)) if w]
         return out
 
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        """Tokens of pieces of text without white space."""
+    def encode_chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of pieces of text without white space: ids as little-endian numbers, and the tokens' names, a space after each."""
         cut = [self.chunk_words(c) for c in chunks]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        ids = self.known
-        words = list({w for x in cut for w in x if isinstance(w, str) and w not in ids})
-        ids.update(zip(words, self.encode_words(words), strict=True))
-        return [[t for w in x for t in (ids[w] if isinstance(w, str) else [w])] for x in cut]
+        words = self.known.missing({w for x in cut for w in x})
+        names, ids = self.names, self.known.young
+        ranges = [[w] if isinstance(w, int) else None for w in words]
+        plain = iter(self.encode_words([w for w in words if isinstance(w, str)]))
+        for word, own in zip(words, ranges, strict=True):
+            found = own or next(plain)
+            ids[word] = (struct.pack(f"<{len(found)}I", *found), "".join([names[i] + " " for i in found]).encode())
+        return [ids[x[0]] if len(x) == 1 else (b"".join([ids[w][0] for w in x]), b"".join([ids[w][1] for w in x])) for x in cut]
 
 
 @lru_cache(maxsize=2)
@@ -237,8 +243,8 @@ def codec(path: str) -> Codec:
 
 
 @lru_cache(maxsize=2)
-def _memory(path: str) -> dict[bytes, tuple[bytes, bytes]]:
-    return {}
+def _memory(path: str) -> Memory:
+    return Memory(CACHE)
 
 
 def encode(texts: list[str | None], path: str) -> Iterator[tuple[bytes, bytes]]:
@@ -250,16 +256,13 @@ def encode(texts: list[str | None], path: str) -> Iterator[tuple[bytes, bytes]]:
     """
     memory, own = _memory(path), codec(path)
     chunks = [(x or "").encode("utf-8", "replace").split() for x in texts]
-    new = [c for c in dict.fromkeys(chain.from_iterable(chunks)) if c not in memory]
-    if len(memory) + len(new) > CACHE:
-        memory.clear()
-        new = list(dict.fromkeys(chain.from_iterable(chunks)))
+    new = memory.missing(dict.fromkeys(chain.from_iterable(chunks)))
+    known = memory.young
     for at in range(0, len(new), PART):
         part = new[at : at + PART]
-        for c, ids in zip(part, own.encode_chunks([c.decode() for c in part]), strict=True):
-            memory[c] = (np.array(ids, "<u4").tobytes(), "".join([own.names[i] + " " for i in ids]).encode())
+        known.update(zip(part, own.encode_chunks([c.decode() for c in part]), strict=True))
     for x in chunks:
-        got = [memory[c] for c in x]
+        got = [known[c] for c in x]
         yield b"".join([g[0] for g in got]), b"".join([g[1] for g in got])[:-1]
 
 

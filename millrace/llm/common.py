@@ -43,3 +43,28 @@ def ready(spark: SparkSession) -> None:
     there = spark.sparkContext.environment
     if home not in there.get("PYTHONPATH", "").split(os.pathsep):
         there["PYTHONPATH"] = os.pathsep.join(x for x in (home, there.get("PYTHONPATH", "")) if x)
+
+
+class Memory:
+    """What a worker remembers, in two generations: when the younger is full the older is forgotten.
+
+    Whatever was used since the last change of generations stays, so frequent
+    entries do, and there are never more than twice ``size``.
+    """
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys) -> list:
+        """Those of the different ``keys`` that are not known; the others are young afterwards."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for key in keys:
+            if key not in young:
+                got = old.get(key)
+                if got is None:
+                    out.append(key)
+                else:
+                    young[key] = got
+        return out

@@ -12,7 +12,8 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +39,26 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Words(dict):
+    """ids of words with the space that leads them, in two generations: what is used stays."""
+
+    def __init__(self, encode: Callable[[str], list[int]]) -> None:
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = array("I", self.encode(" " + word)).tobytes()
+        self[word] = got
+        return got
+
+    def trim(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+
 class Tokens:
     """ids of whole texts by a byte-level vocabulary file, which the rank file beside it holds as well.
 
@@ -55,27 +76,17 @@ class Tokens:
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        if any(m in text for m in self.marks):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        self.words = Words(self.fast.encode_ordinary)
 
     def encode(self, text: str) -> np.ndarray:
+        if any(m in text for m in self.marks):
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
         if LOOSE.search(text):
-            return np.frombuffer(self._ids(text), "<u4")
-        known, parts = self.known, text.split(" ")
-        if len(known) > CACHE:
-            known.clear()
-        first = self._ids(parts[0])
-        out = [first]
-        for part in parts[1:]:
-            got = known.get(part)
-            if got is None:
-                got = known[part] = self._ids(" " + part)
-            out.append(got)
-        return np.frombuffer(b"".join(out), "<u4")
+            return np.array(self.fast.encode_ordinary(text), "<u4")
+        self.words.trim()
+        first, *parts = text.split(" ")
+        ids = array("I", self.fast.encode_ordinary(first)).tobytes()
+        return np.frombuffer(b"".join([ids, *map(self.words.__getitem__, parts)]), "<u4")
 
 
 @lru_cache(maxsize=1)
