@@ -9,6 +9,7 @@ Counts of words, units and classes come from all training documents.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import count
 
@@ -27,6 +28,20 @@ SMOOTH = 0.1
 BLOCK_TOKENS = 2_000_000  # of documents that share one list of words
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """32-bit numbers by planes of bytes: the upper ones are nearly empty."""
+    return zlib.compress(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _opened(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<i4")
+
+
+def _names(words: bytes) -> list[bytes]:
+    return zlib.decompress(words).split()
+
+
 def encode(docs: DataFrame, held: Column, doc_id: str, text: str) -> DataFrame:
     """One row per block of documents: its words with their training counts, and the tokens as places in that list."""
     kind = docs.schema[doc_id].dataType
@@ -54,8 +69,8 @@ def encode(docs: DataFrame, held: Column, doc_id: str, text: str) -> DataFrame:
                     pa.array([ids], ids_type),
                     pa.array([held_out], pa.list_(pa.bool_())),
                     pa.array([lengths.tobytes()], pa.binary()),
-                    pa.array([flat.tobytes()], pa.binary()),
-                    pa.array([b" ".join(places)], pa.binary()),
+                    pa.array([_squeezed(flat)], pa.binary()),
+                    pa.array([zlib.compress(b" ".join(places), 1)], pa.binary()),
                     pa.array([counts.tobytes()], pa.binary()),
                 ],
                 ["block", "ids", "held", "lengths", "tokens", "words", "counts"],
@@ -86,7 +101,7 @@ def block_words(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, words, counts in zip(*(batch.column(k) for k in range(3)), strict=True):
-                names, n = words.as_py().split(b" ") if words.as_py() else [], np.frombuffer(counts.as_py(), np.int32)
+                names, n = _names(words.as_py()), np.frombuffer(counts.as_py(), np.int32)
                 for at in range(0, len(names), 50_000):
                     part = names[at : at + 50_000]
                     yield pa.RecordBatch.from_arrays(
@@ -127,8 +142,8 @@ def _sequence(units: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
 
 
 def _learned(row: dict, units: Units) -> np.ndarray:
-    lengths, tokens = np.frombuffer(row["lengths"], np.int32), np.frombuffer(row["tokens"], np.int32)
-    own = units.of(row["words"].split(b" ") if row["words"] else [])
+    lengths, tokens = np.frombuffer(row["lengths"], np.int32), _opened(row["tokens"])
+    own = units.of(_names(row["words"]))
     kept = ~np.array(row["held"], bool)
     return _sequence(own[tokens[np.repeat(kept, lengths)]], lengths[kept], units.end)
 
@@ -164,6 +179,28 @@ def neighbours(spark: SparkSession, blocks: DataFrame, units: Units, classes: np
     return out
 
 
+def class_pairs(spark: SparkSession, blocks: DataFrame, units: Units, classes: np.ndarray) -> np.ndarray:
+    """[before, after]: how often a class follows a class."""
+    width = int(classes.max()) + 1
+    shared = spark.sparkContext.broadcast((units, classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, of = shared.value
+        n = np.zeros(width * width, np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = of[_learned(row, own)].astype(np.int64)
+                n += np.bincount(c[:-1] * width + c[1:], minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["pair", "n"])
+
+    rows = blocks.select("lengths", "tokens", "words", "held").mapInArrow(run, "pair long, n long")
+    out = np.zeros(width * width)
+    for r in rows.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r["pair"]] = r["n"]
+    return out.reshape(width, width)
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
@@ -215,8 +252,9 @@ def score(docs: DataFrame, held: Column | None = None, doc_id: str = "doc_id", t
     ready(spark)
     held = F.coalesce(id_crc(doc_id) % 10 == 0 if held is None else held, F.lit(False))
     blocks = stored(encode(docs, held, doc_id, text), "blocks")
-    words = stored(block_words(blocks), "words")
-    vocab = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
+    # A word's places are as many as the blocks that have it.
+    places = F.collect_list(F.struct("block", "place")).alias("places")
+    vocab = stored(block_words(blocks).groupBy("word").agg(F.sum("n").alias("c"), places), "vocabulary")
     ended = blocks.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
     total, distinct = vocab.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     n_all, v_all = (total or 0) + ended, (distinct or 0) + (ended > 0)
@@ -233,9 +271,7 @@ def score(docs: DataFrame, held: Column | None = None, doc_id: str = "doc_id", t
     of = np.append(np.argsort(np.argsort(-weights[:-1], kind="stable")) % classes, classes).astype(np.int32)
     for _ in range(passes):
         of = exchange(of, neighbours(spark, blocks, units, of), weights)
-    around = neighbours(spark, blocks, units, of)
-    pairs = np.zeros((classes + 1, classes + 1))
-    np.add.at(pairs.T, of, around[:, 0].astype(float))
+    pairs = class_pairs(spark, blocks, units, of)
     follow = np.log10((pairs + SMOOTH) / (pairs.sum(axis=1, keepdims=True) + SMOOTH * (classes + 1)))
     mass, members = np.bincount(of, weights, classes + 1), np.bincount(of, kinds, classes + 1)
     mass[-1], members[-1] = ended, 1
@@ -244,9 +280,9 @@ def score(docs: DataFrame, held: Column | None = None, doc_id: str = "doc_id", t
     def pack(key: tuple, group: pa.Table) -> pa.Table:
         known = np.zeros(group.num_rows, np.int64)
         known[group["place"].to_numpy()] = group["c"].to_numpy()
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "known": pa.array([known.tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "known": pa.array([zlib.compress(known.tobytes(), 1)], pa.binary())})
 
-    known = words.select("block", "place", "word").join(vocab, "word").select("block", "place", "c")
+    known = vocab.select(F.inline("places"), "c")
     known = stored(known.groupBy("block").applyInArrow(pack, "block long, known binary"), "known")
     kind = docs.schema[doc_id].dataType
 
@@ -255,9 +291,9 @@ def score(docs: DataFrame, held: Column | None = None, doc_id: str = "doc_id", t
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         for batch in batches:
             for row in batch.to_pylist():
-                c = np.frombuffer(row["known"] or b"", np.int64)
-                lengths, tokens = np.frombuffer(row["lengths"], np.int32), np.frombuffer(row["tokens"], np.int32)
-                of_word = of[own.of(row["words"].split(b" ") if row["words"] else [])]
+                c = np.frombuffer(zlib.decompress(row["known"]) if row["known"] else b"", np.int64)
+                lengths, tokens = np.frombuffer(row["lengths"], np.int32), _opened(row["tokens"])
+                of_word = of[own.of(_names(row["words"]))]
                 emit = np.log10((c + SMOOTH) / share[of_word])
                 base = np.log10((c + SMOOTH) / (n_all + SMOOTH * (v_all + 1)))
                 # With an end after each text; its word comes last in these arrays.
