@@ -3,7 +3,8 @@
 A text's probability is the product over its tokens of the class's probability
 after the class before, times the word's probability in its class. What is
 clustered are units: each word with at least ``SHARE`` of all training tokens
-(so at most 1 / SHARE of them), and all rarer words by their last two bytes.
+(so at most 1 / SHARE of them) and ``MIN_COUNT`` uses, and all rarer words by
+their last two bytes.
 Counts of words, units and classes come from all training documents.
 """
 
@@ -24,6 +25,7 @@ from millrace.llm.common import id_crc, ready, stored, words_of
 CLASSES = 64
 SHARE = 1e-5
 PASSES = 3
+MIN_COUNT = 5  # of a word with a unit of its own; matters for small inputs only
 SMOOTH = 0.1
 BLOCK_TOKENS = 2_000_000  # of documents that share one list of words
 
@@ -260,7 +262,7 @@ def score(docs: DataFrame, held: Column | None = None, doc_id: str = "doc_id", t
     n_all, v_all = (total or 0) + ended, (distinct or 0) + (ended > 0)
 
     # At most 1 / SHARE words and 65,792 endings reach the driver.
-    least = max(1.0, SHARE * n_all)
+    least = max(MIN_COUNT, SHARE * n_all)
     own = F.col("c") >= least
     unit = F.when(own, F.col("word")).otherwise(F.substring("word", F.greatest(F.octet_length("word") - 1, F.lit(1)), F.lit(2)))
     sums = vocab.where("c > 0").groupBy(own.alias("own"), unit.alias("unit")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow().to_pylist()
@@ -272,7 +274,9 @@ def score(docs: DataFrame, held: Column | None = None, doc_id: str = "doc_id", t
     for _ in range(passes):
         of = exchange(of, neighbours(spark, blocks, units, of), weights)
     pairs = class_pairs(spark, blocks, units, of)
-    follow = np.log10((pairs + SMOOTH) / (pairs.sum(axis=1, keepdims=True) + SMOOTH * (classes + 1)))
+    # What follows a class leans on what follows any, by as many counts as there are classes.
+    any_class = (pairs.sum(axis=0) + SMOOTH) / (pairs.sum() + SMOOTH * (classes + 1))
+    follow = np.log10((pairs + classes * any_class) / (pairs.sum(axis=1, keepdims=True) + classes))
     mass, members = np.bincount(of, weights, classes + 1), np.bincount(of, kinds, classes + 1)
     mass[-1], members[-1] = ended, 1
     model = spark.sparkContext.broadcast((units, of, follow, mass + SMOOTH * (members + 1)))

@@ -102,23 +102,22 @@ def _consistency() -> float:
 
 def _shape(moments: DataFrame, scale: float) -> DataFrame:
     """Mean, inverse Cholesky factor and log determinant from sums; each variance gets its floor."""
-    out = moments
-    for i in range(DIMS):
-        out = out.withColumn(f"m{i}", F.col(f"s{i}") / F.col("n"))
-    for i, j in _pairs():
-        cov = scale * (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
-        out = out.withColumn(f"c{i}{j}", F.greatest(cov, F.lit(0.0)) + FLOORS[i] ** 2 if i == j else cov)
+    out = moments.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(DIMS)})
+    cov = {(i, j): scale * (F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) for i, j in _pairs()}
+    out = out.withColumns({f"c{i}{j}": F.greatest(c, F.lit(0.0)) + FLOORS[i] ** 2 if i == j else c for (i, j), c in cov.items()})
     for j in range(DIMS):
         inner = sum((F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
         out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"c{j}{j}") - inner, F.lit(FLOORS[j] ** 2 * 1e-6))))
-        for i in range(j + 1, DIMS):
-            cross = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l{i}{j}", (F.col(f"c{i}{j}") - cross) / F.col(f"l{j}{j}"))
-    for j in range(DIMS):  # the inverse of the lower triangle, column by column
-        out = out.withColumn(f"v{j}{j}", 1 / F.col(f"l{j}{j}"))
-        for i in range(j + 1, DIMS):
-            inner = sum((F.col(f"l{i}{k}") * F.col(f"v{k}{j}") for k in range(j, i)), F.lit(0.0))
-            out = out.withColumn(f"v{i}{j}", -inner / F.col(f"l{i}{i}"))
+        cross = {i: sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0)) for i in range(j + 1, DIMS)}
+        if cross:
+            out = out.withColumns({f"l{i}{j}": (F.col(f"c{i}{j}") - c) / F.col(f"l{j}{j}") for i, c in cross.items()})
+    out = out.withColumns({f"v{j}{j}": 1 / F.col(f"l{j}{j}") for j in range(DIMS)})
+    for step in range(1, DIMS):  # the inverse of the lower triangle, diagonal by diagonal
+        below = {}
+        for j in range(DIMS - step):
+            i = j + step
+            below[f"v{i}{j}"] = -sum((F.col(f"l{i}{k}") * F.col(f"v{k}{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l{i}{i}")
+        out = out.withColumns(below)
     logdet = sum((2 * F.log(f"l{j}{j}") for j in range(DIMS)), F.lit(0.0))
     return out.withColumn("logdet", logdet)
 
