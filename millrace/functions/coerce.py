@@ -173,6 +173,14 @@ def number(col: Column, dtype: T.DataType) -> Column:
     return F.when(col.rlike(NUMBER_TEXT), col.try_cast("double"))
 
 
+def on_day(col: Column, dtype: T.DataType, day: str) -> Column:
+    """Whether a date, time or text cell lies on an ISO day. Times are tested by bounds, which reach the scan."""
+    start = F.lit(day).cast("date")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return (col >= start.cast(dtype)) & (col < F.date_add(start, 1).cast(dtype))
+    return col == F.lit(day).cast(dtype)
+
+
 def compare_number(col: Column, dtype: T.DataType, op: str, text: str) -> Column:
     """``float(cell) op float(text)``; anything that is no number gives false."""
     bound = _python_float(text)

@@ -107,18 +107,13 @@ def render_sql(sql: str, business_date: str | None = None, **options) -> tuple[s
 
 
 def context_parameters(params: Mapping[str, str] | None, business_date: str | None) -> dict[str, str]:
-    """Parameters of an ad-hoc query, completed from the run's business date."""
-    given = dict(params or {})
-    if not business_date:
-        return given
-    compact, iso = compact_date(business_date).strip(), iso_date(business_date.strip())
-    defaults = {
-        "business_date": compact or business_date,
-        "business_date_from": iso,
-        "business_date_to": iso,
-        "business_date_range": f"{iso} / {iso}",
-    }
-    return defaults | given
+    """Parameters of an ad-hoc query; what isn't given follows from the run's business date, a single day."""
+    made: dict[str, str] = {}
+    if business_date:
+        day = business_date.strip()
+        bounds = dict.fromkeys(("business_date_from", "business_date_to"), iso_date(day))
+        made = {"business_date": compact_date(day) or business_date, **bounds, "business_date_range": " / ".join(bounds.values())}
+    return {**made, **(params or {})}
 
 
 def run_template(spark: SparkSession, sql: str, business_date: str | None = None, **options) -> DataFrame:

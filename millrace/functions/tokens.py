@@ -20,14 +20,26 @@ def iso_date(text: str) -> str:
     return f"{digits[:4]}-{digits[4:6]}-{digits[6:]}" if len(digits) == 8 else text
 
 
+#: Naming rules (fixed values): a token keeps the words of ASCII letters and digits, joined by underscores, in upper
+#: case; a view's name is its folder in lower case, with an underscore for all that is no ASCII letter, digit or underscore.
+TOKEN_WORD = "([A-Za-z0-9]+)"
+VIEW_BREAK = r"\W"
+
+
 def path_token(text: str | None, fallback: str) -> str:
     """Upper-case token of letters and digits, safe as a folder name."""
-    return re.sub(r"[^A-Za-z0-9]+", "_", text or "").strip("_").upper() or fallback
+    return "_".join(re.findall(TOKEN_WORD, text or "")).upper() or fallback
 
 
 def view_name(date: str, job: str, app_id: str = "") -> str:
     """Name of the view of one dataset folder."""
-    return re.sub(r"[^0-9A-Za-z_]", "_", f"{date}__{job}/{app_id}").lower()
+    folder = "/".join((f"{date}__{job}", app_id))
+    return re.sub(VIEW_BREAK, "_", folder, flags=re.ASCII).lower()
+
+
+def folder_name(text: str) -> str:
+    """One step of a path: ASCII letters, digits, dashes and underscores."""
+    return "".join(c if c.isascii() and (c.isalnum() or c in "-_") else "_" for c in text)
 
 
 def namespace_name(business_date: str | None, prefix: str | None = None, db_name: str | None = None) -> str | None:
@@ -50,13 +62,13 @@ def iso_date_col(col: Column) -> Column:
 
 
 def path_token_col(col: Column, fallback: str) -> Column:
-    token = F.upper(F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), "[^A-Za-z0-9]+", "_"), F.lit("_")))
+    token = F.upper(F.array_join(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(TOKEN_WORD), F.lit(1)), "_"))
     return F.when(token == "", F.lit(fallback)).otherwise(token)
 
 
 def view_name_col(date: Column, job: Column, app_id: Column) -> Column:
-    raw = F.concat(date, F.lit("__"), job, F.lit("/"), F.coalesce(app_id, F.lit("")))
-    return F.lower(F.regexp_replace(raw, "[^0-9A-Za-z_]", "_"))
+    folder = F.concat(date, F.lit("__"), job, F.lit("/"), F.coalesce(app_id, F.lit("")))
+    return F.lower(F.regexp_replace(folder, VIEW_BREAK, "_"))
 
 
 def namespace_col(date: Column, prefix: str | None = None) -> Column:

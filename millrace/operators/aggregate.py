@@ -10,23 +10,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from millrace.functions import coerce
 from millrace.operators.order import input_order
-from millrace.operators.size import fits_broadcast
-from millrace.session import scratch_path
 
 Transform = Callable[[DataFrame], DataFrame]
 
 ALIASES = {"average": "avg", "mean": "avg"}
 ORDERED = ("first", "last")
-# A group with more values than this is never sorted as a whole.
-GROUP_ROWS = 100_000
-# Rank error of the quantile sketch is at most n / ACCURACY; the bracket around the middle is three times as wide.
-ACCURACY = 10_000
-BRACKET = 3 / ACCURACY
+# Bins of the first narrowing per doubling of the value, and of the second within a bin of the first.
+OCTAVE = 256
+PARTS = 65_536
 
 
 def _value(col: Column, dtype: T.DataType) -> Column:
-    """Text is read as a number; numbers and dates stay what they are."""
-    return coerce.number(col, dtype) if isinstance(dtype, T.StringType) else col
+    """Text is read as a number; numbers and dates stay what they are. NaN is no value."""
+    if isinstance(dtype, T.StringType):
+        return F.nullif(coerce.number(col, dtype), F.lit(float("nan")))
+    if isinstance(dtype, coerce.FRACTIONAL):
+        return F.when(~F.isnan(col), col)
+    return col
 
 
 def _truth(col: Column, dtype: T.DataType) -> Column:
@@ -39,7 +39,10 @@ def _truth(col: Column, dtype: T.DataType) -> Column:
 
 def _measure(fn: str, col: Column, dtype: T.DataType, grouped: bool) -> Column:
     value = _value(col, dtype)
-    double = coerce.number(col, dtype)
+    double = _value(coerce.number(col, dtype), T.DoubleType())
+    plain = col if isinstance(dtype, T.StringType) else value  # what a group compares: text as text
+    if isinstance(dtype, T.BooleanType):
+        value = col.cast("long")
     if isinstance(dtype, coerce.TEMPORAL) and fn not in ("count", "min", "max", "first", "last", "nunique", "size"):
         raise ValueError(f"{fn} does not apply to a date or time column")
     if fn == "sum":
@@ -51,9 +54,9 @@ def _measure(fn: str, col: Column, dtype: T.DataType, grouped: bool) -> Column:
     n = F.count(double)
     return {
         "avg": lambda: F.avg(double),
-        "count": lambda: F.count(col),
-        "min": lambda: F.min(value),
-        "max": lambda: F.max(value),
+        "count": lambda: F.count(plain),
+        "min": lambda: F.min(plain if grouped else value),
+        "max": lambda: F.max(plain if grouped else value),
         "last": lambda: F.max_by(col, F.when(col.isNotNull(), F.struct("__at"))),
         "std": lambda: F.stddev_samp(double),
         "var": lambda: F.var_samp(double),
@@ -78,71 +81,44 @@ KNOWN = {
 }
 
 
-def _sorted_medians(values: DataFrame, groups: list[str]) -> DataFrame:
-    """Medians of groups that are known to be small, by sorting each."""
-    group = Window.partitionBy(*groups)
-    ranked = values.withColumns(
-        {"__n": F.count(F.lit(1)).over(group), "__r": F.row_number().over(group.orderBy("__v"))}
-    )
-    middle = ranked.where("__r = (__n + 1) div 2 OR __r = __n div 2 + 1")
-    return middle.groupBy(*groups).agg(F.avg("__v").alias("__median"))
+def _narrowed(values: DataFrame, wanted: DataFrame, by: list[str], name: str, bins: Column) -> tuple[DataFrame, DataFrame]:
+    """The values in the bins that hold the wanted ranks, and the ranks counted from the beginning of their bin."""
+    binned = values.withColumn(name, bins)
+    counts = binned.groupBy(*by, name).agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    upto = Window.partitionBy(*by).orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("__to", F.sum("__c").over(upto))
+    held = wanted.select(*by, "__r").join(placed, by).where("__to - __c < __r AND __r <= __to")
+    held = held.select(*by, name, (F.col("__r") - F.col("__to") + F.col("__c")).alias("__r"), "__lo", "__hi")
+    cells = held.select(*by, name, "__lo", "__hi").distinct()
+    return binned.select(*by, name, "__v").join(cells, [*by, name]), held
 
 
-def _bracketed_medians(values: DataFrame, groups: list[str], few_groups: bool) -> DataFrame:
-    """Medians of large groups, none of which is ever held in one place.
+def _medians(values: DataFrame, groups: list[str]) -> DataFrame:
+    """Exact medians by selection: count by bins, keep the bins of the middle ranks, and count finer ones inside.
 
-    A quantile sketch brackets the middle of each group. A second pass counts the
-    values below the bracket and sorts only the distinct values inside it.
+    Counts are combined before the shuffle, and the values of a group are never
+    together in one task: what is sorted are its bins, and in the end the
+    different values of a bin of 1 / ``PARTS`` of 1 / ``OCTAVE`` of a doubling.
     """
-    edges = F.percentile_approx("__v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY)
-    # The struct keys hide how the rows are already placed: the join gets plain shuffles on both sides,
-    # which Spark can split where a group is hot, and the count gets a shuffle by value of its own.
-    brackets = (
-        values.groupBy(F.struct(*groups).alias("__g"))
-        .agg(F.count(F.lit(1)).alias("__n"), edges.alias("__e"))
-        .select("__g.*", "__n", F.col("__e")[0].alias("__lo"), F.col("__e")[1].alias("__hi"))
-    )
-    # Values below the bracket fold into one row per group, so only the bracket itself is counted by value.
-    placed = (
-        values.join(F.broadcast(brackets) if few_groups else brackets, groups)
-        .where("__v <= __hi")
-        .select(F.struct(*groups).alias("__g"), "__n", F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__v"))
-        .groupBy("__g", "__n", "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    upto = Window.partitionBy("__g").orderBy(F.col("__v").asc_nulls_first())
-    upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = placed.withColumn("__to", F.sum("__c").over(upto))
-    low, high = F.floor((F.col("__n") + 1) / 2), F.ceil((F.col("__n") + 1) / 2)
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("__to") - F.col("__c") < rank) & (rank <= F.col("__to")), F.col("__v")))
-
-    found = ranked.groupBy("__g").agg(((at(low) + at(high)) / 2).alias("__median"))
-    return found.select("__g.*", "__median")
+    size = F.floor(F.log2(F.least(F.abs("__v"), F.lit(1e308))) * OCTAVE) + 2000 * OCTAVE
+    first = F.when(F.col("__v") == 0, F.lit(0).cast("long")).otherwise((F.signum("__v") * size).cast("long"))
+    share = (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * PARTS
+    second = F.when(F.col("__hi") > F.col("__lo"), F.nanvl(share, F.lit(float(PARTS)))).otherwise(0.0).cast("long")
+    totals = values.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
+    ranks = F.array_distinct(F.array(F.expr("(__n + 1) div 2"), F.expr("__n div 2 + 1")))
+    wanted = totals.select(*groups, F.explode(ranks).alias("__r"))
+    values, wanted = _narrowed(values, wanted, groups, "__b1", first)
+    values, wanted = _narrowed(values, wanted, [*groups, "__b1"], "__b2", second)
+    _, found = _narrowed(values.drop("__lo", "__hi"), wanted, [*groups, "__b1", "__b2"], "__x", F.col("__v"))
+    return found.groupBy(*groups).agg(F.avg("__x").alias("__median"))
 
 
 def _with_medians(out: DataFrame, rows: DataFrame, keys: list[str], medians: dict[str, Column]) -> DataFrame:
-    """Add exact medians to an aggregate that counted their values as ``__n_<alias>``.
-
-    The aggregate is written once to the shared scratch folder: it is read for its
-    own result and for the list of large groups, which take another way than the rest.
-    """
-    path = scratch_path(out.sparkSession, "aggregate")
-    out.write.parquet(path)
-    out = out.sparkSession.read.parquet(path)
+    """Add exact medians to an aggregate; all of it stays one lazy plan."""
     groups = [f"__g{i}" for i in range(len(keys))]
     named = [F.col(f"`{k}`").alias(g) for k, g in zip(keys, groups)]
     for alias, value in medians.items():
-        values = rows.select(*named, value.alias("__v")).where("__v is not null")
-        large = out.where(F.col(f"`__n_{alias}`") > GROUP_ROWS).select(*named)
-        if large.isEmpty():
-            found = _sorted_medians(values, groups)
-        else:
-            few = fits_broadcast(large)
-            large = F.broadcast(large) if few else large
-            small = _sorted_medians(values.join(large, groups, "left_anti"), groups)
-            found = small.union(_bracketed_medians(values.join(large, groups, "left_semi"), groups, few))
+        found = _medians(rows.select(*named, value.alias("__v")).where("__v is not null"), groups)
         match = reduce(and_, [F.col(f"`{k}`") == F.col(g) for k, g in zip(keys, groups)])
         kept = [f"`{c}`" for c in out.columns if c != f"__n_{alias}"]
         out = out.join(found, match, "left").select(*kept, F.col("__median").alias(alias))
@@ -184,7 +160,7 @@ def aggregate(
             order.append(alias)
             col, dtype = F.col(f"`{column}`"), df.schema[column].dataType
             if fn == "median":
-                value = medians[alias] = coerce.number(col, dtype)
+                value = medians[alias] = _value(coerce.number(col, dtype), T.DoubleType())
                 measures[f"__n_{alias}"] = F.count(value)
             else:
                 measures[alias] = _measure(fn, col, dtype, bool(keys))

@@ -13,13 +13,13 @@ Transform = Callable[[DataFrame], DataFrame]
 
 
 def drop_columns(names: list[str]) -> Transform:
-    """Remove columns; names the table lacks are ignored."""
-    return lambda df: df.drop(*names)
+    """Remove columns; names the table lacks, in this very case, are ignored."""
+    return lambda df: df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
 
 
 def rename_columns(mapping: dict[str, str]) -> Transform:
     """Rename columns; names the table lacks are ignored."""
-    return lambda df: df.withColumnsRenamed(mapping)
+    return lambda df: df.toDF(*[mapping.get(c, c) for c in df.columns])
 
 
 def add_application_id(value: str | Column | None) -> Transform:

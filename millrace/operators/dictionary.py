@@ -48,7 +48,7 @@ def iterator_entries(
 def facets(entries: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct non-empty values of each extra column, as rows ``(column, value)``."""
     pairs = [F.struct(F.lit(c).alias("column"), F.trim(extra_column(c)).alias("value")) for c in columns]
-    return entries.select(F.inline(F.array(*pairs))).where("value <> ''").distinct()
+    return entries.select(F.inline(F.array(*pairs))).where("value <> ''").distinct().orderBy("column", "value")
 
 
 def case_insensitive_keys(by: str = "key", direction: str = "asc") -> list[tuple[Column, str]]:

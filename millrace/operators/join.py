@@ -9,7 +9,6 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import coerce
-from millrace.operators.size import broadcast_if_small, fits_broadcast
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -52,18 +51,15 @@ def _without_partner(kept: DataFrame, other: DataFrame, mine: list[str], theirs:
 
 
 def join_tables(
-    other: DataFrame, keys: list[dict], how: str = "inner", prefix: str = "right_", hot_keys: bool = True
+    other: DataFrame, keys: list[dict], how: str = "inner", prefix: str = "right_", hot_keys: bool = False
 ) -> Transform:
     """Join on key pairs ``[{left, right}]`` whose names may differ. Null keys never match.
 
-    Inner joins are left to Spark, which broadcasts small inputs and splits skewed
-    partitions of either side. An outer join cannot be split on the side that may
-    be missing (a full join on neither), so one hot key there would land in one
-    task. Outer joins therefore broadcast that side when it is measured to be
-    small, and otherwise run as the inner join plus the unmatched rows: both
-    parts can be split, and both reuse the same shuffle of the kept side.
-    ``hot_keys=False`` says that the side which may be missing has no hot key (its
-    key is unique, say): a left or right join is then left to Spark as it is.
+    The plan is left to Spark, which broadcasts small inputs and splits skewed
+    partitions. What it can't split is a hot key on the side of an outer join
+    that may be missing (on either side of a full join). ``hot_keys=True`` says
+    that there is one: the join then runs as the inner join plus the unmatched
+    rows, both of which can be split and reuse the same shuffle of the kept side.
     """
     kind = _KINDS[how.lower()]
 
@@ -86,16 +82,11 @@ def join_tables(
                 *_padded(l_names, left, l_names), *[F.col(f"`{c}`").alias(n) for c, n in zip(other.columns, r_names)]
             )
 
-        if kind == "inner" or (kind != "full" and not hot_keys):
+        if kind == "inner" or not hot_keys:
             return plain(left, other, kind)
-        if kind == "right":
-            if fits_broadcast(left):
-                return plain(F.broadcast(left), other, "right")
-            return plain(left, other, "inner").unionByName(right_only())
-        if fits_broadcast(other):
-            matched = plain(left, F.broadcast(other), "left")
-        else:
-            matched = plain(left, other, "inner").unionByName(left_only())
+        matched = plain(left, other, "inner")
+        if kind != "right":
+            matched = matched.unionByName(left_only())
         return matched if kind == "left" else matched.unionByName(right_only())
 
     return apply
@@ -124,7 +115,7 @@ def lookup(
             key = coerce.text_or_none(F.col(f"`{match_column}`"), df.schema[match_column].dataType)
         else:
             key = F.lit("")
-        entries = broadcast_if_small(last_per_key(dictionary).withColumnsRenamed({"key": "__key", "value": "__value"}))
+        entries = last_per_key(dictionary).withColumnsRenamed({"key": "__key", "value": "__value"})
         joined = df.withColumn("__match", key).join(entries, F.col("__match") == F.col("__key"), "left")
         found = {output_column: F.coalesce("__value", F.lit(default))}
         if hit_column:

@@ -4,11 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-PAGE_LIMIT = 500
-BULK_LIMIT = 200_000
-
+from pyspark.sql import DataFrame, functions as F
 
 def page(df: DataFrame, limit: int, offset: int = 0, order_by: list | None = None) -> DataFrame:
     """Rows ``offset .. offset + limit`` of a result. Pages only line up under a total order."""
@@ -18,9 +14,8 @@ def page(df: DataFrame, limit: int, offset: int = 0, order_by: list | None = Non
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
 
-def fetch(df: DataFrame, limit: int, offset: int = 0, order_by: list | None = None, cap: int = PAGE_LIMIT) -> dict:
+def fetch(df: DataFrame, limit: int, offset: int = 0, order_by: list | None = None) -> dict:
     """One page for display. One row more than asked tells whether the result goes on."""
-    limit = min(limit, cap)
     started = time.perf_counter()
     rows = page(df, limit + 1, offset, order_by).collect()
     return {
@@ -33,20 +28,13 @@ def fetch(df: DataFrame, limit: int, offset: int = 0, order_by: list | None = No
 
 
 def fetch_bulk(df: DataFrame, max_rows: int = 100_000) -> dict:
-    return fetch(df, max_rows, cap=BULK_LIMIT)
+    return fetch(df, max_rows)
 
 
 def bulk(df: DataFrame, max_rows: int, order_by: list) -> DataFrame:
     """At most ``max_rows`` rows, each with the flag whether the result had more."""
-    if max_rows > BULK_LIMIT:
-        raise ValueError(f"a bulk result has at most {BULK_LIMIT} rows")
-    # One row more than asked decides the flag; both windows see at most max_rows + 1 rows.
-    rows = df.orderBy(*order_by).limit(max_rows + 1)
-    numbered = rows.withColumns(
-        {"__n": F.row_number().over(Window.orderBy(*order_by)), "__all": F.count(F.lit(1)).over(Window.partitionBy())}
-    )
-    kept = numbered.where(F.col("__n") <= max_rows)
-    return kept.withColumn("truncated", F.col("__all") > max_rows).drop("__n", "__all")
+    more = df.limit(max_rows + 1).agg((F.count(F.lit(1)) > max_rows).alias("truncated"))
+    return df.orderBy(*order_by).limit(max_rows).withColumn("truncated", more.scalar())
 
 
 def top(df: DataFrame, n: int, order_by: list, offset: int = 0) -> DataFrame:

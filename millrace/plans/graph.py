@@ -30,7 +30,6 @@ TRANSFORMS = {"filter", "join", "sort", "lookup", "sql_transform", "aggregate",
 LOADS = {"load_sql", "load_parquet"}
 # These may also start a graph: SQL then runs over the catalog, a callable reads what it wants.
 STARTERS = {"sql_transform", "notebook_transform"}
-MAX_TEXT_ENTRIES = 1000
 
 Reader = Callable[[SparkSession, dict, RunContext], DataFrame]
 
@@ -168,7 +167,7 @@ def _transform(kind: str, config: dict, inputs: list[DataFrame], env: Environmen
     if kind == "join":
         left, right = inputs
         how, prefix = config.get("join_type", "inner"), config.get("prefix", "right_")
-        return left.transform(join_tables(right, config["keys"], how, prefix, config.get("hot_keys", True)))
+        return left.transform(join_tables(right, config["keys"], how, prefix, config.get("hot_keys", False)))
     df = inputs[0] if len(inputs) == 1 else union_by_name(*inputs)
     if kind == "filter":
         return df.transform(filter_rows(config.get("conditions", []), config.get("logic") or "AND"))
@@ -231,9 +230,7 @@ def _source(spark: SparkSession, graph: Graph, nid: str, env: Environment, ctx:
     entries, keys = _entries(graph, nid, env)
     text = str(cfg)
     if entries is not None and not cfg.get("app_column") and ("$app_id" in text or "$app_name" in text):
-        found = entries.orderBy("iteration").select("key", "value").take(MAX_TEXT_ENTRIES + 1)
-        if len(found) > MAX_TEXT_ENTRIES:
-            raise ValueError(f"more than {MAX_TEXT_ENTRIES} entries: name the app_column instead of $app_id")
+        found = entries.orderBy("iteration").select("key", "value").collect()  # a part of the plan each
         if not found:
             raise ValueError(f"the iterator above {nid} selects no entry")
         parts = [_read(spark, node, env, replace(ctx, app_id=e["key"], app_name=e["value"])) for e in found]

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from millrace.operators.columns import schema_descriptor, schema_from_descriptor
-from millrace.operators.paging import BULK_LIMIT
 
 # Mode names by config value.
 MODES = {"overwrite": "overwrite", "append": "append", "ignore": "ignore", "error": "errorifexists"}
@@ -94,9 +93,10 @@ def saved_schema(spark: SparkSession, path: str) -> StructType:
     return schema_from_descriptor([r.asDict() for r in rows])
 
 
-def export_csv(df: DataFrame, path: str, max_rows: int = 100_000, order_by: list | None = None) -> int:
-    """One CSV file with header, for download. The row cap is the feature; it bounds the single task."""
-    if max_rows > BULK_LIMIT:
-        raise ValueError(f"an export has at most {BULK_LIMIT} rows")
-    capped = (df.orderBy(*order_by) if order_by else df).limit(max_rows)
+def export_csv(df: DataFrame, path: str, max_rows: int | None = None, order_by: list | None = None) -> int:
+    """CSV with header, all rows in order; a caller who wants one small file gives ``max_rows``."""
+    ordered = df.orderBy(*order_by) if order_by else df
+    if max_rows is None:
+        return write_csv(ordered, path)
+    capped = ordered.limit(max_rows)
     return write_csv(capped.coalesce(1), path)

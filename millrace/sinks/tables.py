@@ -22,6 +22,10 @@ def ensure_namespace(spark: SparkSession, namespace: str, location: str | None =
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{namespace}`{place}")
 
 
+def _replaces_partitions(spark: SparkSession) -> bool:
+    return spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "dynamic"
+
+
 def write_table(
     df: DataFrame,
     namespace: str,
@@ -32,6 +36,8 @@ def write_table(
     """Save as a catalog table, creating its database first. Returns table and row count.
 
     A table that the rows are read from is replaced through a table beside it.
+    Overwriting a partitioned table replaces the partitions that come, and
+    leaves the others, if the session overwrites partitions dynamically.
     """
     if not namespace or not table:
         raise ValueError("a table target needs a namespace and a table name")
@@ -42,6 +48,10 @@ def write_table(
         writer = writer.partitionBy(*partition_by)
     name = quoted(namespace, table)
     existed = df.sparkSession.catalog.tableExists(name)
+    if existed and partition_by and write_mode(mode) == "overwrite" and _replaces_partitions(df.sparkSession):
+        # Columns as the table has them: insertInto goes by position.
+        frame.select(*[f"`{c}`" for c in df.sparkSession.table(name).columns]).write.mode("overwrite").insertInto(name)
+        return {"table": name, "rows_loaded": seen.get["rows"]}
     try:
         writer.saveAsTable(name)
     except AnalysisException as err:

@@ -168,10 +168,11 @@ def _path_expression(root: str, prefix: str, pattern: str) -> str:
 
 
 def business_date_filter(df: DataFrame, column: str, date: str) -> DataFrame:
-    """Rows of one business date; the date is typed, so the test reaches the scan."""
+    """Rows of one business date, whole days of times too; the test is typed and reaches the scan."""
+    from millrace.functions.coerce import on_day
     from millrace.functions.tokens import iso_date
 
-    return df.where(F.col(column) == F.lit(iso_date(date)).cast(df.schema[column].dataType))
+    return df.where(on_day(F.col(column), df.schema[column].dataType, iso_date(date)))
 
 
 def row_limit(df: DataFrame, n: int | None, order_by: list | None = None) -> DataFrame:

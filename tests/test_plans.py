@@ -181,8 +181,8 @@ def test_previews(spark):
 
 
 def test_output_paths():
-    assert fanout.output_path("{app_id}/x y", {"app_id": "a.1"}) == "a_1/x_y"
-    assert fanout.output_path("{zz}/x", {"app_id": "a"}) == "_zz_/x"
+    assert fanout.entry_folder("{app_id}/x y", {"app_id": "a.1"}) == "a_1/x_y"
+    assert fanout.entry_folder("{zz}/x", {"app_id": "a"}) == "_zz_/x"
 
 
 def test_units_and_apps(rows):

@@ -186,3 +186,26 @@ def union_by_name(spark, sf):
     a = table(spark, sf, "customer").selectExpr("c_custkey AS key", "c_name AS name", "c_mktsegment AS segment")
     b = table(spark, sf, "supplier").selectExpr("s_acctbal AS balance", "s_name AS name", "s_suppkey AS key")
     return combine.union_by_name(a, b)
+
+
+@query("""
+SELECT o_orderstatus, MIN(o_orderpriority) AS least, MAX(o_orderpriority) AS most,
+       CAST(SUM(CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END) AS BIGINT) AS large
+FROM orders GROUP BY o_orderstatus
+""")
+def agg_minmax_text(spark, sf):
+    orders = table(spark, sf, "orders").withColumn("is_large", F.col("o_totalprice") > 100_000)
+    specs = _specs(("o_orderpriority", "min", "least"), ("o_orderpriority", "max", "most"), ("is_large", "sum", "large"))
+    return orders.transform(aggregate(["o_orderstatus"], specs))
+
+
+@query("""
+SELECT l_returnflag, ROUND(AVG(v), 6) AS mean, MAX(v) AS most, COUNT(v) AS n, ROUND(MEDIAN(v), 4) AS mid
+FROM (SELECT l_returnflag, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity END AS v FROM lineitem) GROUP BY l_returnflag
+""")
+def agg_nan(spark, sf):
+    """NaN counts as no value."""
+    value = F.when(F.col("l_linenumber") == 2, float("nan")).otherwise(F.col("l_quantity"))
+    specs = _specs(("v", "avg", "mean"), ("v", "max", "most"), ("v", "count", "n"), ("v", "median", "mid"))
+    out = table(spark, sf, "lineitem").select("l_returnflag", value.alias("v")).transform(aggregate(["l_returnflag"], specs))
+    return _rounded(_rounded(out, "mean", places=6), "mid", places=4)

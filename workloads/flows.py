@@ -309,3 +309,24 @@ def foreach_app_text(spark, sf):
         dictionaries={"1": spark.read.parquet(path)},
     )
     return graph.build(spark, graph.Graph(spec), env)[0]["totals"]
+
+
+@query("""
+SELECT event_id, strftime(ts, '%Y%m%d') AS business_date FROM events
+WHERE CAST(ts AS DATE) IN (DATE '2024-01-05', DATE '2024-01-07')
+""")
+def multi_date_events(spark, sf):
+    """Times of day count to their day."""
+    return fanout.multi_date(table(spark, sf, "events"), "ts", ["20240105", "20240107"]).select("event_id", "business_date")
+
+
+@query("""
+SELECT o_orderkey, o_orderpriority AS application_id, 'second ' || o_orderpriority AS application_name
+FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')
+""")
+def foreach_app_duplicates(spark, sf):
+    """An application that is listed twice is extracted once, under its last name."""
+    rows = [(k, f"{n} {k}", at) for at, n in enumerate(("first", "second")) for k in ("1-URGENT", "5-LOW")]
+    entries = spark.createDataFrame(rows, "key string, value string, position long")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return fanout.foreach_app(orders, "o_orderpriority", entries).drop("o_orderpriority")

@@ -88,3 +88,46 @@ def join_two_keys(spark, sf):
     keys = [{"left": "l_orderkey", "right": "o_orderkey"}, {"left": "l_linenumber", "right": "l_linenumber"}]
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return lines.transform(join.join_tables(marked, keys))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, o_orderkey, o_custkey
+FROM (SELECT l_orderkey, l_linenumber FROM lineitem) l
+FULL JOIN (SELECT o_orderkey, o_custkey FROM orders) o ON l.l_orderkey * 2 = o.o_orderkey
+""")
+def join_full_large(spark, sf):
+    """Two large sides, half of whose keys have no partner."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") * 2).alias("twice"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    joined = lines.transform(join.join_tables(orders, [{"left": "twice", "right": "o_orderkey"}], "full", hot_keys=True))
+    return joined.drop("twice")
+
+
+@query("""
+SELECT o_orderkey, l_linenumber, l_partkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey
+""")
+def join_left_large(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    keys = [{"left": "o_orderkey", "right": "l_orderkey"}]
+    return table(spark, sf, "orders").select("o_orderkey").transform(join.join_tables(lines, keys, "left")).drop("l_orderkey")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, o_custkey FROM orders RIGHT JOIN lineitem ON o_orderkey = l_orderkey
+""")
+def join_right_large(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    keys = [{"left": "o_orderkey", "right": "l_orderkey"}]
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return orders.transform(join.join_tables(lines, keys, "right")).drop("o_orderkey")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, COALESCE(o_orderpriority, 'none') AS priority
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey
+""")
+def lookup_large(spark, sf):
+    """A dictionary as long as the orders."""
+    entries = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderpriority").alias("value"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    return lines.transform(join.lookup(entries, "l_orderkey", "priority", "none"))

@@ -161,30 +161,26 @@ def numeric_coerce(spark, sf):
 
 
 @query("""
-SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'AP01' ELSE 'AP02' END AS app_id,
-       'UID' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS uid, c_custkey % 5 + 1 AS uid_version,
-       DATE '2026-01-01' + CAST(c_custkey % 120 AS INTEGER) AS as_of_date,
-       TIMESTAMP '2026-01-01 00:00:00' + to_days(CAST(c_custkey % 90 AS INTEGER)) + to_seconds(c_custkey % 86400) AS trade_ts,
-       (['IRS', 'CDS', 'FX_OPTION', 'EQUITY_OPTION', 'COMMODITY_SWAP'])[c_custkey % 5 + 1] AS product_type,
-       ROUND(c_acctbal / 7, 2) AS scaled
-FROM customer
+SELECT o_orderkey, CASE WHEN o_totalprice >= 150000 THEN 'large' ELSE 'small' END AS size_class,
+       'order ' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') || ' of ' || upper(left(o_orderpriority, 3)) AS label,
+       o_orderkey % 7 AS weekday_slot, CAST(o_orderdate AS DATE) + 30 AS due_date,
+       (['first', 'second', 'third'])[o_custkey % 3 + 1] AS batch, CAST(FLOOR(o_totalprice / 12) AS BIGINT) AS monthly
+FROM orders
 """)
 def sql_text_functions(spark, sf):
-    key = F.col("c_custkey")
-    products = F.array(*[F.lit(p) for p in ("IRS", "CDS", "FX_OPTION", "EQUITY_OPTION", "COMMODITY_SWAP")])
-    offset = F.make_dt_interval((key % 90).cast("int"), F.lit(0), F.lit(0), (key % 86400).cast("decimal(18,6)"))
-    return table(spark, sf, "customer").select(
-        "c_custkey",
-        F.when(key % 2 == 0, "AP01").otherwise("AP02").alias("app_id"),
-        F.concat(F.lit("UID"), F.lpad(key.cast("string"), 9, "0")).alias("uid"),
-        (F.pmod(key, F.lit(5)) + 1).alias("uid_version"),
-        F.date_add(F.lit("2026-01-01").cast("date"), (key % 120).cast("int")).alias("as_of_date"),
-        (F.lit("2026-01-01").cast("timestamp_ntz") + offset).alias("trade_ts"),
-        F.element_at(products, (key % 5 + 1).cast("int")).alias("product_type"),
-        F.round(F.col("c_acctbal") / 7, 2).alias("scaled"),
+    batches = F.array(*[F.lit(b) for b in ("first", "second", "third")])
+    return table(spark, sf, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_totalprice") >= 150_000, "large").otherwise("small").alias("size_class"),
+        F.concat(F.lit("order "), F.lpad(F.col("o_orderkey").cast("string"), 10, "0"), F.lit(" of "), F.upper(F.left("o_orderpriority", F.lit(3)))).alias("label"),
+        F.pmod("o_orderkey", F.lit(7)).alias("weekday_slot"),
+        F.date_add(F.col("o_orderdate").cast("date"), 30).alias("due_date"),
+        F.element_at(batches, (F.col("o_custkey") % 3 + 1).cast("int")).alias("batch"),
+        F.floor(F.col("o_totalprice") / 12).alias("monthly"),
     )
 
 
+
 @query("SELECT o_orderkey, 'TRADE' AS type, 20260424 AS as_of_date FROM orders")
 def literal_projection(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey").transform(
@@ -192,9 +188,10 @@ def literal_projection(spark, sf):
     )
 
 
-@query()
+@query("SELECT o_orderkey, TRUE AS in_range FROM orders")
 def random_id(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", tokens.random_id(seed=7).alias("random_id"))
+    drawn = table(spark, sf, "orders").select("o_orderkey", tokens.random_id(seed=7).alias("random_id"))
+    return drawn.select("o_orderkey", F.col("random_id").between(0, 999_999_999).alias("in_range"))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_mktsegment AS segment, '' AS missing FROM customer")

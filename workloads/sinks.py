@@ -88,11 +88,28 @@ def write_records_table(spark, sf):
     return spark.table(f"{db}.t")
 
 
-@query("SELECT * FROM orders WHERE o_orderpriority = '1-URGENT'")
+@query("SELECT * FROM orders")
 def write_partitioned(spark, sf):
     db = scratch_db(spark, "partitioned")
     tables.write_table(table(spark, sf, "orders"), db, "t", partition_by=["o_orderpriority"])
-    return spark.table(f"{db}.t").where("o_orderpriority = '1-URGENT'")
+    return spark.table(f"{db}.t")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN -o_totalprice ELSE o_totalprice END AS o_totalprice,
+       o_orderpriority
+FROM orders
+""")
+def write_partitioned_rerun(spark, sf):
+    """A second run over one partition replaces it and leaves the others."""
+    db = scratch_db(spark, "rerun")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    tables.write_table(orders, db, "t", partition_by=["o_orderpriority"])
+    again = orders.where("o_orderpriority = '1-URGENT'").withColumn("o_totalprice", -F.col("o_totalprice"))
+    if spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() != "dynamic":
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    tables.write_table(again, db, "t", partition_by=["o_orderpriority"])
+    return spark.table(f"{db}.t")
 
 
 @query("SELECT o_orderkey, o_orderstatus, 'DAILY' AS pipeline FROM orders")
