@@ -9,9 +9,11 @@ of each piece over all segmentations of the training words.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,14 @@ from pyspark.sql.types import StructType
 from millrace.llm.common import free_name, id_crc, ready
 
 UNKNOWN = "und"
-MAX_PIECE = 16  # characters; longer pieces of the vocabulary are not used
+MAX_PIECE = 8  # characters; longer pieces of the vocabulary are not used
 SHORT = 24  # characters of a word, up to which words of one length are scored together
 SMOOTH = 0.01  # uses of each piece that every language is given
 LOST = 1e-9  # probability of a character that no piece covers
-CACHE = 200_000  # words whose scores a worker remembers
+CACHE = 400_000  # words whose scores a worker remembers
 BATCH = 20_000  # words that are scored at once
+GROUP = 2_000_000  # characters of texts whose words are scored together
+LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"  # begins each word in the vocabulary
 
 
@@ -47,12 +51,8 @@ def default_path() -> str:
 
 
 def words(text: str) -> list[str]:
-    """Lower-case words; ASCII white space separates."""
-    return [w.decode("utf-8", "replace") for w in text.lower().encode("utf-8", "replace").split()]
-
-
-def _spans(n: int) -> list[tuple[int, int]]:
-    return [(i, j) for j in range(1, n + 1) for i in range(max(0, j - MAX_PIECE), j)]
+    """Runs of letters in lower case; all else says nothing about the language."""
+    return LETTERS.findall(text.lower())
 
 
 class Segmenter:
@@ -60,26 +60,21 @@ class Segmenter:
 
     def __init__(self, pieces: dict[str, int], probs: np.ndarray) -> None:
         self.pieces, self.probs, self.none = pieces, probs, len(pieces)
-
-    def _ids(self, marked: list[str], spans: list[tuple[int, int]]) -> np.ndarray:
-        find, none = self.pieces.get, self.none
-        ids = np.fromiter((find(w[i:j], none) for w in marked for i, j in spans), np.int32, len(marked) * len(spans))
-        return ids.reshape(len(marked), len(spans))
-
-    def _arcs(self, ids: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
-        """Probabilities by language, word and span; a lost character is an arc of one character."""
-        arcs = self.probs[:, ids]
-        for k, (i, j) in enumerate(spans):
-            if j - i > 1:
-                arcs[:, :, k] *= ids[:, k] != self.none
-        return arcs
-
-    def _forward(self, arcs: np.ndarray, spans: list[tuple[int, int]], n: int) -> np.ndarray:
-        alpha = np.zeros((*arcs.shape[:2], n + 1))
-        alpha[:, :, 0] = 1
-        for k, (i, j) in enumerate(spans):
-            alpha[:, :, j] += alpha[:, :, i] * arcs[:, :, k]
-        return alpha
+        self.joint = probs.copy()  # for arcs of several characters, which have to be pieces
+        self.joint[:, -1] = 0
+
+    def _arcs(self, marked: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """For words of one length, each span and its piece in every word; spans that are a piece in none are left out."""
+        find, none, n = self.pieces.get, self.none, len(marked[0])
+        for j in range(1, n + 1):
+            for i in range(max(0, j - MAX_PIECE), j):
+                ids = np.array([find(w[i:j], none) for w in marked], np.int32)
+                if j - i == 1 or (ids != none).any():
+                    yield i, j, ids
+
+    def _weights(self, i: int, j: int, ids: np.ndarray, rows: slice = slice(None)) -> np.ndarray:
+        """Probabilities by language and word; a lost character is an arc of one character."""
+        return (self.probs if j - i == 1 else self.joint)[rows, ids]
 
     def score(self, batch: list[str]) -> np.ndarray:
         """log probability of each word (rows) in each language (columns)."""
@@ -92,9 +87,11 @@ class Segmenter:
                 for k in at:
                     out[k] = self._long(MARK + batch[k])
                 continue
-            spans = _spans(n)
-            ids = self._ids([MARK + batch[k] for k in at], spans)
-            out[at] = np.log(self._forward(self._arcs(ids, spans), spans, n)[:, :, n]).T
+            alpha = [np.zeros((self.probs.shape[0], len(at))) for _ in range(n + 1)]
+            alpha[0] += 1
+            for i, j, ids in self._arcs([MARK + batch[k] for k in at]):
+                alpha[j] += alpha[i] * self._weights(i, j, ids)
+            out[at] = np.log(alpha[n]).T
         return out
 
     def _long(self, word: str) -> np.ndarray:
@@ -129,17 +126,17 @@ class Segmenter:
                     parts[w[at : at + SHORT - 1]] += counts[w]
             uses += self.expected(parts)
             return
-        spans = _spans(n)
-        ids = self._ids([MARK + w for w in group], spans)
-        arcs = self._arcs(ids, spans)[:1]
-        alpha = self._forward(arcs, spans, n)
-        beta = np.zeros_like(alpha)
-        beta[:, :, n] = 1
-        for k, (i, j) in reversed(list(enumerate(spans))):
-            beta[:, :, i] += arcs[:, :, k] * beta[:, :, j]
-        weight = np.array([counts[w] for w in group]) / alpha[0, :, n]
-        for k, (i, j) in enumerate(spans):
-            np.add.at(uses, ids[:, k], alpha[0, :, i] * arcs[0, :, k] * beta[0, :, j] * weight)
+        arcs = [(i, j, ids, self._weights(i, j, ids, slice(0, 1))[0]) for i, j, ids in self._arcs([MARK + w for w in group])]
+        alpha, beta = (np.zeros((n + 1, len(group))) for _ in range(2))
+        alpha[0], beta[n] = 1, 1
+        for i, j, _, p in arcs:
+            alpha[j] += alpha[i] * p
+        for i, j, _, p in reversed(arcs):
+            beta[i] += p * beta[j]
+        share = np.array([counts[w] for w in group]) / alpha[n]
+        for i, j, ids, p in arcs:
+            uses += np.bincount(ids, alpha[i] * p * beta[j] * share, len(uses))
+
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", path: str | None = None) -> tuple[list[str], np.ndarray]:
@@ -153,8 +150,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", path: str | N
 
     def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(path)
-        equal = Segmenter(pieces, np.full((1, len(pieces) + 1), 1 / len(pieces)))
-        equal.probs[0, -1] = LOST
+        even = np.full((1, len(pieces) + 1), 1 / len(pieces))
+        even[0, -1] = LOST
+        equal = Segmenter(pieces, even)
         found: dict[str, np.ndarray] = {}
         pending: dict[str, Counter] = {}
 
@@ -165,8 +163,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", path: str | N
 
         for batch in batches:
             for name, value in zip(batch.column(0), batch.column(1), strict=True):
-                pending.setdefault(name.as_py(), Counter()).update(words(value.as_py()))
-                if sum(map(len, pending.values())) > CACHE:
+                counts = pending.setdefault(name.as_py(), Counter())
+                counts.update(words(value.as_py()))
+                if len(counts) > CACHE:
                     flush()
         flush()
         for name, sums in found.items():
@@ -185,6 +184,51 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", path: str | N
     return names, probs
 
 
+class Scorer:
+    """Languages of texts; remembers the scores of words."""
+
+    def __init__(self, names: list[str], segmenter: Segmenter) -> None:
+        self.names, self.segmenter = names, segmenter
+        self.places: dict[str, int] = {}
+        self.table = np.empty((CACHE, max(1, len(names))))
+
+    def _learn(self, texts: list[list[str]]) -> None:
+        """Score the words that are new in these texts, all together."""
+        different = dict.fromkeys(chain.from_iterable(texts))
+        new = [w for w in different if w not in self.places]
+        if len(self.places) + len(new) > len(self.table):
+            self.places.clear()
+            new = list(different)
+            if len(new) > len(self.table):  # one text may have more words than are remembered
+                self.table = np.empty((len(new), self.table.shape[1]))
+        for at in range(0, len(new), BATCH):
+            part = new[at : at + BATCH]
+            first = len(self.places)
+            self.table[first : first + len(part)] = self.segmenter.score(part)
+            self.places.update(zip(part, range(first, first + len(part)), strict=True))
+
+    def _judge(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        cut = [words(t) if t and self.names else [] for t in texts]
+        self._learn(cut)
+        for tokens in cut:
+            if not any(map(str.isalpha, chain.from_iterable(tokens))):  # some numerals count as word characters
+                yield UNKNOWN, 0.0
+                continue
+            total = self.table[np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))].sum(axis=0)
+            best = int(total.argmax())
+            yield self.names[best], float(1 / np.exp(total - total[best]).sum())
+
+    def batch(self, column: pa.Array) -> Iterator[tuple[str, float]]:
+        group, held = [], 0
+        for x in column:
+            group.append(text := x.as_py())
+            held += len(text or "")
+            if held > GROUP:
+                yield from self._judge(group)
+                group, held = [], 0
+        yield from self._judge(group)
+
+
 def predictor(names: list[str], probs: np.ndarray, path: str | None = None):
     """A column function: whole text to struct<lang_pred, score>; null or letterless texts are ``und`` with score 0.
 
@@ -192,41 +236,14 @@ def predictor(names: list[str], probs: np.ndarray, path: str | None = None):
     """
     path = path or default_path()
     packed = np.asarray(probs)
-    seen: dict[str, int] = {}
-    table: list[np.ndarray] = []
-
-    def one(text: str | None, segmenter: Segmenter) -> tuple[str, float]:
-        if text is None or not names or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        counts = Counter(words(text))
-        new = [w for w in counts if w not in seen]
-        if len(seen) + len(new) > CACHE:
-            seen.clear()
-            table.clear()
-            new = list(counts)
-        total = np.zeros(len(names))
-        for at in range(0, len(new), BATCH):
-            part = new[at : at + BATCH]
-            scores = segmenter.score(part)
-            if len(new) <= CACHE:
-                for w, s in zip(part, scores, strict=True):
-                    seen[w] = len(table)
-                    table.append(s)
-            else:  # a text with more different words than the cache holds
-                total += np.array([counts[w] for w in part]) @ scores
-        if len(new) <= CACHE:
-            n = np.fromiter(counts.values(), float, len(counts))
-            total = n @ np.array([table[seen[w]] for w in counts])
-        best = int(total.argmax())
-        return names[best], float(1 / np.exp(total - total[best]).sum())
 
     result = StructType.fromDDL("lang_pred string, score double")
 
     @F.arrow_udf(result)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        segmenter = Segmenter(vocabulary(path), packed)
+        scorer = Scorer(names, Segmenter(vocabulary(path), packed))
         for batch in batches:
-            found = [one(x.as_py(), segmenter) for x in batch]
+            found = list(scorer.batch(batch))
             yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
 
     return run
