@@ -31,6 +31,7 @@ CACHE = 400_000  # words whose scores a worker remembers
 BATCH = 20_000  # words that are scored at once
 GROUP = 2_000_000  # characters of texts whose words are scored together
 LETTERS = re.compile(r"[^\W\d_]+")
+FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd, so that no character is lost
 MARK = "▁"  # begins each word in the vocabulary
 
 
@@ -55,20 +56,35 @@ def words(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
+def _hash(piece: str) -> int:
+    out = 1
+    for c in piece:
+        out = (out * int(FACTOR) + ord(c)) & (1 << 64) - 1
+    return out
+
+
 class Segmenter:
     """Sums over all segmentations; ``probs`` has a row per language and a last column for lost characters."""
 
     def __init__(self, pieces: dict[str, int], probs: np.ndarray) -> None:
         self.pieces, self.probs, self.none = pieces, probs, len(pieces)
+        # Pieces are found by a 64-bit hash of their characters; the last key is greater than any.
+        keys = np.array([*map(_hash, pieces), (1 << 64) - 1], np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.numbers = keys[order], np.array([*pieces.values(), self.none], np.int32)[order]
         self.joint = probs.copy()  # for arcs of several characters, which have to be pieces
         self.joint[:, -1] = 0
 
     def _arcs(self, marked: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
         """For words of one length, each span and its piece in every word; spans that are a piece in none are left out."""
-        find, none, n = self.pieces.get, self.none, len(marked[0])
+        none, n = self.none, len(marked[0])
+        codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n).T.astype(np.uint64)
+        hashes: list[np.ndarray] = []  # of the spans that end here, by their beginning
         for j in range(1, n + 1):
-            for i in range(max(0, j - MAX_PIECE), j):
-                ids = np.array([find(w[i:j], none) for w in marked], np.int32)
+            hashes = [h * FACTOR + codes[j - 1] for h in hashes[-(MAX_PIECE - 1) :]] + [codes[j - 1] + FACTOR]
+            for i, h in enumerate(hashes, j - len(hashes)):
+                at = np.searchsorted(self.keys, h)
+                ids = np.where(self.keys[at] == h, self.numbers[at], none)
                 if j - i == 1 or (ids != none).any():
                     yield i, j, ids
 
