@@ -11,6 +11,8 @@ from __future__ import annotations
 import datetime as dt
 import math
 import re
+import struct
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, localcontext
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -41,8 +43,8 @@ def is_numeric(dtype: T.DataType) -> bool:
 
 
 def _float_text(col: Column) -> Column:
-    """Python's ``repr`` of a double: positional from 1e-4 up to 1e16, else ``1e+16``."""
-    raw = col.cast("double").cast("string")
+    """Python's ``repr`` of a float: positional from 1e-4 up to 1e16, else ``1e+16``."""
+    raw = col.cast("string")  # of a FLOAT the shortest text of its own width, as in numpy
     sign = F.when(raw.startswith("-"), "-").otherwise("")
     mantissa = F.regexp_extract(raw, r"^-?([0-9]+\.[0-9]+)E", 1)
     power = F.regexp_extract(raw, r"E(-?[0-9]+)$", 1).try_cast("int")
@@ -102,6 +104,33 @@ def _python_float(text: str) -> float | None:
         return None
 
 
+def _single(value: float) -> float:
+    """The nearest value of single precision."""
+    try:
+        return struct.unpack("f", struct.pack("f", value))[0]
+    except OverflowError:
+        return math.copysign(math.inf, value)
+
+
+def _single_text(value: float) -> str:
+    """The shortest text that single precision reads back as ``value``."""
+    short = (float(f"{value:.{n}g}") for n in range(1, 10))
+    return repr(next((x for x in short if _single(x) == value), value))
+
+
+def _decimal_value(dtype: T.DecimalType, text: str) -> tuple[bool, Decimal | None]:
+    """The decimal that prints as ``text``; small numbers of more than six places print with an exponent."""
+    if dtype.scale > 6:
+        return False, None
+    places = rf"\.[0-9]{{{dtype.scale}}}" if dtype.scale else ""
+    if not re.fullmatch(rf"-?(0|[1-9][0-9]*){places}", text):
+        return True, None
+    value = Decimal(text)
+    whole = len(text.lstrip("-").split(".")[0].lstrip("0"))
+    fits = whole <= dtype.precision - dtype.scale and not (text.startswith("-") and not value)
+    return True, value if fits else None
+
+
 def text_literal(dtype: T.DataType, text: str):
     """The typed value whose text is exactly ``text``.
 
@@ -123,6 +152,14 @@ def text_literal(dtype: T.DataType, text: str):
             return True, None
         # 0.0 equals -0.0 and NaN has its own rule: leave both to the text form
         return (False, None) if value == 0 or math.isnan(value) else (True, value)
+    if isinstance(dtype, T.FloatType):
+        value = _python_float(text)
+        if value is None or math.isnan(value) or value == 0:
+            return value is None, None
+        value = _single(value)
+        return True, value if _single_text(value) == text else None
+    if isinstance(dtype, T.DecimalType):
+        return _decimal_value(dtype, text)
     if isinstance(dtype, T.DateType):
         try:
             value = dt.date.fromisoformat(text)
@@ -141,11 +178,19 @@ def text_literal(dtype: T.DataType, text: str):
 def _typed(dtype: T.DataType, value) -> Column:
     if isinstance(dtype, T.TimestampNTZType):
         return F.lit(str(value)).cast("timestamp_ntz")
+    if isinstance(dtype, (T.FloatType, T.DecimalType)):
+        return F.lit(value).cast(dtype)
     return F.lit(value)
 
 
 def text_equals(col: Column, dtype: T.DataType, text: str) -> Column:
     """``str(cell) == text`` for the non-null cells; null cells give null or false."""
+    if isinstance(dtype, T.TimestampType):
+        # A local time may be there twice, so the text decides; bounds a day around it reach the scan.
+        if text_literal(T.TimestampNTZType(), text)[1] is None:
+            return never()
+        here, day = F.lit(text).cast("timestamp"), F.expr("INTERVAL 1 DAY")
+        return (col >= here - day) & (col <= here + day) & (cell_text(col, dtype) == text)
     decided, value = text_literal(dtype, text)
     if not decided:
         return cell_text(col, dtype) == text
@@ -199,12 +244,25 @@ def compare_number(col: Column, dtype: T.DataType, op: str, text: str) -> Column
         test = _compare(col, op, F.lit(bound))
         return test & ~F.isnan(col) if op in (">", ">=") else test
     if isinstance(dtype, T.DecimalType):
-        return _compare(col.cast("double"), op, F.lit(bound))
+        return _beside(col, dtype, op, bound) & _compare(col.cast("double"), op, F.lit(bound))
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
         value = number(F.regexp_replace(col, r"(?<=[0-9])_(?=[0-9])", ""), T.StringType())
         return F.coalesce(_compare(value, op, F.lit(bound)) & ~F.isnan(value), never())
     return never()
 
 
+def _beside(col: Column, dtype: T.DecimalType, op: str, bound: float) -> Column:
+    """A decimal bound that all cells within the double ``bound`` keep; unlike a cast of the column it reaches the scan."""
+    up = op in (">", ">=")
+    near = math.nextafter(bound, -math.inf if up else math.inf)  # a cell may round to the bound
+    if math.isinf(near):
+        return F.lit(True)
+    with localcontext(prec=400, rounding=ROUND_FLOOR if up else ROUND_CEILING):
+        value = Decimal(near).quantize(Decimal(1).scaleb(-dtype.scale))
+    if value.adjusted() >= dtype.precision - dtype.scale:
+        return F.lit(True)
+    return _compare(col, ">=" if up else "<=", F.lit(value).cast(dtype))
+
+
 def _compare(left: Column, op: str, right: Column) -> Column:
     return {">": left > right, ">=": left >= right, "<": left < right, "<=": left <= right}[op]

@@ -117,14 +117,25 @@ def segments(df: DataFrame, size: int, order: list | None = None) -> DataFrame:
     return numbered.withColumn("segment", F.floor((F.col("__n") - 1) / size).cast("long")).drop("__n")
 
 
+def _pieces(text: Column) -> Column:
+    """The numbers in a text and what is between them, as an array to sort by: 'a2b10' comes before 'a10b2'.
+
+    Numbers come before text; digits without leading zeros are compared by length
+    first, so a number may have any length.
+    """
+
+    def key(piece: Column) -> Column:
+        digits, bare = piece.rlike("^[0-9]"), F.ltrim(piece, F.lit("0"))
+        return F.struct(~digits, F.when(digits, F.length(bare)), F.when(digits, bare).otherwise(piece))
+
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), key)
+
+
 def natural_keys(schema: T.StructType, column: str, direction: str = "asc") -> list[tuple[Column, str]]:
     """Keys of a grid sort: numeric text by value, nulls last both ways."""
     col, dtype = F.col(f"`{column}`"), schema[column].dataType
     text = coerce.cell_text(col, dtype)
     value = coerce.number(col, dtype)
-    # 'Supplier#9' before 'Supplier#10': compare the text ahead of the last number, then that number.
-    stem = F.lower(F.regexp_extract(text, r"^(.*?)([0-9]*)$", 1))
-    tail = F.regexp_extract(text, r"([0-9]+)$", 1).try_cast("decimal(38,0)")
-    parts = [value] if coerce.is_numeric(dtype) else [value.isNull(), value, stem, tail, text]
+    parts = [value] if coerce.is_numeric(dtype) else [value.isNull(), value, _pieces(text), text]
     down = direction.lower() == "desc"
     return [(col.isNull(), "asc")] + [(p, "desc_nulls_last" if down else "asc_nulls_last") for p in parts]

@@ -20,7 +20,8 @@ from millrace.operators.predicates import filter_rows
 from millrace.plans.context import RunContext
 from millrace.plans.fanout import foreach_app, multi_date
 from millrace.plans.transforms import apply_callable, query, read_table, sql_over
-from millrace.sinks.files import write_parquet
+from millrace.session import scratch_path
+from millrace.sinks.files import write_csv, write_parquet
 from millrace.sinks.tables import write_table
 from millrace.sources.layout import Layout
 
@@ -102,7 +103,8 @@ class Graph:
                 raise ValueError(f"{node.type} {node.id} has no input")
             if node.type == "join" and len(feeds) != 2:
                 raise ValueError(f"join {node.id} needs two inputs, has {len(feeds)}")
-        orphans = [n for n in self.sources() if not any(self.nodes[r].type in LOADS for r in self.reachable(n))]
+        loaded = lambda n: _loads_itself(self.nodes[n]) or any(self.nodes[r].type in LOADS for r in self.reachable(n))
+        orphans = [n for n in self.sources() if not loaded(n)]
         if orphans:
             raise ValueError(f"sources without a downstream load: {orphans}")
 
@@ -245,9 +247,28 @@ def _source(spark: SparkSession, graph: Graph, nid: str, env: Environment, ctx:
     return df.transform(basic_chain(**legacy)) if legacy else df
 
 
+def _loads_itself(node: Node) -> bool:
+    """Whether a store extract names a table of its own to write to."""
+    return node.type == "s3_extract" and bool(node.config.get("target_table"))
+
+
+def _rows_per_file(node: Node, graph: Graph) -> int | None:
+    """A load's segment size, or else the smallest chunk size of the sources above it."""
+    own = node.config.get("rows_per_segment")
+    chunks = [graph.nodes[s].config.get("chunk_size") for s in graph.sources() if node.id in graph.reachable(s)]
+    return own or min((int(c) for c in chunks if c), default=None)
+
+
+def _is_csv(config: dict) -> bool:
+    return (config.get("output_format") or config.get("target")) == "csv"
+
+
 def _save(node: Node, df: DataFrame, graph: Graph, env: Environment, ctx: RunContext) -> dict:
     cfg = node.config
     mode = cfg.get("mode") or "overwrite"
+    if _loads_itself(node):
+        mode, namespace = cfg.get("write_mode") or "overwrite", cfg.get("target_db") or ctx.namespace or ""
+        return write_table(df, namespace.strip(), cfg["target_table"].strip(), mode, cfg.get("partition_by"))
     if node.type == "load_sql":
         namespace = (cfg.get("namespace_db") or cfg.get("database") or ctx.namespace or "").strip()
         return write_table(df, namespace, (cfg.get("table_name") or "").strip(), mode, cfg.get("partition_by"))
@@ -255,10 +276,36 @@ def _save(node: Node, df: DataFrame, graph: Graph, env: Environment, ctx: RunCon
         raise ValueError(f"{node.id} writes files, but the environment has no output root")
     layout = Layout(env.output.root, cfg.get("output_dir"), cfg.get("path_template"))
     path = layout.dataset(compact_date(ctx.business_date or "undated"), graph.name, node.label, ctx.app_id)
-    rows = write_parquet(df, path, mode, cfg.get("partition_by"), cfg.get("rows_per_segment"))
+    if _is_csv(cfg):
+        return {"path": path, "rows_loaded": write_csv(df, path, mode, _rows_per_file(node, graph))}
+    rows = write_parquet(df, path, mode, cfg.get("partition_by"), _rows_per_file(node, graph))
     return {"path": path, "rows_loaded": rows}
 
 
+def _together(inputs: list[DataFrame]) -> DataFrame:
+    return inputs[0] if len(inputs) == 1 else union_by_name(*inputs)
+
+
+def _write_node(spark: SparkSession, node: Node, df: DataFrame, graph: Graph, env: Environment, ctx: RunContext):
+    """Write a load's rows; returns what the nodes below read, and the outcome.
+
+    They read a target that holds exactly these rows, with the types they had.
+    Partitioned targets keep other partitions, appended ones older rows, and CSV
+    no empty text: there the rows go through the run's own folder first.
+    """
+    cfg = node.config
+    mode = cfg.get("write_mode" if _loads_itself(node) else "mode") or "overwrite"
+    fresh = mode == "overwrite" and not cfg.get("partition_by") and not _is_csv(cfg)
+    if node.outputs and not fresh:
+        path = scratch_path(spark, "staging")
+        df.write.parquet(path)
+        df = spark.read.schema(df.schema).parquet(path)
+    done = _save(node, df, graph, env, ctx)
+    if node.outputs and fresh:
+        df = spark.table(done["table"]) if "table" in done else spark.read.schema(df.schema).parquet(done["path"])
+    return df, done
+
+
 def build(
     spark: SparkSession,
     graph: Graph,
@@ -281,16 +328,12 @@ def build(
         if node.type == "iterator" or nid in frames:
             continue
         inputs = [frames[i] for i in node.inputs if i in frames]
-        if graph.is_source(nid):
-            frames[nid] = _source(spark, graph, nid, env, ctx, legacy)
-        elif node.type in LOADS:
-            df = inputs[0] if len(inputs) == 1 else union_by_name(*inputs)
-            if write:
-                done = _save(node, df, graph, env, ctx)
+        source = graph.is_source(nid)
+        if source or node.type in LOADS:
+            df = _source(spark, graph, nid, env, ctx, legacy) if source else _together(inputs)
+            if write and (not source or _loads_itself(node)):
+                df, done = _write_node(spark, node, df, graph, env, ctx)
                 results.append({"node_id": nid, "label": node.label, **done})
-                # append mode keeps older rows in the target, so only a fresh target can stand in for the rows
-                if node.outputs and (node.config.get("mode") or "overwrite") == "overwrite":
-                    df = spark.table(done["table"]) if "table" in done else spark.read.parquet(done["path"])
             frames[nid] = df
         else:
             frames[nid] = _transform(node.type, node.config, inputs, env, ctx)

@@ -70,7 +70,8 @@ def standard_readers(
         )
 
     def json(spark: SparkSession, config: dict, ctx: RunContext) -> DataFrame:
-        return files.scan_json(spark, path(config, ctx), config.get("json_lines", True), config.get("schema"))
+        encoding = config.get("file_encoding") or "utf-8"
+        return files.scan_json(spark, path(config, ctx), config.get("json_lines", True), config.get("schema"), encoding)
 
     def table(spark: SparkSession, config: dict, ctx: RunContext) -> DataFrame:
         return read_table(spark, ctx.render(config["table"]), config.get("database") or ctx.namespace)

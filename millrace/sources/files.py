@@ -58,10 +58,18 @@ def scan_csv(
 
 
 def scan_json(
-    spark: SparkSession, path: str | list[str], lines: bool = True, schema: Schema = None, **options: str
+    spark: SparkSession,
+    path: str | list[str],
+    lines: bool = True,
+    schema: Schema = None,
+    encoding: str = "utf-8",
+    **options: str,
 ) -> DataFrame:
     """JSON lines, or files with one JSON array each; nested objects stay structs."""
-    return _reader(spark, schema, {"multiLine": not lines, **options}).json(path)
+    base = {"multiLine": not lines}
+    if (charset := _charset(encoding)) != "utf-8":
+        base |= {"encoding": charset, **({"lineSep": "\n"} if lines else {})}
+    return _reader(spark, schema, {**base, **options}).json(path)
 
 
 def scan_parquet(spark: SparkSession, *paths: str, schema: Schema = None, **options: str) -> DataFrame:

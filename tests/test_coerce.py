@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -124,9 +125,47 @@ def test_number(spark):
         assert value == expected or (math.isnan(value) and math.isnan(expected)), text
 
 
+def test_float_conditions(spark):
+    values = [None, 0.1, 0.5, -2.25, 3.4e38, 1e-5, 16777216.0, 0.0, float("nan")]
+    df = column(spark, T.FloatType(), values)
+    texts = [None, "0.1", "0.5", "-2.25", "3.4e+38", "1e-05", "16777216.0", "0.0", "nan"]
+    for value in ["0.1", "0.10", "0.5", "-2.25", "3.4e+38", "1e-05", "16777216.0", "1e400", "0.0", "nan", "x"]:
+        got = [r.i for r in df.where(condition(df.schema, "c", "=", value)).orderBy("i").collect()]
+        assert got == [i for i, t in enumerate(texts) if t == value], value
+
+
+def test_decimal_conditions(spark):
+    values = [None, *map(Decimal, ("5.00", "5.01", "-0.10", "0.00", "99999999.99", "-5.00", "0.07"))]
+    df = column(spark, T.DecimalType(10, 2), values)
+    cases = [(op, v) for op in OPERATORS for v in [*VALUES, "5.00", "-0.00", "0.00", "-0.10", "0.07", "999999999.00", "1e300", "-1e308"]]
+    tests = [F.coalesce(condition(df.schema, "c", op, v), F.lit(False)).alias(f"t{n}") for n, (op, v) in enumerate(cases)]
+    got = df.orderBy("i").select(*tests).collect()
+    wrong = [(c, v) for row, v in zip(got, values) for n, c in enumerate(cases) if row[n] != holds(c[0], v, c[1])]
+    assert wrong == []
+
+
+def test_large_decimals_compare_as_floats(spark):
+    values = [Decimal(9007199254740992), Decimal(9007199254740993), Decimal(9007199254740994), Decimal(10) ** 29]
+    df = column(spark, T.DecimalType(30, 0), values)
+    for op in (">", ">=", "<", "<="):
+        for value in ("9007199254740992", "9007199254740993", "9007199254740994", "1e29", "1e40"):
+            got = [r.i for r in df.where(condition(df.schema, "c", op, value)).orderBy("i").collect()]
+            assert got == [i for i, v in enumerate(values) if holds(op, float(v), value)], (op, value)
+
+
+def test_time_conditions(spark):
+    df = spark.sql("SELECT timestamp'2026-04-16 01:02:03' AS t UNION ALL SELECT timestamp'2026-04-16 00:00:00' UNION ALL SELECT NULL")
+    count = lambda v: df.where(condition(df.schema, "t", "=", v)).count()
+    assert [count(v) for v in ("2026-04-16 01:02:03", "2026-04-16 00:00:00", "2026-04-16", "", "x")] == [1, 1, 0, 1, 0]
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "t")
-    spark.range(10).selectExpr("id", "cast(id AS double) AS d", "cast(id AS string) AS s").write.parquet(path)
+    frame = spark.range(10).selectExpr(
+        "id", "cast(id AS double) AS d", "cast(id AS string) AS s", "cast(id AS decimal(20,2)) AS n", "cast(id AS float) AS f",
+        "timestamp_seconds(id) AS t",
+    )
+    frame.write.parquet(path)
     df = spark.read.parquet(path)
     for cond, pushed in [
         (("s", "=", "5"), "EqualTo(s,5)"),
@@ -137,6 +176,12 @@ def test_filters_reach_the_scan(spark, tmp_path):
         (("d", ">=", "5"), "GreaterThanOrEqual(d,5.0)"),
         (("id", "IN", "1,2"), "In(id, [1,2])"),
         (("s", "!=", "5"), "Not(EqualTo(s,5))"),
+        (("n", "=", "5.00"), "EqualTo(n,5.00)"),
+        (("n", "IN", "1.00,2.00"), "In(n, [1.00,2.00])"),
+        (("n", ">", "5"), "GreaterThanOrEqual(n,4.99)"),
+        (("n", "<=", "5"), "LessThanOrEqual(n,5.01)"),
+        (("f", "=", "5.0"), "EqualTo(f,5.0)"),
+        (("t", "=", "2026-04-16 00:00:00"), "LessThanOrEqual(t,2026-04-1"),
     ]:
         plan = df.where(condition(df.schema, *cond))._jdf.queryExecution().explainString(
             spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")

@@ -310,6 +310,9 @@ def test_natural_sort(rows):
     df = rows([("f10",), ("f9",), (None,), ("F2",), ("100",), ("20",)], "s string")
     assert [r.s for r in df.transform(grid.sort_natural("s")).collect()] == ["20", "100", "F2", "f9", "f10", None]
     assert [r.s for r in df.transform(grid.sort_natural("s", "desc")).collect()][-1] is None
+    several = rows([("a10b2",), ("a2b10",), ("a02b9",), ("a2",), ("ab",), ("",), ("a" + "9" * 50,)], "s string")
+    got = [r.s for r in several.transform(grid.sort_natural("s")).collect()]
+    assert got == ["", "a2", "a02b9", "a2b10", "a10b2", "a" + "9" * 50, "ab"]
 
 
 # ---- grid, dictionary, pages

@@ -87,6 +87,35 @@ def test_run_with_two_sources_and_staging(spark, db, tmp_path):
     assert nothing == [] and frames["out"].count() == 3
 
 
+def test_partitioned_staging_passes_on_only_its_own_rows(spark, db, tmp_path):
+    rows = lambda s, c, x: s.sql(f"SELECT id, '{x.business_date}' AS bd FROM range(3)").replace("-", "", "bd")
+    stage = node("stage", "load_parquet", partition_by=["bd"], path_template="all")
+    out = node("out", "load_sql", namespace_db=db, table_name="t")
+    g = graph.Graph(spec([node("a", "table_extract"), stage, out], ("a", "stage"), ("stage", "out")))
+    env = graph.Environment({"a": rows}, output=Layout(str(tmp_path)))
+    for day in ("20260415", "20260416"):
+        done = graph.run(spark, g, env, RunContext(day))
+        assert [r["rows_loaded"] for r in done] == [3, 3]
+        assert {(r.bd, r.id) for r in spark.table(f"{db}.t").collect()} == {(day, n) for n in range(3)}
+        assert dict(spark.table(f"{db}.t").dtypes)["bd"] == "string"
+
+
+def test_csv_load_chunks_and_extracts_with_a_target(spark, db, tmp_path):
+    csv = node("csv", "load_parquet", output_format="csv")
+    source = node("s", "s3_extract", target_db=db, target_table="raw", chunk_size=4)
+    total = node("agg", "aggregate", aggregations=[{"column": "id", "function": "count", "alias": "n"}])
+    out = node("out", "load_sql", namespace_db=db, table_name="t")
+    g = graph.Graph(spec([source, csv, total, out], ("s", "csv"), ("csv", "agg"), ("agg", "out")))
+    env = graph.Environment({"s": lambda s, c, x: s.range(10).coalesce(1)}, output=Layout(str(tmp_path)))
+    done = {r["node_id"]: r for r in graph.run(spark, g, env, RunContext("2026-04-16"))}
+    assert {k: r["rows_loaded"] for k, r in done.items()} == {"s": 10, "csv": 10, "out": 1}
+    assert spark.table(f"{db}.raw").count() == 10 and spark.table(f"{db}.t").first().n == 10
+    assert len(spark.read.csv(done["csv"]["path"], header=True).inputFiles()) == 3
+    alone = graph.Graph(spec([node("s", "s3_extract", target_db=db, target_table="raw", write_mode="append")]))
+    graph.run(spark, alone, env)
+    assert spark.table(f"{db}.raw").count() == 20
+
+
 def test_context_namespace_and_legacy_config(spark):
     name = f"z{uuid.uuid4().hex[:6]}_"
     env = graph.Environment(readers={"csv_extract": lambda s, c, x: s.range(4).withColumn("k", F.col("id") % 2)})
