@@ -333,7 +333,7 @@ def build(
             df = _source(spark, graph, nid, env, ctx, legacy) if source else _together(inputs)
             if write and (not source or _loads_itself(node)):
                 df, done = _write_node(spark, node, df, graph, env, ctx)
-                results.append({"node_id": nid, "label": node.label, **done})
+                results.append({"node_id": nid, "type": node.type, "label": node.label, **done})
             frames[nid] = df
         else:
             frames[nid] = _transform(node.type, node.config, inputs, env, ctx)

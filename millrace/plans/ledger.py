@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from millrace.operators.join import join_tables
 from millrace.sinks.tables import write_records
 
-RUNS = """run_id string, pipeline string, status string, started_at timestamp, finished_at timestamp,
+RUNS = """id string, pipeline_id string, status string, started_at timestamp, finished_at timestamp,
  duration_seconds double, records_loaded long, error_message string"""
-STEPS = "run_id string, step_order int, step_label string, status string, target string, records_out long"
+STEPS = """run_id string, step_order int, step_type string, step_label string, step_status string, target string,
+ records_in long, records_out long"""
 GOOD = ("completed", "completed_with_warnings")
 DEFAULT_CATEGORY = "Unknown"
 
@@ -156,8 +157,9 @@ def step_rows(steps: DataFrame) -> DataFrame:
 def record_run(spark: SparkSession, namespace: str, pipeline: str, work: Callable[[], list[dict]]) -> list[dict]:
     """Run ``work`` and append its outcome to the tables ``runs`` and ``run_steps`` of a namespace.
 
-    ``work`` returns one result per load (``label``, ``rows_loaded``, ``table`` or
-    ``path``). A failure is recorded and raised again.
+    These are what the statistics above read. ``work`` returns one result per
+    load (``label``, ``rows_loaded``, ``table`` or ``path``, and ``type``, ``rows_in`` if
+    it knows them). A failure is recorded and raised again.
     """
     run_id, started = uuid.uuid4().hex, dt.datetime.now(dt.timezone.utc)
     results: list[dict] = []
@@ -175,7 +177,7 @@ def record_run(spark: SparkSession, namespace: str, pipeline: str, work: Callabl
         run = (run_id, pipeline, status, started, ended, (ended - started).total_seconds(), loaded, error)
         write_records(spark, [run], namespace, "runs", schema=RUNS)
         steps = [
-            (run_id, i, r["label"], status, r.get("table") or r.get("path"), r["rows_loaded"])
+            (run_id, i, r.get("type", "load"), r["label"], status, r.get("table") or r.get("path"), r.get("rows_in", r["rows_loaded"]), r["rows_loaded"])
             for i, r in enumerate(results)
         ]
         write_records(spark, steps, namespace, "run_steps", schema=STEPS)

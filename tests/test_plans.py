@@ -353,7 +353,7 @@ def test_standard_readers(spark, db, tmp_path):
         run_once(spark, db, [node("x", "jdbc_extract", connection_id=1, sql="SELECT 1")], env, ("x", "out"))
 
 
-def test_run_is_recorded(spark, db):
+def test_run_is_recorded(spark, db, rows):
     work = lambda: [{"label": "out", "table": "t", "rows_loaded": 3}]
     ledger.record_run(spark, db, "daily", work)
     with pytest.raises(RuntimeError):
@@ -361,3 +361,14 @@ def test_run_is_recorded(spark, db):
     got = {r.status: (r.records_loaded, r.error_message) for r in spark.table(f"{db}.runs").collect()}
     assert got == {"completed": (3, None), "failed": (0, "boom")}
     assert [(r.step_label, r.records_out) for r in spark.table(f"{db}.run_steps").collect()] == [("out", 3)]
+    # The statistics read what was recorded.
+    runs, steps = spark.table(f"{db}.runs"), spark.table(f"{db}.run_steps")
+    pipes = rows([("daily", "Daily")], "id string, name string")
+    last = ledger.latest_run(runs, pipes).first()
+    assert (last.last_status, last.total_runs) == ("failed", 2)
+    assert ledger.run_names(runs, pipes, search="DAI", status="completed").count() == 1
+    assert [tuple(r) for r in ledger.step_rows(steps).collect()] == [(0, "out", 3, 3)]
+    good = runs.where("status = 'completed'")
+    edges = rows([("daily", "before")], "pipeline_id string, upstream_id string")
+    shown = ledger.graph_status(pipes, edges, good, steps).first()
+    assert (shown.last_run_status, shown.step_statuses, shown.upstream_id) == ("completed", "load=completed", "before")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.columns import split_valid
 from millrace.operators.dictionary import iterator_entries
-from millrace.plans import fanout, graph
+from millrace.plans import fanout, graph, ledger as runs
 from millrace.plans.context import RunContext
 from millrace.sources.layout import Layout
 from workloads.registry import nation_dictionary, query, scratch, scratch_db, table, views
@@ -212,6 +212,26 @@ def staging_load(spark, sf):
     return spark.table(f"{db}.totals").select("o_orderpriority", staged, "n")
 
 
+@query("""
+SELECT CAST(0 AS INTEGER) AS step_order, 'out' AS step_label, COUNT(*) AS records_in, COUNT(*) AS records_out
+FROM orders WHERE o_orderstatus = 'F'
+""")
+def recorded_run(spark, sf):
+    """A graph is run and recorded; its steps are read from the ledger it wrote."""
+    db = scratch_db(spark, "recorded")
+    spec = {
+        "nodes": [
+            _node("orders", "table_extract"),
+            _node("done", "filter", conditions=[{"column": "o_orderstatus", "operator": "=", "value": "F"}]),
+            _node("out", "load_sql", namespace_db=db, table_name="done_orders"),
+        ],
+        "edges": _edges(("orders", "done"), ("done", "out")),
+    }
+    env = graph.Environment(readers={"orders": _reader(spark, sf, "orders")})
+    runs.record_run(spark, db, "recorded", lambda: graph.run(spark, graph.Graph(spec, "recorded"), env))
+    return runs.step_rows(spark.table(f"{db}.run_steps"))
+
+
 @query("""
 SELECT c_custkey, CAST(n_nationkey AS VARCHAR) AS application_id, n_name AS application_name
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'

@@ -53,6 +53,23 @@ _filter("filter_or", "lineitem", [("l_returnflag", "=", "R"), ("l_quantity", "<"
         logic="OR")
 
 
+def _filter_decimal(name: str, column: str, conditions: list[tuple], sql: str) -> None:
+    """Register a filter over lines whose column is a DECIMAL; the rows show it as a double."""
+
+    def run(spark, sf):
+        money = F.col(column).cast("decimal(20,2)").alias("amount")
+        lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", money)
+        specs = [{"column": "amount", "operator": o, "value": v} for o, v in conditions]
+        return lines.transform(filter_rows(specs)).withColumn("amount", F.col("amount").cast("double"))
+
+    query(f"SELECT l_orderkey, l_linenumber, {column} AS amount FROM lineitem WHERE {sql}", name)(run)
+
+
+_filter_decimal("filter_decimal_gt", "l_extendedprice", [(">", "50000"), ("!=", "60000.00")],
+                "l_extendedprice > 50000 AND l_extendedprice <> 60000")
+_filter_decimal("filter_decimal_in", "l_quantity", [("IN", "7.00, 8.00, 9.0")], "l_quantity IN (7, 8)")
+
+
 @query("SELECT * EXCLUDE (l_tax, l_discount) FROM lineitem")
 def drop_columns(spark, sf):
     return table(spark, sf, "lineitem").transform(columns.drop_columns(["l_tax", "l_discount", "not_there"]))
