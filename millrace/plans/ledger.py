@@ -60,7 +60,7 @@ def kpis(runs: DataFrame, pipelines: DataFrame, today: dt.date) -> DataFrame:
         F.count_if(status.isin("running", "pending")).alias("running"),
     )
     active = pipelines.agg(F.count_if(F.col("status") == "active").alias("active_pipelines"))
-    return head.withColumn("one", F.lit(1)).join(active.withColumn("one", F.lit(1)), "one").drop("one")
+    return head.select("*", active.scalar().alias("active_pipelines"))
 
 
 def latest_run(runs: DataFrame, pipelines: DataFrame) -> DataFrame:

@@ -96,13 +96,28 @@ def register_views(spark: SparkSession, root: str, suppress: set[str] | None = N
 
 
 def preview_dataset(spark: SparkSession, path: str, limit: int = 200, offset: int = 0) -> tuple[DataFrame, dict]:
-    """A page of a parquet dataset in file and row order, with total rows, file count and whether more follow."""
-    if not 1 <= limit <= 2000 or offset < 0:
-        raise ValueError("a preview page has 1 to 2000 rows and a non-negative offset")
+    """A page of a parquet dataset in file and row order, with total rows, file count and whether more follow.
+
+    Rows are counted per file first, so that only the files that the page touches are read and sorted.
+    """
+    if limit < 1 or offset < 0:
+        raise ValueError("a preview page has at least one row and a non-negative offset")
     df = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
-    place = ["_metadata.file_path", "_metadata.row_index"]
-    size = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("_metadata.file_path").alias("files")).first()
-    page = df.orderBy(*place).offset(offset).limit(limit)
+    file = F.col("_metadata.file_path")
+    counts = df.groupBy(file.alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    size = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("file").alias("files")).first()
+    touched, before, skipped = [], 0, 0
+    if offset < size["rows"]:
+        for row in counts.orderBy("file").toLocalIterator():
+            if before + row["rows"] <= offset:
+                skipped += row["rows"]
+            else:
+                touched.append(row["file"])
+            before += row["rows"]
+            if before >= offset + limit:
+                break
+    rows = df.where(file.isin(touched)) if touched else df.limit(0)
+    page = rows.orderBy(file, "_metadata.row_index").offset(offset - skipped).limit(limit) if touched else rows
     shown = max(0, min(limit, size["rows"] - offset))
     return page, {
         "row_count": shown,

@@ -237,6 +237,16 @@ def test_preview(spark, tmp_path):
     page, facts = layout.preview_dataset(spark, path, 10, 95)
     assert [r.id for r in page.collect()] == [95, 96, 97, 98, 99]
     assert facts == {"row_count": 5, "total_rows": 100, "truncated": False, "file_count": 4, "format": "parquet"}
+    page, facts = layout.preview_dataset(spark, path, 30, 20)
+    assert [r.id for r in page.collect()] == list(range(20, 50))
+    assert facts["truncated"] and facts["row_count"] == 30
+    page, facts = layout.preview_dataset(spark, path, 5000, 0)
+    assert page.count() == 100 and not facts["truncated"]
+    page, facts = layout.preview_dataset(spark, path, 10, 100)
+    assert page.columns == ["id"] and page.count() == facts["row_count"] == 0
+    spark.range(0).write.parquet(empty := str(tmp_path / "empty"))
+    page, facts = layout.preview_dataset(spark, empty)
+    assert page.count() == facts["total_rows"] == facts["file_count"] == 0
 
 
 def test_ingest(spark, tmp_path, db):
