@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 from millrace.llm.common import free_name, id_crc, ready
 
 UNKNOWN = "und"
-MAX_PIECE = 8  # characters; longer pieces of the vocabulary are not used
+MAX_PIECE = 16  # characters of the longest piece of the default vocabulary; a Segmenter goes by its own pieces
 SHORT = 24  # characters of a word, up to which words of one length are scored together
 SMOOTH = 0.01  # uses of each piece that every language is given
 LOST = 1e-9  # probability of a character that no piece covers
@@ -37,12 +37,12 @@ MARK = "▁"  # begins each word in the vocabulary
 
 @lru_cache(maxsize=1)
 def vocabulary(path: str) -> dict[str, int]:
-    """The usable pieces in lower case, numbered."""
+    """All pieces in lower case, numbered."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return {p: i for i, p in enumerate(dict.fromkeys(p for p in pieces if len(p) <= MAX_PIECE))}
+    return {p: i for i, p in enumerate(dict.fromkeys(pieces))}
 
 
 def default_path() -> str:
@@ -68,6 +68,7 @@ class Segmenter:
 
     def __init__(self, pieces: dict[str, int], probs: np.ndarray) -> None:
         self.pieces, self.probs, self.none = pieces, probs, len(pieces)
+        self.longest = max(map(len, pieces), default=1)
         # Pieces are found by a 64-bit hash of their characters; the last key is greater than any.
         keys = np.array([*map(_hash, pieces), (1 << 64) - 1], np.uint64)
         order = np.argsort(keys, kind="stable")
@@ -81,7 +82,7 @@ class Segmenter:
         codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, n).T.astype(np.uint64)
         hashes: list[np.ndarray] = []  # of the spans that end here, by their beginning
         for j in range(1, n + 1):
-            hashes = [h * FACTOR + codes[j - 1] for h in hashes[-(MAX_PIECE - 1) :]] + [codes[j - 1] + FACTOR]
+            hashes = [h * FACTOR + codes[j - 1] for h in hashes[max(0, len(hashes) - self.longest + 1) :]] + [codes[j - 1] + FACTOR]
             for i, h in enumerate(hashes, j - len(hashes)):
                 at = np.searchsorted(self.keys, h)
                 ids = np.where(self.keys[at] == h, self.numbers[at], none)
@@ -119,7 +120,7 @@ class Segmenter:
                 piece = self.pieces.get(word[j - back : j], self.none)
                 if piece != self.none or back == 1:
                     here += before * self.probs[:, piece]
-            recent = [a / here for a in [*recent, here]][-MAX_PIECE:]
+            recent = [a / here for a in [*recent, here]][-self.longest :]
             log += np.log(here)
         return log
 
@@ -135,12 +136,9 @@ class Segmenter:
         return uses
 
     def _add(self, uses: np.ndarray, group: list[str], counts: dict[str, int], n: int) -> None:
-        if n > SHORT:  # rare: only the spans near each other can be joined, so cut training words, never scored ones
-            parts: Counter[str] = Counter()
+        if n > SHORT:
             for w in group:
-                for at in range(0, n - 1, SHORT - 1):
-                    parts[w[at : at + SHORT - 1]] += counts[w]
-            uses += self.expected(parts)
+                self._add_long(uses, MARK + w, counts[w])
             return
         arcs = [(i, j, ids, self._weights(i, j, ids, slice(0, 1))[0]) for i, j, ids in self._arcs([MARK + w for w in group])]
         alpha, beta = (np.zeros((n + 1, len(group))) for _ in range(2))
@@ -153,6 +151,28 @@ class Segmenter:
         for i, j, ids, p in arcs:
             uses += np.bincount(ids, alpha[i] * p * beta[j] * share, len(uses))
 
+    def _add_long(self, uses: np.ndarray, word: str, count: int) -> None:
+        """One word of any length; both sums are rescaled at each character by the forward one."""
+        n, probs = len(word), self.probs[0].tolist()
+        alpha, scale, ending = [1.0], [1.0], []
+        for j in range(1, n + 1):
+            here, between, arcs = 0.0, 1.0, []
+            for i in range(j - 1, max(-1, j - 1 - self.longest), -1):  # between: the scales of the characters inside the span
+                piece = self.pieces.get(word[i:j], self.none)
+                if piece != self.none or i == j - 1:
+                    p = probs[piece] / between
+                    here += alpha[i] * p
+                    arcs.append((i, piece, p))
+                between *= scale[i]
+            alpha.append(1.0)
+            scale.append(here)
+            ending.append(arcs)
+        beta = [0.0] * n + [1.0]
+        for j in range(n, 0, -1):
+            for i, piece, p in ending[j - 1]:
+                share = p / scale[j] * beta[j]
+                beta[i] += share
+                uses[piece] += alpha[i] * share * count
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", path: str | None = None) -> tuple[list[str], np.ndarray]:

@@ -64,6 +64,28 @@ def test_expected_uses_match_enumeration():
     assert np.allclose(got[:4], [10, 2, 8, 2])
 
 
+def test_no_piece_of_the_vocabulary_is_left_out():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=langid.default_path())
+    longest = max((model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_control(i)), key=len).lower()
+    pieces = langid.vocabulary(langid.default_path())
+    assert longest in pieces and max(map(len, pieces)) == langid.MAX_PIECE
+
+
+def test_long_words_are_learned_whole():
+    pieces = {p: i for i, p in enumerate(["▁", "a", "ab", "b", "abababab" * 2 + "ababa"])}
+    s = langid.Segmenter(pieces, np.array([[0.2, 0.2, 0.2, 0.2, 0.2, 1e-9]]))
+    short, long = np.zeros((2, len(pieces) + 1))
+    for word in ("abba" * 5, "ab" * 11 + "a"):
+        short += s.expected({word: 3})
+        s._add_long(long, "▁" + word, 3)
+    assert np.allclose(short, long)
+    got = s.expected({"ab" * 600: 2})
+    letters = got[1] + got[3] + 2 * got[2] + 21 * got[4]
+    assert np.isclose(got[0], 2) and np.isclose(letters, 2400) and got[4] > 0  # one mark a word: it is not cut
+
+
 def test_language_of_odd_rows(docs, no_docs):
     out = collected(langid.identify(docs).select("doc_id", "text", F.col("language.found.*")))
     assert len(out) == docs.count()
