@@ -225,13 +225,14 @@ def nearest(embeddings: DataFrame, queries: Column, k: int = 5, vec_id: str = "v
     Vectors that are null, zero or hold null or non-finite components take no
     part, nor do rows without id; vectors are compared with those of their own
     length. A query gets all candidates if they are fewer than ``k``; repeated
-    rows are one vector. An empty table gives no rows.
+    rows are one, as query and as candidate, and an id with several vectors is
+    as near as the nearest of them. An empty table gives no rows.
     """
     ready(embeddings.sparkSession)
     rows = embeddings.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), queries.alias("asked"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
     first = Window.partitionBy("vector").orderBy("id")
-    least = rows.select("id", "vector").withColumn("nth", F.rank().over(first)).where(F.col("nth") <= k + 1)
+    least = rows.select("id", "vector").withColumn("nth", F.dense_rank().over(first)).where(F.col("nth") <= k + 1)
     distinct = stored(least.groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("vec_ids")), "vectors")
     shards = max(1, math.ceil(distinct.count() / shard_rows))
     index = stored(build(distinct, shards), "graphs")
@@ -240,7 +241,7 @@ def nearest(embeddings: DataFrame, queries: Column, k: int = 5, vec_id: str = "v
         data = _packed(ids=np.array(table["id"].to_pylist(), np.int64), x=np.array(table["vector"].to_pylist(), np.float64))
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([data], pa.binary())})
 
-    asked = stored(rows.where(F.coalesce(F.col("asked"), F.lit(False))).select("id", "vector"), "queries")
+    asked = stored(rows.where(F.coalesce(F.col("asked"), F.lit(False))).select("id", "vector").distinct(), "queries")
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     dealt = asked.groupBy(F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
     blocked = stored(dealt.applyInArrow(block, "dim int, block binary"), "query_blocks")
@@ -255,8 +256,10 @@ def nearest(embeddings: DataFrame, queries: Column, k: int = 5, vec_id: str = "v
                 for own, q, at in zip(asked["ids"].tolist(), asked["x"], found, strict=True):
                     at = at[at >= 0]
                     scores = cosine(q, shard["raw"][at])
-                    best = [(-s, i) for p, s in zip(at, scores.tolist(), strict=True) for i in shard["ids"][starts[p] : starts[p + 1]].tolist() if i != own]
-                    out.extend((own, i, -s) for s, i in sorted(best)[:k])
+                    best: dict[int, float] = {}
+                    for p, s in zip(at, scores.tolist(), strict=True):
+                        best.update((i, max(s, best.get(i, s))) for i in shard["ids"][starts[p] : starts[p + 1]].tolist() if i != own)
+                    out.extend((own, i, -s) for s, i in sorted((-s, i) for i, s in best.items())[:k])
                 cols = list(zip(*out, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
 
@@ -264,5 +267,6 @@ def nearest(embeddings: DataFrame, queries: Column, k: int = 5, vec_id: str = "v
     visits = blocked.select("dim", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     hits = visits.join(index, ["shard", "dim"]).select("block", "data").mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     merged = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return merged.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

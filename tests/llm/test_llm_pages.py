@@ -112,6 +112,23 @@ def test_copies_and_ties(spark):
     assert len(got[50]) == 5 and 50 not in got[50]
 
 
+@pytest.mark.parametrize("times", [2, 7])
+def test_repeated_rows_are_one(spark, times):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 8))
+    x[:12] = x[0]  # more copies than can be results
+    x[100:103] = x[100]  # fewer
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] * times
+    got = found(hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0))
+    assert got == truth(list(range(200)), x, range(0, 200, 50))
+
+
+def test_an_id_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), *((i, [1.0, i / 100]) for i in range(1, 8)), *((i, [i / 50, 1.0]) for i in range(1, 8))]
+    out = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r.vec_id) for r in out) == [(k, k) for k in range(1, 6)]
+
+
 def test_odd_vectors(spark):
     rows = [
         (0, [1.0, 0.0], 1), (50, None, 1), (100, [0.0, 0.0], 1), (150, [float("nan"), 1.0], 1), (200, [1.0, None], 1), (250, [1e200, 1e200], 2),
