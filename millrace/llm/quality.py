@@ -18,8 +18,9 @@ MAX_REPEAT = 50  # per cent of the words
 
 DIMS = 4
 #: Least standard deviation of each transformed statistic: most clean texts have no symbols or repeats at all,
-#: and a spread of zero would make every other text an outlier.
-FLOORS = (0.10, 0.05, 0.20, 0.20)
+#: and a spread of zero would make every other text an outlier. On the order of clean texts' own spread, so that each
+#: statistic alone can pass the cutoff: in a group without any at 2.5 % symbols, 4.5 % duplicate lines or 28 % repeats.
+FLOORS = (0.10, 0.03, 0.04, 0.10)
 SHARE = 0.75  # of a group's rows that the estimate rests on
 STEPS = 4  # concentration steps
 MIN_ROWS = 40  # rows of a group that is estimated by itself

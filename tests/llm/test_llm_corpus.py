@@ -59,6 +59,29 @@ def test_outliers_are_rejected_and_clean_texts_kept(spark):
     assert kept == set(range(120))
 
 
+def test_each_statistic_alone_rejects(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    draw = lambda n: list(rng.choice(vocabulary, n, replace=False))
+    lines = lambda w: "\n".join(" ".join(w[k : k + 10]) for k in range(0, len(w), 10))
+    clean = [lines(draw(100)) for _ in range(117)]
+    few = draw(3)
+    clean += ["\n".join([lines(draw(100)), few[0], " ".join(draw(9)), few[0]]), lines([*draw(90), *few, *draw(4), *few]), lines(draw(99)) + " $5"]
+    phrase, line = draw(4), draw(10)
+    long_words = [a + b + c for a, b, c in zip(draw(100), draw(100), draw(100), strict=True)]
+    symbols = [w + "#" * (k % 4 == 0) for k, w in enumerate(draw(100))]
+    repeats = [*draw(30), *phrase, *draw(10), *phrase, *draw(10), *phrase, *draw(5), *phrase, *draw(5), *phrase, *draw(5), *phrase, *draw(5), *phrase, *draw(5), *phrase]
+    duplicates = "\n".join(x for k, w in enumerate(draw(90)) for x in ([w, "yes"] if k % 5 == 0 else [w]))
+    copied = "\n".join(x for k in range(5) for x in (" ".join(draw(10)), " ".join(line)))
+    junk = [lines(long_words), lines(symbols), lines(repeats), duplicates, copied]
+    for k, text in enumerate(junk):  # each is one kind only, but for the last
+        _, _, s, d, p = base_statistics(text)
+        assert (s > 0, d > 0, p > 0) == ((False,) * 3, (True, False, False), (False, False, True), (False, True, False), (False, True, True))[k]
+    rows = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(clean + junk)], "doc_id long, text string, lang string, source string")
+    out = collected(quality.judge(rows))
+    assert {r["doc_id"] for r in out if r["kept"]} == set(range(120)) and not any(r["base_failed"] for r in out)
+
+
 def test_estimates_are_those_of_concentration_steps(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0, [0.3, 0.2, 0.5, 0.4], (400, 4)) + [1.5, 0.2, 0.3, 0.2]
