@@ -26,6 +26,35 @@ def test_leaf_blocks():
     assert dom.blocks("") == [] and [b.text for b in dom.blocks("<p <<x>a</p")] != []
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ('<p>a <svg class="i"/>b</p><p>c', ["a b", "c"]),
+        ("<p>a <svg><title/><style/><path d=1 /></svg>b</p><p>c", ["a b", "c"]),
+        ("<div><button>Share</div><p>c</p>", ["c"]),
+        ("<div>a<button>Share<p>c</p></div>d", ["a", "c", "d"]),
+        ("<div><object data=x><param name=y></div><p>c</p><div><object>z</object></div>e", ["c", "e"]),
+        ("<p>Pick <select><option>a<option>b</select> now</p>", ["Pick now"]),
+        ("<select><option>a<option>b<p>c", ["c"]),
+        ("<p>a<svg-icon name=x></svg-icon>b</p><object-card>c</object-card><title-bar>d</title-bar><p>e", ["ab", "cd", "e"]),
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x=2</annotation></math> then", ["if x=2 then"]),
+        ('<article data-title="The hidden city"><p>a</article><div class="lead hidden md:block"><p>b</div>', ["a", "b"]),
+        ("<div data-x='display:none'>a</div><div title='x' hidden>b</div><div HIDDEN=''>c</div><div style='color:red;display : none'>d</div>", ["a"]),
+        ("<title>t</title><script>var a = '<p>b';</script ><textarea><p>c</textarea><noscript><img src=x>d</noscript><template><p>e</p></template>f", ["f"]),
+        ("<ul><li><svg><li>a</li><li>b</li></ul><p>c</p></svg>", ["a", "b", "c"]),
+        ("<p><button></p><p>a</p></button>b", ["a", "b"]),
+        ("<button><div>a</div></button><p>b</p><button>c", ["b"]),
+    ],
+)
+def test_text_beside_what_is_no_text(page, texts):
+    assert [b.text for b in dom.blocks(page)] == texts
+
+
+def test_many_unclosed_elements_take_linear_time():
+    for tag in ("button", "object", "svg", "select", "template"):
+        assert [b.text for b in dom.blocks(f"<{tag}>" * 20_000 + "<p>a")] == ["a"]
+
+
 def test_extraction_of_odd_layouts(field):
     page = (
         '<html><body><header><a href=x>Site</a></header><div class="menu"><ul><li><a>Home</a></li></ul></div><div class="cookie-notice">We use cookies.</div>'
