@@ -27,7 +27,7 @@ from millrace.llm.common import ready
 WINDOW = 1024
 END = 0  # the id after each document
 SHARD_TOKENS = 4_000_000  # tokens after which a shard is packed and its memory given back
-QUERY_TERMS = 24  # the seed's weightiest terms that are asked for
+QUERY_TERMS = 24  # the seed's weightiest terms that are asked for first
 K1, B = 1.2, 0.75
 CACHE = 300_000  # pieces of text whose ids a worker remembers
 LOOSE = re.compile(r" (?=\s)| $")  # a space that does not lead a word
@@ -124,13 +124,21 @@ class Index:
         ranked = ranked[shared[ranked]]
         of = self.owner[ranked]
         first = np.searchsorted(of, np.arange(n))
-        self.query = [own[ranked[a : min(a + QUERY_TERMS, z)]] for a, z in zip(first, np.append(first[1:], len(of)), strict=True)]
+        self.query = np.split(own[ranked], first[1:])
         self.weight, self.owner = weight[order], self.owner[order]
         self.n = n
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, best first; ties by position."""
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.query[seed]]
+    def related(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a term with the seed: those that share one of its weightiest, then of the next, twice as many each time."""
+        a, z = 0, QUERY_TERMS
+        while a < len(self.query[seed]):
+            for k in self.neighbours(seed, unused, a, z):
+                yield int(k)
+            a, z = z, z + 2 * (z - a)
+
+    def neighbours(self, seed: int, unused: np.ndarray, a: int = 0, z: int = QUERY_TERMS) -> np.ndarray:
+        """Unused documents that share one of the seed's terms from ``a`` up to ``z`` in order of weight, best first; ties by position."""
+        spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.query[seed][a:z]]
         if not spans:
             return np.empty(0, np.int64)
         owner = np.concatenate([self.owner[s] for s in spans])
@@ -162,7 +170,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[i
     room, at, seed, follow = window, 0, None, iter(())
     scan = 0
     while True:
-        k = next((int(x) for x in follow if unused[x]), None)
+        k = next((x for x in follow if unused[x]), None)
         if k is None:  # no neighbour is left: the next unused document in order of reading
             while scan < len(docs) and not unused[scan]:
                 scan += 1
@@ -171,7 +179,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[i
             k = scan
         if seed is None:
             seed, unused[k] = k, False
-            follow = iter(index.neighbours(k, unused)) if rest[k] < room else iter(())
+            follow = index.related(k, unused) if rest[k] < room else iter(())
         unused[k] = False
         n = int(min(room, rest[k]))
         yield k, int(done[k]), n, sequence, at
@@ -187,7 +195,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[i
                 yield k, int(done[k]), at, sequence, 0
                 done[k] += at
                 rest[k] = 0
-                follow = iter(index.neighbours(k, unused))
+                follow = index.related(k, unused)
 
 
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, shard long"

@@ -216,6 +216,16 @@ def test_bm25_neighbours_by_brute_force():
     assert np.allclose(scores[got], np.sort(scores[got])[::-1])
 
 
+def test_windows_are_filled_by_all_shared_terms():
+    """The first two share the 24 weightiest terms of the seed, the last two one lighter term with it."""
+    lists = [[*range(1, 25), 100], [*range(1, 25)], [*range(200, 224)], [100, *range(300, 323)], [100, *range(400, 423)]]
+    docs = [np.array([*x, packing.END], "<u4") for x in lists]
+    windows = defaultdict(list)
+    for k, _, _, sequence, _ in packing.pack_shard(docs, window=26 + 25 + 25):
+        windows[sequence].append(k)
+    assert windows[0] == [0, 1, 3]
+
+
 def test_shards_are_exact(docs, no_docs):
     rows = collected(sharding.shuffle_into_shards(docs.repartition(3)))
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == sorted((r.doc_id is None, r.doc_id or 0) for r in docs.collect())
