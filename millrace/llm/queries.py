@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, brown, crf, hnsw, langid, licences, packing, quality, sharding, simhash
+from millrace.llm import bpe, brown, checks, crf, divergence, hnsw, langid, licences, packing, quality, sharding, simhash, trees, trie
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {"op12_source_divergence": checks.SOURCE_DIVERGENCE, "op13_prefix_trie": checks.PREFIX_TRIE}
 
 
 def query(fn: Query) -> Query:
@@ -78,3 +78,18 @@ def op4_licence_inheritance(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op5_crf_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return crf.main_text(table(spark, sf, "pages"))
+
+
+@query
+def op11_boosted_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.nodes(table(spark, sf, "conversations"))
