@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import and_
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from millrace.functions import coerce
 from millrace.operators.order import input_order
+from millrace.session import scratch_path
 
 Transform = Callable[[DataFrame], DataFrame]
 
 ALIASES = {"average": "avg", "mean": "avg"}
 ORDERED = ("first", "last")
-# Bins of the first narrowing per doubling of the value, and of the second within a bin of the first.
-OCTAVE = 256
+# Ranks that a median's summary tells apart, and bins between its bounds.
+ACCURACY = 10_000
 PARTS = 65_536
 
 
@@ -81,48 +82,64 @@ KNOWN = {
 }
 
 
-def _narrowed(values: DataFrame, wanted: DataFrame, by: list[str], name: str, bins: Column) -> tuple[DataFrame, DataFrame]:
-    """The values in the bins that hold the wanted ranks, and the ranks counted from the beginning of their bin."""
-    binned = values.withColumn(name, bins)
-    counts = binned.groupBy(*by, name).agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    upto = Window.partitionBy(*by).orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumn("__to", F.sum("__c").over(upto))
-    held = wanted.select(*by, "__r").join(placed, by).where("__to - __c < __r AND __r <= __to")
-    held = held.select(*by, name, (F.col("__r") - F.col("__to") + F.col("__c")).alias("__r"), "__lo", "__hi")
-    cells = held.select(*by, name, "__lo", "__hi").distinct()
-    return binned.select(*by, name, "__v").join(cells, [*by, name]), held
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """The rows by way of the scratch folder, whatever their columns are called."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    kinds = [f.dataType for f in df.schema.fields]
+    voids = {i for i, k in enumerate(kinds) if isinstance(k, T.NullType)}
+    plain = df.toDF(*(f"c{i}" for i in range(len(kinds))))
+    plain = plain.select(*(F.col(f"c{i}").cast("string").alias(f"c{i}") if i in voids else f"c{i}" for i in range(len(kinds))))
+    plain.write.parquet(path)
+    back = spark.read.schema(plain.schema).parquet(path)
+    return back.select(*(F.lit(None).alias(n) if i in voids else F.col(f"c{i}").alias(n) for i, n in enumerate(df.columns)))
 
 
-def _medians(values: DataFrame, groups: list[str]) -> DataFrame:
-    """Exact medians by selection: count by bins, keep the bins of the middle ranks, and count finer ones inside.
+def _bounds(value: Column) -> Column:
+    """Two values that the middle ranks lie between, by a summary of bounded size that tasks merge.
 
-    Counts are combined before the shuffle, and the values of a group are never
-    together in one task: what is sorted are its bins, and in the end the
-    different values of a bin of 1 / ``PARTS`` of 1 / ``OCTAVE`` of a doubling.
+    The summary is off by at most 1 / ``ACCURACY`` of the rows, a quarter of what the bounds leave.
     """
-    size = F.floor(F.log2(F.least(F.abs("__v"), F.lit(1e308))) * OCTAVE) + 2000 * OCTAVE
-    first = F.when(F.col("__v") == 0, F.lit(0).cast("long")).otherwise((F.signum("__v") * size).cast("long"))
-    share = (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * PARTS
-    second = F.when(F.col("__hi") > F.col("__lo"), F.nanvl(share, F.lit(float(PARTS)))).otherwise(0.0).cast("long")
-    totals = values.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
-    ranks = F.array_distinct(F.array(F.expr("(__n + 1) div 2"), F.expr("__n div 2 + 1")))
-    wanted = totals.select(*groups, F.explode(ranks).alias("__r"))
-    values, wanted = _narrowed(values, wanted, groups, "__b1", first)
-    values, wanted = _narrowed(values, wanted, [*groups, "__b1"], "__b2", second)
-    _, found = _narrowed(values.drop("__lo", "__hi"), wanted, [*groups, "__b1", "__b2"], "__x", F.col("__v"))
-    return found.groupBy(*groups).agg(F.avg("__x").alias("__median"))
-
-
-def _with_medians(out: DataFrame, rows: DataFrame, keys: list[str], medians: dict[str, Column]) -> DataFrame:
-    """Add exact medians to an aggregate; all of it stays one lazy plan."""
-    groups = [f"__g{i}" for i in range(len(keys))]
-    named = [F.col(f"`{k}`").alias(g) for k, g in zip(keys, groups)]
-    for alias, value in medians.items():
-        found = _medians(rows.select(*named, value.alias("__v")).where("__v is not null"), groups)
-        match = reduce(and_, [F.col(f"`{k}`") == F.col(g) for k, g in zip(keys, groups)])
-        kept = [f"`{c}`" for c in out.columns if c != f"__n_{alias}"]
-        out = out.join(found, match, "left").select(*kept, F.col("__median").alias(alias))
-    return out
+    return F.percentile_approx(value, [0.5 - 4 / ACCURACY, 0.5 + 4 / ACCURACY], ACCURACY)
+
+
+def _large(count: Column) -> Column:
+    """Whether a group has more values than its summary holds one by one; else its bounds are its middle values."""
+    return count > ACCURACY // 8
+
+
+def _medians(out: DataFrame, rows: DataFrame, groups: dict[str, Column], values: list[Column]) -> DataFrame:
+    """Exact medians of several columns in large groups by one more pass: only what lies between the bounds is told apart.
+
+    ``out`` has per large group the columns ``__n0``, ``__b0`` and so on: count
+    and bounds of each value. What is below its lower bound counts as one value,
+    what is above the upper one not at all. Counts are combined before the
+    shuffle, and no group is ever together in one task: what is sorted are
+    ``PARTS`` bins between the bounds, and then the values of the middle ones.
+    """
+    by = [*groups, "__i"]
+    named = [c.alias(g) for g, c in groups.items()]
+    limits = out.select(*groups, *(f"__b{i}" for i in range(len(values))))
+    each = rows.select(*named, *(v.alias(f"__v{i}") for i, v in enumerate(values))).join(limits, list(groups))
+    cells = F.array(*(F.struct(F.lit(i).alias("__i"), F.col(f"__v{i}").alias("v"), F.get(f"__b{i}", F.lit(0)).alias("lo"), F.get(f"__b{i}", F.lit(1)).alias("hi")) for i in range(len(values))))
+    inside = each.select(*groups, F.inline(cells)).where("v <= hi")
+    share = F.nanvl((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * PARTS, F.lit(float(PARTS)))
+    bins = F.when(F.col("v") < F.col("lo"), -1).when(F.col("hi") > F.col("lo"), share).otherwise(0).cast("long")
+    counts = inside.select(*by, bins.alias("__bin"), F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("__x"))
+    counts = counts.groupBy(*by, "__bin", "__x").agg(F.count(F.lit(1)).alias("__c"))
+
+    ranks = lambda i: F.array_distinct(F.array(F.expr(f"(__n{i} + 1) div 2"), F.expr(f"__n{i} div 2 + 1")))
+    wanted = F.array(*(F.struct(F.lit(i).alias("__i"), F.when(F.col(f"__n{i}") > 0, ranks(i)).alias("r")) for i in range(len(values))))
+    wanted = out.select(*groups, F.inline(wanted)).select(*by, F.explode("r").alias("__r"))
+
+    def placed(cells: DataFrame, keys: list[str], order: str) -> DataFrame:
+        upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return cells.withColumn("__to", F.sum("__c").over(upto))
+
+    totals = placed(counts.groupBy(*by, "__bin").agg(F.sum("__c").alias("__c")), by, "__bin")
+    held = totals.join(wanted, by).where("__to - __c < __r AND __r <= __to")
+    held = held.select(*by, "__bin", (F.col("__r") - F.col("__to") + F.col("__c")).alias("__r"))
+    exact = placed(counts.join(held, [*by, "__bin"]), [*by, "__bin", "__r"], "__x").where("__to - __c < __r AND __r <= __to")
+    return exact.groupBy(*groups).agg(*(F.avg(F.when(F.col("__i") == i, F.col("__x"))).alias(f"__m{i}") for i in range(len(values))))
 
 
 def aggregate(
@@ -135,7 +152,10 @@ def aggregate(
 
     Columns the table lacks are skipped; rows with a null group key are dropped; an
     empty table gives an empty result, also without groups. ``first`` and ``last``
-    follow the ascending ``order_by`` columns (default: reading order).
+    follow the ascending ``order_by`` columns (default: reading order). With a
+    ``median`` the aggregate is written to the scratch folder first: small
+    groups have theirs in it, for large ones its bounds say which values the
+    second pass over the table has to tell apart.
     """
     wanted, specs = group_by or [], aggregations or []
 
@@ -160,8 +180,9 @@ def aggregate(
             order.append(alias)
             col, dtype = F.col(f"`{column}`"), df.schema[column].dataType
             if fn == "median":
-                value = medians[alias] = _value(coerce.number(col, dtype), T.DoubleType())
-                measures[f"__n_{alias}"] = F.count(value)
+                value = _value(coerce.number(col, dtype), T.DoubleType())
+                measures[f"__n{len(medians)}"], measures[f"__b{len(medians)}"] = F.count(value), _bounds(value)
+                medians[alias] = value
             else:
                 measures[alias] = _measure(fn, col, dtype, bool(keys))
 
@@ -174,16 +195,23 @@ def aggregate(
                 rows = rows.where(~F.isnan(f"`{k}`"))
 
         named = [m.alias(a) for a, m in measures.items()]
-        groups = keys
         if keys:
             out = rows.groupBy(*[f"`{k}`" for k in keys]).agg(*named)
         else:
             out = rows.agg(*named, F.count(F.lit(1)).alias("__rows")).where("__rows > 0")
-            if medians:
-                groups = ["__one"]
-                rows, out = rows.withColumn("__one", F.lit(1)), out.withColumn("__one", F.lit(1))
         if medians:
-            out = _with_medians(out, rows, groups, medians)
+            groups = {f"__g{i}": F.col(f"`{k}`") for i, k in enumerate(keys)} or {"__g0": F.lit(0)}
+            out = _written(out.withColumns(groups), "aggregate")
+            middle = {a: (F.get(f"__b{i}", F.lit(0)) + F.get(f"__b{i}", F.lit(1))) / 2 for i, a in enumerate(medians)}
+            large = [_large(F.col(f"__n{i}")) for i in range(len(medians))]
+            limits = out.where(reduce(or_, large)).select(*groups, *(f"__{x}{i}" for i in range(len(medians)) for x in "nb"))
+            limits = _written(limits, "bounds")  # a table of its own, so that its size is known
+            if limits.isEmpty():
+                out = out.withColumns(middle)
+            else:
+                found = _medians(limits, rows, groups, list(medians.values()))
+                out = out.join(found, list(groups), "left")
+                out = out.withColumns({a: F.when(large[i], F.col(f"__m{i}")).otherwise(m) for i, (a, m) in enumerate(middle.items())})
         out = out.select(*[f"`{c}`" for c in [*keys, *order]])
         return out.orderBy(*[f"`{k}`" for k in keys]) if sort_output and keys else out
 

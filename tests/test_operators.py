@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from millrace.operators import columns, dictionary, grid, join, order, paging
+from millrace.operators import aggregate as aggregates
 from millrace.operators.aggregate import aggregate
 from millrace.operators.combine import union_by_name
 from millrace.operators.dedup import dedup
@@ -170,6 +171,51 @@ def test_median_of_a_hot_group(spark):
     assert df.transform(aggregate([], median)).first()["m"] == pdf["v"].median()
 
 
+def test_medians_need_three_scans_at_most(spark, tmp_path, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"k": rng.integers(0, 5, 3000), "v": rng.normal(size=3000).round(2), "w": rng.integers(0, 3, 3000)})
+    spark.createDataFrame(pdf).write.parquet(f"{tmp_path}/t")
+    written = []
+    monkeypatch.setattr(aggregates, "scratch_path", lambda *a: written.append(1) or f"{tmp_path}/scratch{len(written)}")
+    specs = [{"column": c, "function": f, "alias": f"{f}_{c}"} for c, f in (("v", "median"), ("w", "median"), ("v", "max"))]
+    got = spark.read.parquet(f"{tmp_path}/t").transform(aggregate(["k"], specs))
+
+    def scanned(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return sum("Relation [k#" in line for line in plan.split("\n"))
+
+    scans = scanned(got)
+    assert scans == 0  # groups of this size need one pass
+    monkeypatch.setattr(aggregates, "ACCURACY", 1000)
+    got = spark.read.parquet(f"{tmp_path}/t").transform(aggregate(["k"], specs))
+    assert len(written) == 4 and 1 <= scanned(got) <= 2  # one more built what was written
+    expected = pdf.groupby("k").agg({"v": "median", "w": "median"})
+    assert {r["k"]: (r["median_v"], r["median_w"]) for r in got.collect()} == {k: (r.v, r.w) for k, r in expected.iterrows()}
+
+
+def test_medians_between_rough_bounds(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(aggregates, "ACCURACY", 20)
+    monkeypatch.setattr(aggregates, "PARTS", 3)
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"k": rng.integers(0, 40, 6000) ** 2 // 100, "v": np.round(rng.lognormal(0, 3, 6000), 1) - 1})
+    pdf.loc[::50, "v"] = np.inf
+    pdf.loc[::70, "v"] = -np.inf
+    median = [{"column": "v", "function": "median", "alias": "m"}]
+    got = dict(values(spark.createDataFrame(pdf).repartition(7).transform(aggregate(["k"], median))))
+    assert got == {k: sorted(g)[(len(g) - 1) // 2] / 2 + sorted(g)[len(g) // 2] / 2 for k, g in ((k, list(g)) for k, g in pdf.groupby("k")["v"])}
+    empty = spark.createDataFrame(pdf).where("false").transform(aggregate([], median))
+    assert empty.count() == 0
+    odd = spark.createDataFrame([(1, None), (1, None)], "`a b` int, v double").selectExpr("`a b`", "`a b` as `A,B`", "v", "null as nothing")
+    first = odd.transform(aggregate(["a b"], [*median, {"column": "nothing", "function": "first", "alias": "V"}]))
+    assert values(first) == [(1, None, None)]
+
+
 def test_nan_text_and_truth_in_aggregates(spark):
     nan = float("nan")
     df = spark.createDataFrame([("a", 1.0, "x", True), ("a", nan, "b", False), ("a", None, None, True), ("b", nan, "10", None)], "k string, v double, t string, f boolean")
