@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from millrace.functions import coerce
 from millrace.operators.order import input_order
-from millrace.session import scratch_path
+from millrace.sinks.files import written
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -82,18 +82,6 @@ KNOWN = {
 }
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    """The rows by way of the scratch folder, whatever their columns are called."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    kinds = [f.dataType for f in df.schema.fields]
-    voids = {i for i, k in enumerate(kinds) if isinstance(k, T.NullType)}
-    plain = df.toDF(*(f"c{i}" for i in range(len(kinds))))
-    plain = plain.select(*(F.col(f"c{i}").cast("string").alias(f"c{i}") if i in voids else f"c{i}" for i in range(len(kinds))))
-    plain.write.parquet(path)
-    back = spark.read.schema(plain.schema).parquet(path)
-    return back.select(*(F.lit(None).alias(n) if i in voids else F.col(f"c{i}").alias(n) for i, n in enumerate(df.columns)))
-
-
 def _bounds(value: Column) -> Column:
     """Two values that the middle ranks lie between, by a summary of bounded size that tasks merge.
 
@@ -201,11 +189,11 @@ def aggregate(
             out = rows.agg(*named, F.count(F.lit(1)).alias("__rows")).where("__rows > 0")
         if medians:
             groups = {f"__g{i}": F.col(f"`{k}`") for i, k in enumerate(keys)} or {"__g0": F.lit(0)}
-            out = _written(out.withColumns(groups), "aggregate")
+            out = written(out.withColumns(groups), "aggregate")
             middle = {a: (F.get(f"__b{i}", F.lit(0)) + F.get(f"__b{i}", F.lit(1))) / 2 for i, a in enumerate(medians)}
             large = [_large(F.col(f"__n{i}")) for i in range(len(medians))]
             limits = out.where(reduce(or_, large)).select(*groups, *(f"__{x}{i}" for i in range(len(medians)) for x in "nb"))
-            limits = _written(limits, "bounds")  # a table of its own, so that its size is known
+            limits = written(limits, "bounds")  # a table of its own, so that its size is known
             if limits.isEmpty():
                 out = out.withColumns(middle)
             else:

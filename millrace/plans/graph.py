@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from millrace.functions.templating import resolve_dates
 from millrace.functions.tokens import compact_date, path_token
 from millrace.operators.aggregate import aggregate
-from millrace.operators.columns import basic_chain
+from millrace.operators.columns import basic_chain, schema_from_descriptor, split_valid
 from millrace.operators.combine import union_by_name
 from millrace.operators.dictionary import iterator_entries
 from millrace.operators.join import join_tables, lookup
@@ -21,8 +23,9 @@ from millrace.plans.context import RunContext
 from millrace.plans.fanout import foreach_app, multi_date
 from millrace.plans.transforms import apply_callable, query, read_table, sql_over
 from millrace.session import scratch_path
-from millrace.sinks.files import write_csv, write_parquet
-from millrace.sinks.tables import write_table
+from millrace.sinks.files import write_csv, write_mode, write_parquet, written
+from millrace.sinks.tables import ensure_namespace, quoted, write_table
+from millrace.sinks.units import Journal, append_unit, append_unit_table, unit_name
 from millrace.sources.layout import Layout
 
 # Node types of a pipeline spec.
@@ -263,21 +266,28 @@ def _is_csv(config: dict) -> bool:
     return (config.get("output_format") or config.get("target")) == "csv"
 
 
-def _save(node: Node, df: DataFrame, graph: Graph, env: Environment, ctx: RunContext) -> dict:
+def _save(node: Node, df: DataFrame, graph: Graph, env: Environment, ctx: RunContext, unit: str | None = None) -> dict:
+    """Write a load's rows. A ``unit`` that appends replaces the rows of its own earlier tries."""
     cfg = node.config
     mode = cfg.get("mode") or "overwrite"
-    if _loads_itself(node):
-        mode, namespace = cfg.get("write_mode") or "overwrite", cfg.get("target_db") or ctx.namespace or ""
-        return write_table(df, namespace.strip(), cfg["target_table"].strip(), mode, cfg.get("partition_by"))
-    if node.type == "load_sql":
-        namespace = (cfg.get("namespace_db") or cfg.get("database") or ctx.namespace or "").strip()
-        return write_table(df, namespace, (cfg.get("table_name") or "").strip(), mode, cfg.get("partition_by"))
+    if _loads_itself(node) or node.type == "load_sql":
+        if _loads_itself(node):
+            mode, namespace, name = cfg.get("write_mode") or "overwrite", cfg.get("target_db") or ctx.namespace, cfg["target_table"]
+        else:
+            namespace, name = cfg.get("namespace_db") or cfg.get("database") or ctx.namespace, cfg.get("table_name")
+        namespace, name = (namespace or "").strip(), (name or "").strip()
+        if unit and write_mode(mode) == "append" and namespace and name:
+            ensure_namespace(df.sparkSession, namespace)
+            return {"table": quoted(namespace, name), "rows_loaded": append_unit_table(df, quoted(namespace, name), unit, cfg.get("partition_by"))}
+        return write_table(df, namespace, name, mode, cfg.get("partition_by"))
     if env.output is None:
         raise ValueError(f"{node.id} writes files, but the environment has no output root")
     layout = Layout(env.output.root, cfg.get("output_dir"), cfg.get("path_template"))
     path = layout.dataset(compact_date(ctx.business_date or "undated"), graph.name, node.label, ctx.app_id)
     if _is_csv(cfg):
         return {"path": path, "rows_loaded": write_csv(df, path, mode, _rows_per_file(node, graph))}
+    if unit and write_mode(mode) == "append":
+        return {"path": path, "rows_loaded": append_unit(df, path, unit, cfg.get("partition_by"))}
     rows = write_parquet(df, path, mode, cfg.get("partition_by"), _rows_per_file(node, graph))
     return {"path": path, "rows_loaded": rows}
 
@@ -286,26 +296,69 @@ def _together(inputs: list[DataFrame]) -> DataFrame:
     return inputs[0] if len(inputs) == 1 else union_by_name(*inputs)
 
 
-def _write_node(spark: SparkSession, node: Node, df: DataFrame, graph: Graph, env: Environment, ctx: RunContext):
+def _write_node(
+    spark: SparkSession, node: Node, df: DataFrame, graph: Graph, env: Environment, ctx: RunContext, unit: str | None = None
+) -> tuple[DataFrame, dict]:
     """Write a load's rows; returns what the nodes below read, and the outcome.
 
     They read a target that holds exactly these rows, with the types they had.
     Partitioned targets keep other partitions, appended ones older rows, and CSV
-    no empty text: there the rows go through the run's own folder first.
+    no empty text: there the rows go through the run's own folder first, whose
+    path the outcome names as ``passed``.
     """
-    cfg = node.config
+    cfg, passed = node.config, None
     mode = cfg.get("write_mode" if _loads_itself(node) else "mode") or "overwrite"
     fresh = mode == "overwrite" and not cfg.get("partition_by") and not _is_csv(cfg)
     if node.outputs and not fresh:
-        path = scratch_path(spark, "staging")
-        df.write.parquet(path)
-        df = spark.read.schema(df.schema).parquet(path)
-    done = _save(node, df, graph, env, ctx)
-    if node.outputs and fresh:
-        df = spark.table(done["table"]) if "table" in done else spark.read.schema(df.schema).parquet(done["path"])
+        passed = scratch_path(spark, "staging")
+        df.write.parquet(passed)
+        df = spark.read.schema(df.schema).parquet(passed)
+    done = _save(node, df, graph, env, ctx, unit)
+    if passed or node.outputs:
+        done["passed"] = {"path": passed or done.get("path"), "schema": df.schema.json()}
+        df = _passed_on(spark, done)
     return df, done
 
 
+def _passed_on(spark: SparkSession, done: dict) -> DataFrame:
+    """What the nodes below a finished load read."""
+    rows = done["passed"]
+    if not rows["path"]:
+        return spark.table(done["table"])
+    return spark.read.schema(StructType.fromJson(json.loads(rows["schema"]))).parquet(rows["path"])
+
+
+def _reject(node: Node, df: DataFrame, ctx: RunContext) -> DataFrame:
+    """The rows that fit the node's ``expect`` schema; the others are appended to its ``reject_table``.
+
+    Rejected rows of any node have one shape: node_id, bad_columns, and the row
+    as JSON. The rows are computed once for both.
+    """
+    cfg = node.config
+    good, bad = split_valid(written(df, "checked"), schema_from_descriptor(cfg["expect"]))
+    if cfg.get("reject_table"):
+        names = [c for c in bad.columns if c != "bad_columns"]
+        row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"})
+        bad = bad.select(F.lit(node.id).alias("node_id"), "bad_columns", row.alias("row"))
+        namespace = (cfg.get("reject_db") or ctx.namespace or "").strip()
+        ensure_namespace(bad.sparkSession, namespace)
+        unit = unit_name("reject", node.id, ctx.business_date, ctx.app_id)
+        append_unit_table(bad, quoted(namespace, cfg["reject_table"].strip()), unit)
+    return good
+
+
+def _shared(graph: Graph, nid: str, needed: set[str]) -> bool:
+    """Whether several nodes below would each compute this one anew.
+
+    Loads pass on what they wrote. Plain scans of files and tables are read by
+    each with its own filters and columns; their ``share`` asks for a copy.
+    """
+    node = graph.nodes[nid]
+    if len([o for o in node.outputs if o in needed]) < 2 or node.type in LOADS or _loads_itself(node):
+        return False
+    return bool(node.config.get("share", node.type not in {"s3_extract", "csv_extract", "json_extract", "table_extract"}))
+
+
 def build(
     spark: SparkSession,
     graph: Graph,
@@ -314,35 +367,83 @@ def build(
     legacy: dict | None = None,
     write: bool = False,
     frames: dict[str, DataFrame] | None = None,
+    keep_going: bool = False,
+    journal: Journal | None = None,
 ) -> tuple[dict[str, DataFrame], list[dict]]:
     """Walk the graph once; every node becomes one DataFrame, shared by all nodes below it.
 
     With ``write`` each load node is written as it is reached. Nodes below a staging
-    load then read what it wrote, so the work above it is not done again.
+    load then read what it wrote, and a node that feeds several others is written
+    once to the scratch folder, so the work above is not done again.
     """
     ctx = ctx or RunContext()
-    frames = dict(frames or {})
-    results: list[dict] = []
+    frames, results, lost = dict(frames or {}), [], {}
+    writes = [n for n in graph.order if graph.nodes[n].type in LOADS or _loads_itself(graph.nodes[n])]
+    units = {n: unit_name(graph.name, n, ctx.business_date, ctx.app_id) for n in writes}
+    done = {n: journal.done(spark, units[n]) for n in writes} if write and journal else {}
+    todo = {n for n in writes if not done.get(n)}
+    # Without a load that is still to be written, a node has nothing to do.
+    needed = {n for n in graph.nodes if not write or n in todo or todo & graph.reachable(n)}
+
+    def make(node: Node, inputs: list[DataFrame]) -> DataFrame:
+        nid, source = node.id, graph.is_source(node.id)
+        if source or node.type in LOADS:
+            df = _source(spark, graph, nid, env, ctx, legacy) if source else _together(inputs)
+        else:
+            df = _transform(node.type, node.config, inputs, env, ctx)
+        if node.config.get("expect"):
+            df = _reject(node, df, ctx) if write else split_valid(df, schema_from_descriptor(node.config["expect"]))[0]
+        if write and nid in units:
+            df, outcome = _write_node(spark, node, df, graph, env, ctx, units[nid] if journal else None)
+            if journal:
+                journal.finish(spark, units[nid], outcome)
+            results.append({"node_id": nid, "type": node.type, "label": node.label, **outcome})
+        elif write and _shared(graph, nid, needed):
+            df = written(df, "shared")
+        return df
+
     for nid in graph.order:
         node = graph.nodes[nid]
         if node.type == "iterator" or nid in frames:
             continue
-        inputs = [frames[i] for i in node.inputs if i in frames]
-        source = graph.is_source(nid)
-        if source or node.type in LOADS:
-            df = _source(spark, graph, nid, env, ctx, legacy) if source else _together(inputs)
-            if write and (not source or _loads_itself(node)):
-                df, done = _write_node(spark, node, df, graph, env, ctx)
-                results.append({"node_id": nid, "type": node.type, "label": node.label, **done})
-            frames[nid] = df
-        else:
-            frames[nid] = _transform(node.type, node.config, inputs, env, ctx)
+        if done.get(nid):
+            results.append({"node_id": nid, "type": node.type, "label": node.label, **done[nid], "resumed": True})
+            if done[nid].get("passed") and nid in needed:
+                frames[nid] = _passed_on(spark, done[nid])
+            continue
+        if nid not in needed:
+            continue
+        broken = [i for i in node.inputs if i in lost]
+        try:
+            if broken:
+                raise RuntimeError(f"no rows from {', '.join(broken)}")
+            frames[nid] = make(node, [frames[i] for i in node.inputs if i in frames])
+        except Exception as err:
+            if not keep_going:
+                raise
+            lost[nid] = (str(err).strip().splitlines() or [type(err).__name__])[0]
+            results.append({"node_id": nid, "type": node.type, "label": node.label, "rows_loaded": 0, "error": lost[nid], "skipped": bool(broken)})
     return frames, results
 
 
-def run(spark: SparkSession, graph: Graph, env: Environment, ctx: RunContext | None = None, legacy=None) -> list[dict]:
-    """Run every load of the graph; an error stops the run."""
-    return build(spark, graph, env, ctx, legacy, write=True)[1]
+def run(
+    spark: SparkSession,
+    graph: Graph,
+    env: Environment,
+    ctx: RunContext | None = None,
+    legacy: dict | None = None,
+    keep_going: bool = False,
+    journal: str | None = None,
+) -> list[dict]:
+    """Run every load of the graph.
+
+    An error stops the run, or, with ``keep_going``, what lies below the node:
+    its result names the ``error``, those below are ``skipped``, other branches go
+    on. With ``journal``, a shared folder, every load leaves a record when its
+    rows are in place; another run with the same graph name, date and
+    application goes on after the loads that have one (``resumed``).
+    """
+    return build(spark, graph, env, ctx, legacy, True, None, keep_going, Journal(journal) if journal else None)[1]
 
 
 def observe_steps(df: DataFrame, steps: list[dict], env: Environment | None = None) -> tuple[DataFrame, dict]:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import NullType, StructType
 
 from millrace.operators.columns import schema_descriptor, schema_from_descriptor
+from millrace.session import scratch_path
 
 # Mode names by config value.
 MODES = {"overwrite": "overwrite", "append": "append", "ignore": "ignore", "error": "errorifexists"}
@@ -26,6 +27,18 @@ def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows by way of the scratch folder, whatever their columns are called."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    kinds = [f.dataType for f in df.schema.fields]
+    voids = {i for i, k in enumerate(kinds) if isinstance(k, NullType)}
+    plain = df.toDF(*(f"c{i}" for i in range(len(kinds))))
+    plain = plain.select(*(F.col(f"c{i}").cast("string").alias(f"c{i}") if i in voids else f"c{i}" for i in range(len(kinds))))
+    plain.write.parquet(path)
+    back = spark.read.schema(plain.schema).parquet(path)
+    return back.select(*(F.lit(None).alias(n) if i in voids else F.col(f"c{i}").alias(n) for i, n in enumerate(df.columns)))
+
+
 def by_partition(df: DataFrame, partition_by: list[str] | None, rebalance: bool = True) -> DataFrame:
     """Bring the rows of a partition together, so that it gets a few full files instead of one per task.
 

@@ -14,6 +14,7 @@ from millrace.operators import aggregate as aggregates
 from millrace.operators.aggregate import aggregate
 from millrace.operators.combine import union_by_name
 from millrace.operators.dedup import dedup
+from millrace.sinks import files
 
 SAMPLE = [(1, "Alice", "eng", 90), (2, "Bob", "eng", 85), (3, "Carol", "hr", 92), (2, "Bob", "eng", 85)]
 
@@ -179,7 +180,7 @@ def test_medians_need_three_scans_at_most(spark, tmp_path, monkeypatch):
     pdf = pd.DataFrame({"k": rng.integers(0, 5, 3000), "v": rng.normal(size=3000).round(2), "w": rng.integers(0, 3, 3000)})
     spark.createDataFrame(pdf).write.parquet(f"{tmp_path}/t")
     written = []
-    monkeypatch.setattr(aggregates, "scratch_path", lambda *a: written.append(1) or f"{tmp_path}/scratch{len(written)}")
+    monkeypatch.setattr(files, "scratch_path", lambda *a: written.append(1) or f"{tmp_path}/scratch{len(written)}")
     specs = [{"column": c, "function": f, "alias": f"{f}_{c}"} for c, f in (("v", "median"), ("w", "median"), ("v", "max"))]
     got = spark.read.parquet(f"{tmp_path}/t").transform(aggregate(["k"], specs))
 

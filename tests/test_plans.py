@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.plans import fanout, graph, ledger, transforms
 from millrace.plans.context import RunContext
 from millrace.plans.readers import standard_readers
-from millrace.sinks import tables
+from millrace.sinks import tables, units
 from millrace.sources.layout import Layout
 from millrace.sources.objectstore import ObjectStore
 
@@ -372,3 +372,108 @@ def test_run_is_recorded(spark, db, rows):
     edges = rows([("daily", "before")], "pipeline_id string, upstream_id string")
     shown = ledger.graph_status(pipes, edges, good, steps).first()
     assert (shown.last_run_status, shown.step_statuses, shown.upstream_id) == ("completed", "load=completed", "before")
+
+
+def branches(db, mode="append"):
+    """One source, two transforms with two loads each below it, and a branch of its own."""
+    count = [{"column": "x", "function": "count", "alias": "n"}]
+    nodes = [
+        node("src", "table_extract"),
+        node("sq", "sql_transform", sql="SELECT k, x * 2 AS x FROM source"),
+        node("a", "load_sql", namespace_db=db, table_name="a", mode=mode),
+        node("g", "aggregate", group_by=["k"], aggregations=count),
+        node("b", "load_sql", namespace_db=db, table_name="b", mode=mode),
+        node("other", "table_extract"),
+        node("c", "load_sql", namespace_db=db, table_name="c", mode=mode),
+    ]
+    return graph.Graph(spec(nodes, ("src", "sq"), ("sq", "a"), ("sq", "g"), ("g", "b"), ("other", "c")), "branches")
+
+
+def test_a_broken_branch_leaves_the_others(spark, rows, db):
+    def broken(*_):
+        raise ValueError("no such source\nmore")
+
+    good = rows([("p", 1), ("q", 2), ("p", 3)], "k string, x long")
+    env = graph.Environment(readers={"src": broken, "other": lambda *_: good})
+    out = {r["node_id"]: r for r in graph.run(spark, branches(db), env, keep_going=True)}
+    assert out["src"]["error"] == "no such source" and not out["src"]["skipped"]
+    assert all(out[n]["skipped"] for n in ("sq", "a", "g", "b")) and out["c"]["rows_loaded"] == 3
+    assert spark.table(f"{db}.c").count() == 3
+    with pytest.raises(ValueError, match="no such source"):
+        graph.run(spark, branches(db), env)
+
+
+def test_a_broken_run_goes_on_without_doubles(spark, rows, db, tmp_path):
+    frame, read = rows([("p", 1), ("q", 2), ("p", 3)], "k string, x long"), []
+    fail = {"other": True}
+
+    def reader(nid):
+        def get(*_):
+            read.append(nid)
+            if fail.get(nid):
+                raise ValueError("gone")
+            return frame
+
+        return get
+
+    env = graph.Environment(readers={n: reader(n) for n in ("src", "other")})
+    go = lambda date="2026-04-16": graph.run(spark, branches(db), env, RunContext(business_date=date), keep_going=True, journal=f"{tmp_path}/j")
+    first = {r["node_id"]: r for r in go()}
+    assert first["a"]["rows_loaded"] == 3 and first["c"]["skipped"]
+    fail.clear()
+    read.clear()
+    second = {r["node_id"]: r for r in go()}
+    assert read == ["other"] and second["a"]["resumed"] and second["b"]["resumed"] and second["c"]["rows_loaded"] == 3
+    third = go()
+    assert all(r["resumed"] for r in third) and read == ["other"]
+    assert {t: spark.table(f"{db}.{t}").count() for t in "abc"} == {"a": 3, "b": 2, "c": 3}
+    go("2026-04-17")  # another date is other units
+    assert {t: spark.table(f"{db}.{t}").count() for t in "abc"} == {"a": 6, "b": 4, "c": 6}
+
+
+@pytest.mark.parametrize("keys", [None, ["k"]])
+def test_a_unit_that_is_done_again_replaces_its_rows(spark, rows, db, tmp_path, monkeypatch, keys):
+    frame = rows([("p", 1), ("q", 2), ("p", 3)], "k string, x long").select("x", "k")
+    frame.limit(1).write.partitionBy(*keys or []).saveAsTable(f"{db}.t")
+    units.append_unit_table(frame, f"{db}.t", "u-1", keys)
+    assert units.append_unit_table(frame, f"{db}.t", "u-1", keys) == 3  # its record was lost
+    units.append_unit_table(frame, f"{db}.t", "u-2", keys)
+    assert spark.table(f"{db}.t").count() == 7
+    journal = units.Journal(f"{tmp_path}/j")
+    assert journal.done(spark, "u-1") is None
+    journal.finish(spark, "u-1", {"rows_loaded": 3})
+    assert journal.done(spark, "u-1") == {"rows_loaded": 3}
+    # files that a broken run had moved already are replaced
+    units.append_unit(frame, f"{tmp_path}/d", "u-1")
+    (tmp_path / "d" / "_staged-u-1").mkdir()
+    assert units.append_unit(frame.limit(2), f"{tmp_path}/d", "u-1") == 2 and spark.read.parquet(f"{tmp_path}/d").count() == 2
+
+
+def test_a_shared_node_is_computed_once(spark, db, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    spark.range(40).select(F.lit("p").alias("k"), F.col("id").alias("x")).write.parquet(f"{tmp_path}/s")
+    g = branches(db, "overwrite")
+    twice = lambda _, frame, *__: frame.withColumn("x", counted("x"))
+    g.nodes["sq"].type, g.nodes["sq"].config = "notebook_transform", {"callable": "twice"}
+    source = spark.read.parquet(f"{tmp_path}/s")
+    env = graph.Environment(readers={"src": lambda *_: source, "other": lambda *_: source}, callables={"twice": twice})
+    graph.run(spark, g, env)
+    assert seen.value == 40 and spark.table(f"{db}.b").first()["n"] == 40
+
+
+def test_rows_that_do_not_fit_go_to_the_reject_table(spark, rows, db):
+    frame = rows([("p", "1", None), ("q", "x", "2026-01-01"), ("r", "3", "never"), ("s", None, None)], "k string, x string, d string")
+    expect = [{"name": n, "type": t} for n, t in (("k", "string"), ("x", "bigint"), ("d", "date"))]
+    nodes = [node("src", "table_extract", expect=expect, reject_table="bad", reject_db=db), node("out", "load_sql", namespace_db=db, table_name="good")]
+    env = graph.Environment(readers={"src": lambda *_: frame})
+    for _ in range(2):  # a repeated run replaces its rejects
+        graph.run(spark, graph.Graph(spec(nodes, ("src", "out"))), env)
+    assert sorted((r.k, r.x) for r in spark.table(f"{db}.good").collect()) == [("p", 1), ("s", None)]
+    bad = sorted(tuple(r) for r in spark.table(f"{db}.bad").collect())
+    assert bad == [("src", ["d"], '{"k":"r","x":"3","d":"never"}'), ("src", ["x"], '{"k":"q","x":"x","d":"2026-01-01"}')]

@@ -350,3 +350,73 @@ def foreach_app_duplicates(spark, sf):
     entries = spark.createDataFrame(rows, "key string, value string, position long")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     return fanout.foreach_app(orders, "o_orderpriority", entries).drop("o_orderpriority")
+
+
+PRIORITIES = [{"column": "o_orderkey", "function": "count", "alias": "n"}]
+
+
+@query("""
+SELECT 'good' AS part, o_orderpriority AS name, COUNT(*) AS n FROM orders WHERE o_orderkey % 97 <> 0 GROUP BY ALL
+UNION ALL SELECT 'rejected', 'o_orderkey', COUNT(*) FROM orders WHERE o_orderkey % 97 = 0
+UNION ALL SELECT 'node', 'totals', 1 UNION ALL SELECT 'failed', 'gone', 1 UNION ALL SELECT 'skipped', 'gone_out', 1
+""")
+def reject_run(spark, sf):
+    """A run whose one branch lacks its table: the other goes on, and its rows that do not fit go to a reject table."""
+    db = scratch_db(spark, "rejects")
+    expect = [{"name": "o_orderkey", "type": "bigint"}, {"name": "o_orderpriority", "type": "string"}]
+    key = F.col("o_orderkey").cast("string")
+    spoilt = F.when(F.col("o_orderkey") % 97 == 0, F.concat(F.lit("x"), key)).otherwise(key)
+    drifted = table(spark, sf, "orders").select(spoilt.alias("o_orderkey"), "o_orderpriority")
+    spec = {
+        "nodes": [
+            _node("orders", "table_extract", expect=expect, reject_table="rejected", reject_db=db),
+            _node("by_priority", "aggregate", group_by=["o_orderpriority"], aggregations=PRIORITIES),
+            _node("totals", "load_sql", namespace_db=db, table_name="totals"),
+            _node("gone", "table_extract"),
+            _node("gone_out", "load_sql", namespace_db=db, table_name="gone"),
+        ],
+        "edges": _edges(("orders", "by_priority"), ("by_priority", "totals"), ("gone", "gone_out")),
+    }
+    env = graph.Environment(readers={"orders": lambda *_: drifted, "gone": lambda spark, *_: spark.table(f"{db}.not_there")})
+    results = graph.run(spark, graph.Graph(spec, "rejecting"), env, keep_going=True)
+    states = [("skipped" if r.get("skipped") else "failed" if r.get("error") else "node", r["node_id"], 1) for r in results]
+    good = spark.table(f"{db}.totals").select(F.lit("good").alias("part"), F.col("o_orderpriority").alias("name"), "n")
+    bad = spark.table(f"{db}.rejected").select(F.explode("bad_columns").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return good.union(bad.select(F.lit("rejected"), "name", "n")).union(spark.createDataFrame(states, "part string, name string, n bigint"))
+
+
+@query("""
+SELECT 'lines' AS branch, CAST(l_returnflag AS VARCHAR) AS name, COUNT(*) AS n FROM lineitem GROUP BY ALL
+UNION ALL SELECT 'orders', o_orderstatus, COUNT(*) FROM orders GROUP BY ALL
+UNION ALL SELECT 'resumed', 'orders_out', 1
+""")
+def resumed_run(spark, sf):
+    """Two appending branches, of which the second breaks; the run is started again and does only what was left."""
+    db, state = scratch_db(spark, "resumed"), {"broken": True}
+
+    def lines(spark, config, context):
+        if state["broken"]:
+            raise ConnectionError("the source is not there yet")
+        return table(spark, sf, "lineitem")
+
+    nodes, pairs = [], []
+    for source, column in (("orders", "o_orderstatus"), ("lines", "l_returnflag")):
+        count = [{"column": column, "function": "size", "alias": "n"}]
+        nodes += [
+            _node(source, "table_extract"),
+            _node(f"{source}_n", "aggregate", group_by=[column], aggregations=count),
+            _node(f"{source}_out", "load_sql", namespace_db=db, table_name=source, mode="append"),
+        ]
+        pairs += [(source, f"{source}_n"), (f"{source}_n", f"{source}_out")]
+    env = graph.Environment(readers={"orders": _reader(spark, sf, "orders"), "lines": lines})
+    pipeline, journal = graph.Graph({"nodes": nodes, "edges": _edges(*pairs)}, "resumable"), scratch(spark, "journal")
+    context = RunContext(business_date="2026-04-16")
+    graph.run(spark, pipeline, env, context, keep_going=True, journal=journal)
+    state["broken"] = False
+    again = graph.run(spark, pipeline, env, context, journal=journal)
+    parts = [
+        spark.table(f"{db}.{t}").select(F.lit(t).alias("branch"), F.col(c).alias("name"), "n")
+        for t, c in (("lines", "l_returnflag"), ("orders", "o_orderstatus"))
+    ]
+    resumed = [("resumed", r["node_id"], 1) for r in again if r.get("resumed")]
+    return parts[0].union(parts[1]).union(spark.createDataFrame(resumed, "branch string, name string, n bigint"))
