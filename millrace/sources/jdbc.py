@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions.templating import render_sql
-from millrace.sources.files import business_date_filter, row_limit
+from millrace.functions.tokens import iso_date
+from millrace.sources.files import business_date_filter
+from millrace.sources.splits import day_condition, derived, plan_splits
 
 # JDBC URL scheme by dialect name.
 SCHEMES = {"postgres": "postgresql", "postgresql": "postgresql", "mysql": "mysql", "impala": "impala"}
@@ -48,6 +51,15 @@ class Split:
     partitions: int
 
 
+@dataclass(frozen=True)
+class QuantileSplit:
+    """The same with borders that the source's data give; ``tie`` splits a value of very many rows further."""
+
+    column: str
+    partitions: int
+    tie: str | None = None
+
+
 def extract_sql(sql: str | None = None, stored_sql: str | None = None, table: str | None = None) -> str:
     """The query of an extract: its own SQL, else a stored one, else a whole table."""
     text = (sql or stored_sql or "").strip()
@@ -76,6 +88,19 @@ def scan_options(
     }
 
 
+Load = Callable[[str, "Split | list[str] | None"], DataFrame]
+
+
+def _reader(spark: SparkSession, connection: JdbcConnection, fetch_size: int) -> Load:
+    def load(query: str, split: Split | list[str] | None) -> DataFrame:
+        if isinstance(split, list):
+            found = {**connection.options(), "fetchsize": str(fetch_size)}
+            return spark.read.jdbc(found.pop("url"), f"({query}) src", predicates=split, properties=found)
+        return spark.read.format("jdbc").options(**scan_options(connection, query, split, fetch_size)).load()
+
+    return load
+
+
 def has_limit(sql: str) -> bool:
     return re.search(r"\blimit\s+\d+", sql, re.IGNORECASE) is not None
 
@@ -95,22 +120,35 @@ def scan_jdbc(
     date_to: str | None = None,
     date_column: str | None = None,
     limit: int | None = None,
-    split: Split | None = None,
+    split: Split | QuantileSplit | None = None,
     fetch_size: int = 10_000,
+    load: Load | None = None,
 ) -> DataFrame:
     """A query or table of a database.
 
-    The date filter is a typed predicate and the limit a plain ``limit``: Spark
-    pushes both into the query it sends.
+    The date filter and the limit are written into the query that the database
+    gets. Only a date filter on a column that is neither date nor time is left
+    to Spark, and then the limit too. ``load`` turns a query and its split into
+    rows; by default that is Spark's JDBC reader.
     """
     query = extract_sql(sql, stored_sql, table)
     if sql or stored_sql:
         options = {"date_format": date_format, "mode": date_mode, "range_from": date_from, "range_to": date_to}
         query, _ = render_sql(query, business_date, app_id=app_id, app_name=app_name, **options)
-    df = spark.read.format("jdbc").options(**scan_options(connection, query, split, fetch_size)).load()
+    load = load or _reader(spark, connection, fetch_size)
+    limit = None if has_limit(query) or not limit or limit <= 0 else limit
     if date_column and business_date:
-        df = business_date_filter(df, date_column, business_date)
-    return df if has_limit(query) else row_limit(df, limit)
+        kind = load(query, None).schema[date_column].dataType
+        condition = day_condition(date_column, kind, iso_date(business_date), connection.dialect)
+        if condition is None:
+            df = business_date_filter(load(query, split), date_column, business_date)
+            return df.limit(limit) if limit else df
+        query = derived(query, condition, dialect=connection.dialect)
+    query = derived(query, None, limit, connection.dialect)
+    if isinstance(split, QuantileSplit) and not limit:
+        ask = lambda text: load(text, None).collect()  # noqa: E731  a row per split
+        return load(query, plan_splits(ask, query, split.column, split.partitions, connection.dialect, split.tie))
+    return load(query, None if limit else split)
 
 
 def scan_impala(spark: SparkSession, connection: JdbcConnection, **options) -> DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import fnmatch
+import functools
 import re
 import uuid
 
 import pytest
 from pyspark.errors import AnalysisException
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from millrace.plans.ingest import ingest_files
 from millrace.sinks import files as sink, tables
-from millrace.sources import files, jdbc, layout
+from millrace.sources import files, jdbc, layout, splits
 from millrace.sources.objectstore import ObjectStore
 
 
@@ -99,6 +100,66 @@ def test_jdbc_options():
         jdbc.extract_sql()
 
 
+DIALECTS = ("postgresql", "mysql", "impala", "oracle", "sqlserver")
+
+
+@pytest.mark.parametrize("dialect", DIALECTS)
+def test_filter_and_limit_are_in_the_query(spark, dialect):
+    """What the database gets holds predicate and limit for every dialect, whatever Spark pushes by itself."""
+    frame = spark.sql("SELECT 1 AS id, DATE'2026-04-16' AS d, TIMESTAMP_NTZ'2026-04-16 10:00:00' AS t, '2026-04-16' AS s")
+    sent = []
+
+    def load(query, split):
+        sent.append((query, split))
+        return frame
+
+    scan = lambda **kw: jdbc.scan_jdbc(spark, jdbc.JdbcConnection(dialect, "h"), table="x", load=load, **kw)
+    scan(date_column="d", business_date="20260416", limit=7)
+    stop = {"oracle": "SELECT * FROM ({}) src FETCH FIRST 7 ROWS ONLY", "sqlserver": "SELECT TOP 7 * FROM ({}) src"}.get(dialect, "SELECT * FROM ({}) src LIMIT 7")
+    assert sent[-1] == (stop.format("SELECT * FROM (SELECT * FROM x) src WHERE d = DATE '2026-04-16'"), None)
+    scan(date_column="t", business_date="2026-04-16")
+    assert sent[-1][0].endswith("WHERE t >= TIMESTAMP '2026-04-16 00:00:00.000000' AND t < TIMESTAMP '2026-04-17 00:00:00.000000'")
+    assert scan(date_column="s", business_date="20260416", limit=1).count() == 1 and sent[-1] == ("SELECT * FROM x", None)  # Spark reads the text
+    jdbc.scan_jdbc(spark, jdbc.JdbcConnection(dialect, "h"), sql="SELECT 1 LIMIT 3", limit=9, load=load)
+    assert sent[-1][0] == "SELECT 1 LIMIT 3"
+
+
+def test_names_and_values_in_sql():
+    assert [splits.name_sql("a b", d) for d in ("postgresql", "mysql")] == ['"a b"', "`a b`"] and splits.name_sql("ab", "mysql") == "ab"
+    assert splits.literal("O'Neil \\", "postgresql") == "'O''Neil \\'" and splits.literal("O'Neil \\", "mysql") == "'O\\'Neil \\\\'"
+    assert splits.literal(True, "x") == "TRUE" and splits.literal(1.5, "x") == "1.5"
+
+
+@pytest.mark.parametrize("kind", ["uneven", "hot", "text", "dates", "all null", "one value", "empty"])
+@pytest.mark.parametrize("tie", [None, "tie"])
+def test_each_row_is_in_one_split(spark, kind, tie):
+    value = {
+        "uneven": "cast(pow(id, 4) % 100003 as long)", "hot": "if(id % 3 = 0, 7, id)", "text": "concat('k\\'\\\\', id % 50)",
+        "dates": "date_add(date'2026-01-01', cast(sqrt(id) as int))", "all null": "cast(null as int)", "one value": "5", "empty": "id",
+    }[kind]
+    rows = spark.range(0 if kind == "empty" else 3000).selectExpr("id", f"if(id % 11 = 0, null, {value}) AS k", "if(id % 7 = 0, null, id % 100) AS tie")
+    rows.createOrReplaceTempView("split_source")
+    found = splits.plan_splits(lambda q: spark.sql(q).collect(), "SELECT * FROM split_source", "k", 8, "spark", tie)
+    assert len(found) == len(set(found))
+    met = spark.table("split_source").select(*[F.coalesce(F.expr(p), F.lit(False)).alias(f"p{i}") for i, p in enumerate(found)]).toPandas()
+    assert (met.sum(axis=1) == 1).all()
+    if kind in ("uneven", "dates", "text") or kind == "hot" and tie:
+        assert met.sum().max() <= 2 * 3000 / 8
+
+
+def test_a_scan_by_quantiles(spark):
+    spark.range(1000).selectExpr("id * id AS k").createOrReplaceTempView("squares")
+    seen = []
+
+    def load(query, split):
+        seen.append(split)
+        parts = [spark.sql(splits.derived(query, p, dialect="spark")) for p in split or ["1 = 1"]]
+        return parts[0] if len(parts) == 1 else functools.reduce(DataFrame.union, parts)
+
+    df = jdbc.scan_jdbc(spark, jdbc.JdbcConnection("spark"), table="squares", split=jdbc.QuantileSplit("k", 4), load=load)
+    assert len(seen[-1]) == 5 and df.count() == df.distinct().count() == 1000
+
+
 def test_date_filter_and_limit(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.sql("SELECT id, date_add(date'2026-04-14', cast(id AS int)) AS d FROM range(5)").write.parquet(path)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from millrace.plans.ingest import sql_source
 from millrace.plans.transforms import read_table
 from millrace.sinks.files import write_csv, write_json, write_parquet
 from millrace.sinks.tables import write_table
 from millrace.sources import files
+from millrace.sources.jdbc import JdbcConnection, QuantileSplit, scan_jdbc
 from millrace.sources.layout import Layout, list_datasets, register_views
 from millrace.sources.objectstore import ObjectStore
-from workloads.registry import query, scratch, scratch_db, table
+from millrace.sources.splits import derived
+from workloads.registry import query, scratch, scratch_db, table, views
 
 ORDERS = (
     "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
@@ -147,3 +151,40 @@ def list_file_tables(spark, sf):
         "name", "format", "business_date", "pipeline", "extract_label", "app_id",
         (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"),
     )
+
+
+def _as_database(spark):
+    """Sends a scan's SQL to Spark SQL instead of a database; one branch of a union per split."""
+
+    def load(text, split):
+        parts = [spark.sql(derived(text, p, dialect="spark")) for p in split or [None]]
+        return reduce(DataFrame.union, [p.withColumn("split", F.lit(i)) for i, p in enumerate(parts)]) if split else parts[0]
+
+    return load
+
+
+@query("""
+SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey, o_totalprice FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1998-03-05'
+""")
+def scan_jdbc_date_pushdown(spark, sf):
+    """The query that a database would get, date filter and all, answered by Spark SQL: no database is at hand."""
+    views(spark, sf, "orders")
+    sql = "SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey, o_totalprice FROM orders"
+    return scan_jdbc(spark, JdbcConnection("spark"), sql=sql, date_column="day", business_date="19980305", load=_as_database(spark))
+
+
+@query("""
+WITH tiles AS (
+  SELECT l_suppkey AS k, NTILE(6) OVER (ORDER BY l_suppkey) AS t FROM lineitem
+), low AS (
+  SELECT k, row_number() OVER (ORDER BY k) - 1 AS split FROM (SELECT DISTINCT min(k) AS k FROM tiles GROUP BY t)
+)
+SELECT CAST(low.split AS INTEGER) AS split, COUNT(*) AS n, MIN(l_suppkey) AS least, MAX(l_suppkey) AS most
+FROM lineitem ASOF JOIN low ON l_suppkey >= low.k GROUP BY low.split
+""")
+def scan_jdbc_splits(spark, sf):
+    """Splits planned from the quantiles of the source, and the rows that each split's query brings."""
+    views(spark, sf, "lineitem")
+    split = QuantileSplit("l_suppkey", 6, "l_orderkey")
+    df = scan_jdbc(spark, JdbcConnection("spark"), table="lineitem", split=split, load=_as_database(spark))
+    return df.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("l_suppkey").alias("least"), F.max("l_suppkey").alias("most"))
