@@ -10,6 +10,8 @@ of each piece over all segmentations of the training words.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +32,9 @@ LOST = 1e-9  # probability of a character that no piece covers
 CACHE = 400_000  # words whose scores a worker remembers
 BATCH = 20_000  # words that are scored at once
 GROUP = 2_000_000  # characters of texts whose words are scored together
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters with the marks that belong to them: words of many scripts and decomposed accents stay whole.
+MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
+LETTERS = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{MARKS}])*")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd, so that no character is lost
 MARK = "▁"  # begins each word in the vocabulary
 

@@ -208,7 +208,6 @@ def test_bm25_neighbours_by_brute_force():
     unused = np.ones(n, bool)
     unused[7] = False
     terms = [t for t in dict.fromkeys(docs[7][:-1].tolist()) if df[t] > 1]
-    assert len(terms) <= packing.QUERY_TERMS or True
     terms = sorted(sorted(terms), key=lambda t: -weight(t, docs[7]))[: packing.QUERY_TERMS]
     scores = np.array([sum(weight(t, d) for t in terms if t in d[:-1]) for d in docs]) * unused
     got = index.neighbours(7, unused)
@@ -261,3 +260,17 @@ def test_shuffle_is_uniform(spark):
     assert abs(np.corrcoef(got.doc_id, got.shard * 500 + got.slot)[0, 1]) < 0.06
     counts = np.histogram2d(got.doc_id // 500, got.shard, bins=[8, 8])[0]
     assert ((counts - 62.5) ** 2 / 62.5).sum() < 100  # chi-square of about 49
+
+
+def test_words_keep_their_marks():
+    words = {"हिन्दी भाषा": ["हिन्दी", "भाषा"], "தமிழ்": ["தமிழ்"], "ภาษาไทย ที่นี่": ["ภาษาไทย", "ที่นี่"], "cafe\u0301 1st_x": ["cafe\u0301", "st", "x"], "\u0301a": ["a"], "\u0661 ٣": []}
+    for text, expected in words.items():
+        assert langid.LETTERS.findall(text.lower()) == expected
+    import unicodedata
+
+    import public_tokenizers
+
+    for piece in langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model")):
+        bare = piece.lstrip(langid.MARK)
+        if bare and all(unicodedata.category(c)[0] in "LM" for c in bare) and unicodedata.category(bare[0])[0] == "L":
+            assert langid.LETTERS.fullmatch(bare), piece
