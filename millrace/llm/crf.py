@@ -11,6 +11,7 @@ sample's blocks in the layouts below, whose labels are known.
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +27,9 @@ SAMPLE_PAGES = 300  # of the table, that are labelled
 SAMPLE_CHARS = 40_000  # longest page of the sample
 COMPOSED = 500  # pages made for training
 ROUNDS = 150
+PLAIN = 0.3  # of the composed pages, whose elements and names tell nothing
 RATE, RIDGE = 0.3, 1e-3
+ENDS = '.!?…:”»"'  # of a sentence
 TRAIN_BLOCKS = 80  # of a training page
 
 #: Elements and names that tell what a part of a page is for (fixed values).
@@ -38,6 +41,21 @@ ASIDE_NAMES = frozenset(
     "form signup subscribe newsletter login search share social related recommended more breadcrumb breadcrumbs pager pagination copyright legal tags toolbar".split()
 )
 ARTICLE_NAMES = frozenset("article content main post entry story body text articlebody prose".split())
+#: Parts of a class name that say where or of what kind, not what for; and those that only tell of a state (fixed values).
+PLACES = frozenset("left right top bottom inner outer wrap wrapper container box list item area section block bar panel unit slot region group link links title".split())
+STATES = frozenset("has with without no not is js show hide open closed".split())
+
+
+def meaning(name: str) -> str:
+    """What a class name, taken as a whole, is for: its last part, but for places and parts of something else."""
+    parts = [x for x in name.split("-") if x]
+    if not parts or len(parts) > 1 and parts[0] in STATES:
+        return ""
+    head = parts.pop()
+    while parts and (head in PLACES or head in ARTICLE_NAMES and parts[-1] in ASIDE_NAMES):
+        head = parts.pop()
+    # the header of an article holds its heading
+    return parts[-1] if head == "header" and parts and parts[-1] in ARTICLE_NAMES else head
 
 
 @lru_cache(maxsize=50_000)
@@ -48,7 +66,9 @@ def path_features(path: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
     article = False
     for tag, names in path:
         out.add(f"tag:{tag}")
-        words = set(names.rstrip("\0").split())
+        words = {meaning(x) for x in names.rstrip("\0").split()}
+        if tag in ARTICLE or tag in ("html", "body"):  # what they are, or the whole page; names tell of their state
+            words -= ASIDE_NAMES
         out.update(f"name:{w}" for w in words & (ASIDE_NAMES | ARTICLE_NAMES))
         if tag in ASIDE or words & ASIDE_NAMES:
             inner = "aside" if article else "outside"
@@ -64,19 +84,30 @@ def path_features(path: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
 
 
 def text_features(block: Block) -> tuple[str, ...]:
-    n = len(block.text)
     words = block.text.count(" ") + 1
     return (
         "bias",
         f"words:{min(words.bit_length(), 8)}",
-        f"linked:{min(4, block.linked * 5 // max(n, 1))}",
-        f"ends:{block.text[-1] in '.!?…:”»\"'}",
+        f"linked:{_level(block)}",
+        f"ends:{block.text[-1] in ENDS}",
         f"copyright:{'©' in block.text[:200] or 'copyright' in block.text[:200].lower()}",
     )
 
 
+def _level(block: Block) -> int:
+    return min(4, block.linked * 5 // max(len(block.text), 1))
+
+
 def features(page: list[Block]) -> list[tuple[str, ...]]:
-    return [(*path_features(b.path), *text_features(b)) for b in page]
+    """Of each block by itself, of its neighbours' links, and of how often its path comes on the page."""
+    alike = Counter(b.path for b in page)
+    links = [_level(b) for b in page]
+    out = []
+    for k, b in enumerate(page):
+        around = f"before:{links[k - 1] if k else 'none'}", f"after:{links[k + 1] if k + 1 < len(page) else 'none'}"
+        words = min((b.text.count(" ") + 1).bit_length(), 8)
+        out.append((*path_features(b.path), *text_features(b), *around, f"alike:{min(alike[b.path].bit_length(), 4)}:{links[k]}", f"shape:{words}:{links[k]}:{b.text[-1] in ENDS}"))
+    return out
 
 
 def landmarks(block: Block) -> bool | None:
@@ -113,13 +144,19 @@ AFTER = (
 FILLER = ("A longer piece of text, as articles have it, with more than one part.", "Some words.", "It goes on for a while, and then it ends.", "One more line of text follows here.")
 
 
-def compose(texts: list[str], rng: random.Random) -> tuple[list[Block], list[bool]]:
-    """A page in one of the layouts, with texts of the sample."""
+def compose(texts: list[str], rng: random.Random, plain: bool = False) -> tuple[list[Block], list[bool]]:
+    """A page in one of the layouts, with texts of the sample.
+
+    On a ``plain`` page all elements are plain and names unknown, menus and lists
+    of links are told by their links, and there is no text of others.
+    """
     page: list[Block] = []
     labels: list[bool] = []
 
     def part(spec: tuple, root: tuple[str, ...] = ()) -> None:
         label, (least, most), kind, paths = spec
+        if plain and not label and kind == "long":
+            return
         path = rng.choice(paths)
         for _ in range(rng.randint(least, most)):
             if label and least != most:
@@ -131,8 +168,9 @@ def compose(texts: list[str], rng: random.Random) -> tuple[list[Block], list[boo
                 text = " ".join(text.split()[: rng.randint(3, 14)])
             if kind == "foot":
                 text = rng.choice(("© ", "Copyright ", "")) + text
-            linked = kind == "menu" or (not label and rng.random() < 0.2)
-            page.append(Block(text, _path(*root, *path), len(text) if linked else 0))
+            linked = kind == "menu" or (not label and rng.random() < (0.9 if plain else 0.2))
+            steps = [f"{'div' if s.partition('.')[0] in ASIDE | ARTICLE else s.partition('.')[0]}.{spec[2]}x" for s in (*root, *path)] if plain else (*root, *path)
+            page.append(Block(text, _path(*steps), len(text) if linked else 0))
             labels.append(label)
 
     for spec in BEFORE:
@@ -225,14 +263,18 @@ def labelled(sample: list[str]) -> list[tuple[list[Block], list[bool]]]:
     known = [(p, [bool(landmarks(b)) for b in p]) for p in parsed if all(landmarks(b) is not None for b in p)]
     texts = [b.text for p in parsed for b in p if len(b.text) < 2000] or list(FILLER)
     rng = random.Random(11)
-    return known + [compose(texts, rng) for _ in range(COMPOSED)]
+    return known + [compose(texts, rng, rng.random() < PLAIN) for _ in range(COMPOSED)]
 
 
 def fit(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> Field:
-    """A field from at most ``SAMPLE_PAGES`` pages of at most ``SAMPLE_CHARS`` characters, spread over the table by their ids' hash."""
-    short = pages.where(F.length(html) <= SAMPLE_CHARS).select(F.col(html).alias("html"), F.xxhash64(page_id, F.length(html)).alias("h"))
-    sample = [r["html"] for r in short.orderBy("h", F.crc32(F.col("html").cast("binary"))).limit(SAMPLE_PAGES).collect()]
-    return train(labelled(sample))
+    """A field from at most ``SAMPLE_PAGES`` different pages of at most ``SAMPLE_CHARS`` characters, spread over the table by a hash.
+
+    Hashes are chosen first; only the pages that have them are sent to the driver.
+    """
+    short = pages.where(F.length(html) <= SAMPLE_CHARS).select(F.col(html).alias("html"), F.xxhash64(page_id, html).alias("h"))
+    chosen = [r["h"] for r in short.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]
+    sample = short.where(F.col("h").isin(chosen)).groupBy("h").agg(F.first("html").alias("html")).orderBy("h") if chosen else short.limit(0)
+    return train(labelled([r["html"] for r in sample.collect()]))
 
 
 def extract(pages: DataFrame, field: Field, html: str = "html"):

@@ -18,7 +18,8 @@ ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 MAY_HIDE = re.compile(r"hidden|display", re.I)  # most attributes need no closer look
 NONE = re.compile(r"display\s*:\s*none", re.I)
 NAME = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
-WORD = re.compile(r"[a-z]+")
+HUMP = re.compile(r"([a-z])([A-Z])")
+APART = re.compile(r"[^a-z\s]+")
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -147,7 +148,8 @@ def blocks(page: str) -> list[Block]:
         attrs = m["attrs"]
         names = ""
         if attrs:
-            names = " ".join(WORD.findall(" ".join(a or b or c for a, b, c in NAMED.findall(attrs)).lower()))
+            found = " ".join(a or b or c for a, b, c in NAMED.findall(attrs))
+            names = " ".join(APART.sub("-", HUMP.sub(r"\1-\2", found).lower()).split()) if found else ""
             if _hides(attrs):
                 names += "\0"
                 hidden += 1

@@ -66,6 +66,42 @@ def test_extraction_of_odd_layouts(field):
     assert " ".join(b.text for b, y in zip(blocks, field.decode(blocks), strict=True) if y) == "T & t Hello world, this is text. More text here. one two"
 
 
+KEPT = "<p>The council met on Monday to talk about the new bridge.</p><p>Work on it is to begin in the spring, the mayor said.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<main class="page has-sidebar">{KEPT}</main>',
+        f'<article class="post comment-open tag-news">{KEPT}</article>',
+        f'<article class="post has-share-bar">{KEPT}</article>',
+        f'<article class="entry legal">{KEPT}</article>',
+        f'<body class="single no-sidebar comments-closed"><div class="entry-header"></div><div class="post-content">{KEPT}</div><div class="comment-body"><p>Good news for all of us here.</p></div></body>',
+        f'<div class="topbar"><ul><li><a href=a>Home</a></li><li><a href=b>World news</a></li><li><a href=c>Sport</a></li></ul></div><div class="story">{KEPT}</div>'
+        '<div class="rail"><ul><li><a href=d>Ten towns to see</a></li><li><a href=e>What we eat</a></li><li><a href=f>Rain again</a></li></ul></div>',
+        f'<div id="cookieNotice"><p>We use cookies.</p></div><article>{KEPT}<div class="related-links"><a>More</a></div></article><div class="site-footer-links"><p>Contact us</p></div>',
+    ],
+)
+def test_names_of_a_state_leave_the_article(field, page):
+    blocks = dom.blocks(f"<html>{page}</html>" if "<body" in page else f"<html><body>{page}</body></html>")
+    kept = " ".join(b.text for b, y in zip(blocks, field.decode(blocks), strict=True) if y)
+    assert kept == " ".join(b.text for b in dom.blocks(KEPT))
+
+
+def test_meaning_of_names():
+    expected = {"sidebar": "sidebar", "sidebar-left": "sidebar", "has-sidebar": "", "cookie-notice": "notice", "comment-open": "open", "comment-body": "comment", "post-header": "post", "main-content": "content", "tag-news": "news", "-": ""}
+    assert {n: crf.meaning(n) for n in expected} == expected
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    monkeypatch.setattr(crf, "SAMPLE_PAGES", 5)
+    seen = []
+    monkeypatch.setattr(crf, "labelled", lambda sample: seen.append(sample) or [crf.compose(list(crf.FILLER), random.Random(1))])
+    pages = spark.range(300).select(F.lit(1).alias("page_id"), F.concat(F.lit("<p>"), F.greatest(F.col("id"), F.lit(200))).alias("html"))
+    crf.fit(pages)
+    assert len(seen[0]) == 5 == len(set(seen[0]))
+
+
 def test_accuracy_on_held_out_layouts(field):
     rng, wrong, n = random.Random(99), 0, 0
     for _ in range(200):
