@@ -34,7 +34,7 @@ BATCH = 20_000  # words that are scored at once
 GROUP = 2_000_000  # characters of texts whose words are scored together
 #: Letters with the marks that belong to them: words of many scripts and decomposed accents stay whole.
 MARKS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M")
-LETTERS = re.compile(rf"[^\W\d_]+(?:[{MARKS}]+[^\W\d_]*)*")
+LETTERS = re.compile(rf"[^\W\d_]+(?:(?=[\u0300-\U0010ffff])[{MARKS}]+[^\W\d_]*)*")  # no mark lies before U+0300
 FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd, so that no character is lost
 MARK = "▁"  # begins each word in the vocabulary
 
