@@ -207,6 +207,69 @@ def test_class_bigrams_by_brute_force(spark, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_class_model_by_brute_force(spark, monkeypatch):
+    """Scores from the classes found, and each tail word's move against the likelihood of all classes it could take."""
+    for name, value in (("BLOCK_TOKENS", 700), ("HEADS", 40), ("MIN_COUNT", 4), ("GROUP_BLOCKS", 2)):
+        monkeypatch.setattr(brown, name, value)
+    seen: dict = {}
+    keep, swap, units = brown.stored, brown.exchange, brown.Units
+    monkeypatch.setattr(brown, "stored", lambda df, label: seen.setdefault(label, keep(df, label)))
+    monkeypatch.setattr(brown, "exchange", lambda *a: seen.__setitem__("of", swap(*a)) or seen["of"])
+    monkeypatch.setattr(brown, "Units", lambda *a: seen.setdefault("units", units(*a)))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(80)
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
+    out = {r["doc_id"]: r for r in collected(brown.score(docs, classes=6))}
+
+    learned = [i for i in texts if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for i in learned for w in texts[i])
+    moved = {bytes(r["word"]): (r["first"], r["class"]) for r in seen["tail"].collect()}
+    heads = set(sorted((w for w in counts if counts[w] >= 4), key=lambda w: (-counts[w], w))[:40])
+    assert len(heads) == 40 and set(moved) == {w for w in counts if counts[w] >= 4} - heads
+    assert any(a != b for a, b in moved.values())
+
+    def start(w):
+        return int(seen["of"][seen["units"].of([w])[0]])
+
+    def pairs(of):
+        found = Counter()
+        for i in learned:
+            c = [6, *map(of, texts[i]), 6]
+            found.update(zip(c, c[1:]))
+        return found
+
+    def likelihood(found):
+        before, after = Counter(), Counter()
+        for (a, b), n in found.items():
+            before[a] += n
+            after[b] += n
+        return sum(n * math.log(n / before[a] / after[b]) for (a, b), n in found.items())
+
+    first = {w: start(w) for w in counts}
+    assert all(first[w] == a for w, (a, _) in moved.items())
+    lone = [w for w in sorted(moved) if not any(x == y == w for i in learned for x, y in zip(texts[i], texts[i][1:]))]
+    for w in lone[:25]:
+        tried = [likelihood(pairs({**first, w: k}.__getitem__)) for k in range(6)]
+        assert tried[moved[w][1]] >= max(tried) - 1e-6
+
+    def of(w):
+        return moved[w][1] if w in moved else start(w)
+
+    found, mass, members = pairs(of), Counter({6: len(learned)}), Counter({6: 1})
+    for w, n in counts.items():
+        mass[of(w)] += n
+        members[of(w)] += 1
+    before, after, total = Counter(), Counter(), sum(found.values())
+    for (a, b), n in found.items():
+        before[a] += n
+        after[b] += n
+    for i, words in texts.items():
+        c, value = [6, *map(of, words), 6], 0.0
+        for a, b in zip(c, c[1:]):
+            value += math.log10((found[a, b] + 6 * (after[b] + 0.1) / (total + 0.7)) / (before[a] + 6))
+        value += sum(math.log10((counts[w] + 0.1) / (mass[of(w)] + 0.1 * (members[of(w)] + 1))) for w in words)
+        assert out[i]["score"] == pytest.approx(value)
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(6)
     units = rng.integers(0, 2, 4000)
