@@ -26,6 +26,7 @@ BANDS = 16  # of ROWS minima each: a pair of similarity 0.8 agrees on one at lea
 ROWS = 6
 SMALL = 8  # members of a bucket up to which all pairs are candidates
 CHUNK = 4096  # shingles that are hashed at once
+SLICE = 256  # texts whose sketches go back together
 
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,20 +57,28 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _sketch(words: list[bytes]) -> tuple[bytes, int, np.ndarray, np.ndarray]:
+    """A hash of all words in turn, the fingerprint, 32 bits of each shingle's hash, and the bands."""
+    own = shingles(words)
+    keys = bands(own) if len(own) else np.zeros(0, np.int64)
+    digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    return digest, simhash.fingerprint(words, WIDTH), np.unique(own.astype(np.uint32)).view(np.int32), keys
+
+
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """words: a hash of all words in turn; shingles are kept by 32 bits of theirs."""
+    """One text's words are held at a time: they take many times the room of the text."""
     for batch in batches:
-        own = [words_of(t) for t in batch.column(1).to_pylist()]
-        sets = [shingles(w) for w in own]
-        keys = [bands(s) if len(s) else np.zeros(0, np.int64) for s in sets]
-        columns = [
-            batch.column(0),
-            pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in own], pa.binary()),
-            pa.array([simhash.fingerprint(w, WIDTH) for w in own], pa.int64()),
-            pa.array([np.unique(s.astype(np.uint32)).view(np.int32) for s in sets], pa.list_(pa.int32())),
-            pa.array(keys, pa.list_(pa.int64())),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "words", "fp", "set", "keys"])
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            words, prints, sets, keys = zip(*(_sketch(words_of(t.as_py())) for t in part.column(1)), strict=True)
+            columns = [
+                part.column(0),
+                pa.array(words, pa.binary()),
+                pa.array(prints, pa.int64()),
+                pa.array(sets, pa.list_(pa.int32())),
+                pa.array(keys, pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "words", "fp", "set", "keys"])
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
+
 from millrace.llm import near
 
 
@@ -63,3 +65,13 @@ def test_large_groups_and_odd_rows(spark, docs, no_docs):
     assert kept.columns == table.columns
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, *sorted(set(got.values()))]
     assert near.keep_one(docs).columns == docs.columns and near.keep_one(no_docs).count() == 0
+
+
+def test_sketches_hold_one_text_at_a_time(monkeypatch):
+    """A batch comes back in slices, so what is held doesn't grow with the rows of a batch."""
+    monkeypatch.setattr(near, "SLICE", 3)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(8)), "text": ["a b c d e f", None, "", "A b  c d e f", "x", "y", "x", "z"]})
+    out = list(near._sketched(iter([batch, batch.slice(0, 0)])))
+    assert [b.num_rows for b in out] == [3, 3, 2]
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [r["doc_id"] for r in rows] == list(range(8)) and rows[0]["words"] == rows[3]["words"] and rows[1]["set"] == rows[2]["set"] == []
