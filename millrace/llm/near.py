@@ -1,10 +1,11 @@
 """Near-duplicate documents: SimHash covering tables and shingle bands propose pairs, exact similarity decides.
 
-Texts with equal words are one class. Two classes are candidates if their fingerprints meet in the covering tables, or if
+Texts with equal words are one class. Two classes are candidates if their fingerprints differ in at most two bits, or if
 they agree on all ``ROWS`` minima of one of ``BANDS`` bands. A candidate pair is
 a link if the Jaccard similarity of the sets of five-word shingles is at least
 ``SIMILAR``; shingles are compared by 32 bits of their hash. Linked documents and
-copies form groups.
+copies form groups. No candidate pair is passed over unless other links join it,
+or its sets can't be similar (``_rest``).
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ SIMILAR = 0.8
 BANDS = 16  # of ROWS minima each: a pair of similarity 0.8 agrees on one at least with probability 0.99
 ROWS = 6
 SMALL = 8  # members of a bucket up to which all pairs are candidates
+STARS = 4  # rounds in which the members of a larger one are compared with one of them
 CHUNK = 4096  # shingles that are hashed at once
 SLICE = 256  # texts whose sketches go back together
 
@@ -89,30 +91,67 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(shared >= SIMILAR * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
-def _met(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among the members ``rep`` of buckets ``bucket`` of ``n`` members.
+def _met(members: DataFrame, sets: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Links among the members ``rep`` of buckets ``bucket`` of ``n`` members: they join whatever links of all pairs join.
 
     In a bucket of up to ``SMALL`` every pair is compared. In a larger one all
     are compared with the member that meets most others over all buckets, which
     is the middle of what lies around it; those that are not similar to it
-    remain, and so on until the bucket is small.
+    remain, and so on for ``STARS`` rounds or until the bucket is small. Then
+    ``_rest`` looks at the pairs that were passed over, and at those in the
+    buckets ``bucket, rep`` of ``others``.
     """
     weights = members.groupBy("rep").agg(F.sum("n").alias("weight"))
-    members, found = members.select("bucket", "rep").join(weights, "rep"), None
-    while True:
+    members, found, crowd = members.select("bucket", "rep").join(weights, "rep"), None, others
+    for turn in range(STARS):
         lead = F.max_by("rep", F.struct("weight", "rep")).alias("lead")
         sized = members.groupBy("bucket").agg(F.count("*").alias("n"), lead).where("n > 1")
         sized = stored(members.join(sized, "bucket"), "buckets")
         few = sized.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("rep")).alias("all"))
         pairs = few.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda b: b > F.col("a"))).alias("b"))
-        many = sized.where((F.col("n") > SMALL) & (F.col("rep") != F.col("lead")))
+        large = sized.where(F.col("n") > SMALL)
+        many = large.where("rep != lead")
         starred = many.select(F.col("lead").alias("a"), F.col("rep").alias("b"))
         links = stored(_similar(pairs.unionByName(starred).distinct(), sets), "similar")
         found = links if found is None else found.unionByName(links)
         if many.isEmpty():
-            return found
+            break
+        if not turn:
+            crowd = large.select("bucket", "rep") if crowd is None else crowd.unionByName(large.select("bucket", "rep"))
         near = links.select(F.col("a").alias("lead"), F.col("b").alias("rep"))
         members = stored(many.join(near, ["lead", "rep"], "left_anti").select("bucket", "rep", "weight"), "left")
+    return found if crowd is None else found.unionByName(_rest(crowd, found, sets))
+
+
+def _rest(crowd: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members ``rep`` of a ``bucket`` that the links found so far don't join.
+
+    An exact join of the members of buckets in which components meet: of two
+    sets of similarity ``SIMILAR`` each shares so many elements with the other
+    that, in any order, their first ones can't all differ; the order is from
+    rare to frequent. Only pairs of different components are compared.
+    """
+    roots = stored(components(found), "reached").withColumnRenamed("node", "rep")
+    parts = crowd.select("bucket", "rep").join(roots, "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+    torn = parts.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    apart = stored(parts.join(torn, "bucket").select("rep", "root").distinct().join(sets, "rep"), "apart")
+    elements = apart.select("rep", "root", F.size("set").alias("size"), F.explode("set").alias("element"))
+    ranked = elements.join(elements.groupBy("element").agg(F.count("*").alias("n")), "element")
+    ranked = ranked.groupBy("rep").agg(F.first("root").alias("root"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "element"))).alias("all"))
+    least = F.ceil(SIMILAR * F.col("size") - 1e-9).cast("int")
+    firsts = ranked.select("rep", "root", "size", F.posexplode(F.slice("all", F.lit(1), F.col("size") - least + 1)).alias("at", "e"))
+    firsts = stored(firsts.where("e.n > 1").select("rep", "root", "size", (F.col("size") - F.col("at")).alias("left"), "e.element"), "firsts")
+
+    # Of each element's largest component, members are only looked at from outside.
+    counts = firsts.groupBy("element", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("element").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
+    y = stored(firsts.join(main.where("parts > 1").drop("parts"), "element"), "sides")
+    x = y.where("root != main").select("element", *(F.col(c).alias(f"x_{c}") for c in ("rep", "root", "size", "left")))
+    other = (F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("main")) | (F.col("x_root") < F.col("root")))
+    # From the first element that both have on, enough must be left of both.
+    able = F.least("left", "x_left") >= SIMILAR / (1 + SIMILAR) * (F.col("size") + F.col("x_size")) - 1e-9
+    pairs = x.join(y, "element").where(other & able).select(F.least("rep", "x_rep").alias("a"), F.greatest("rep", "x_rep").alias("b"))
+    return stored(_similar(pairs.distinct(), sets), "rest")
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,21 +169,19 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     classes = rows.groupBy("words").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     classes = stored(classes.withColumnRenamed("words", "rep"), "classes")
 
-    # Only classes that meet another one are looked at further.
+    # Only classes that meet another one are looked at further. Fingerprints within the radius of each other share a point.
     banded = classes.select("rep", F.posexplode("keys").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(banded.join(sizes, "bucket"), "met")
-    prints = stored(classes.where(F.size("keys") > 0).groupBy("fp").agg(F.min("rep").alias("first")), "prints")
-    ends = [prints.select(F.col("fp").alias(x), F.col("first").alias(f"r{x}")) for x in "ab"]
-    pairs = simhash.links(prints.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    same = classes.join(prints, "fp").where("rep != first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    pairs = stored(pairs.unionByName(same).distinct(), "covered")
-
-    seen = met.select("rep").unionByName(pairs.select(F.col("a").alias("rep"))).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    seen = seen.join(classes, "rep").select(F.col("rep").alias("words"), F.col("least").alias("doc_id"))
+    prints = classes.where(F.size("keys") > 0).select("rep", "fp")
+    buckets = banded.unionByName(prints.select("rep", F.xxhash64(F.lit(-1), "fp").alias("bucket")))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(buckets.join(sizes, "bucket"), "met")
+    visits = prints.join(simhash.points(prints.select("fp").distinct()), "fp").select("rep", F.col("point").alias("bucket"))
+    visits = stored(visits.join(visits.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "bucket"), "visits")
+
+    seen = met.select("rep").unionByName(visits.select("rep")).distinct().join(classes, "rep").select(F.col("rep").alias("words"), F.col("least").alias("doc_id"))
     sets = rows.join(seen, ["words", "doc_id"]).select(F.col("words").alias("rep"), "set").dropDuplicates(["rep"])
     sets = stored(sets, "shingles")
-    links = _met(met, sets).unionByName(_similar(pairs, sets))
+    links = _met(met, sets, visits)
 
     roots = stored(components(links), "roots").select(F.col("node").alias("rep"), "root")
     rooted = classes.select("rep", "least").join(roots, "rep", "left").select("rep", "least", F.coalesce("root", "rep").alias("root"))

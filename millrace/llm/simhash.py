@@ -67,6 +67,27 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _meetings(prints: DataFrame, radius: int) -> DataFrame:
+    """``t, key, fp, mask, n``: the distinct fingerprints ``fp`` in each table's buckets of ``n`` members, two at least."""
+    tables = F.array(*(F.struct(F.lit(i).alias("t"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks(radius))))
+    keyed = prints.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.mask", F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"))
+    counted = stored(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    return stored(keyed.join(counted, ["t", "key"]), "buckets")
+
+
+def points(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fp, point``: what the distinct fingerprints ``fp`` that meet another one in a table visit, all within half the radius.
+
+    Two within the radius of each other share a point, and all that visit one
+    are within the radius of each other. The radius must be even.
+    """
+    if radius % 2:
+        raise ValueError("the radius must be even")
+    bits = F.array(*(F.lit(_signed(1 << i)) for i in range(BITS)))
+    met = _meetings(prints, radius).select("fp").distinct()
+    return met.select("fp", F.explode(_sums(bits, radius // 2)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+
+
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``a, b``: links that join the distinct fingerprints ``fp`` exactly as the radius does.
 
@@ -79,10 +100,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if radius % 2:
         raise ValueError("the radius must be even")
-    tables = F.array(*(F.struct(F.lit(i).alias("t"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks(radius))))
-    keyed = prints.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.mask", F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"))
-    counted = stored(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
-    met = stored(keyed.join(counted, ["t", "key"]), "buckets")
+    met = _meetings(prints, radius)
 
     few = met.where(F.col("n") <= SMALL).groupBy("t", "key").agg(F.sort_array(F.collect_list("fp")).alias("all"))
     each = few.select("all", F.explode("all").alias("a"))

@@ -7,7 +7,7 @@ import re
 
 import pyarrow as pa
 
-from millrace.llm import near
+from millrace.llm import near, simhash
 
 
 def shingle_set(text):
@@ -67,6 +67,32 @@ def test_large_groups_and_odd_rows(spark, docs, no_docs):
     assert near.keep_one(docs).columns == docs.columns and near.keep_one(no_docs).count() == 0
 
 
+def test_a_large_bucket_keeps_links_beside_its_middle(spark):
+    """``far`` is similar to ``bridge`` only, which is similar to the middle: both are found in one bucket of 15."""
+    base = list(range(100))
+    sets = {f"m{i:02}": [1000 + i, *base] for i in range(12)} | {"m99": base, "bridge": base[:90], "far": base[:78]}
+    sets |= {"alone": base[:40]}
+    table = spark.createDataFrame([(k.encode(), v) for k, v in sets.items()], "rep binary, set array<int>")
+    members = spark.createDataFrame([(7, k.encode(), len(sets)) for k in sets], "bucket long, rep binary, n long")
+    # the middle is the member of most weight: another bucket gives it to m99
+    members = members.union(spark.createDataFrame([(8, b"m99", 2), (8, b"m00", 2)], members.schema))
+    links = {(bytes(r.a), bytes(r.b)) for r in near._met(members, table).collect()}
+    assert (b"bridge", b"far") in links
+    assert {x for pair in links for x in pair} == {k.encode() for k in sets} - {b"alone"}
+
+
+def test_equal_fingerprints_are_all_compared(spark):
+    """Classes whose fingerprints lie within two bits are candidates, not only one class of each fingerprint."""
+    prints = [0, 3, 12, -(1 << 63), -1, 5 << 40]
+    rows = simhash.points(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()
+    by_point = {}
+    for r in rows:
+        by_point.setdefault(r.point, set()).add(r.fp)
+    met = {(a, b) for held in by_point.values() for a in held for b in held if a < b}
+    close = {(a, b) for a in prints for b in prints if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    assert met == close
+
+
 def test_sketches_hold_one_text_at_a_time(monkeypatch):
     """A batch comes back in slices, so what is held doesn't grow with the rows of a batch."""
     monkeypatch.setattr(near, "SLICE", 3)
@@ -75,3 +101,19 @@ def test_sketches_hold_one_text_at_a_time(monkeypatch):
     assert [b.num_rows for b in out] == [3, 3, 2]
     rows = pa.Table.from_batches(out).to_pylist()
     assert [r["doc_id"] for r in rows] == list(range(8)) and rows[0]["words"] == rows[3]["words"] and rows[1]["set"] == rows[2]["set"] == []
+
+
+def test_rest_is_exact_and_needs_no_pairs_of_strangers(spark, monkeypatch):
+    """Sets around one another at similarities about the threshold: their components, without all their pairs."""
+    rng = random.Random(4)
+    sets = {k: sorted({*range(k % 3 * 7, 60 + k % 3 * 7), *(rng.randrange(200, 260) for _ in range(rng.randrange(2, 12)))}) for k in range(120)}
+    sets |= {k: [*range(60), *range(1000 * k, 1000 * k + 40)] for k in range(120, 320)}  # 0.43 similar to each other
+    table = spark.createDataFrame([(k, v) for k, v in sets.items()], "rep long, set array<int>")
+    crowd = spark.createDataFrame([(1, k) for k in sets], "bucket long, rep long")
+    seen, similar = [], near._similar
+    monkeypatch.setattr(near, "_similar", lambda pairs, sets: seen.append(pairs.count()) or similar(pairs, sets))
+    none = spark.createDataFrame([], "a long, b long")
+    links = {(r.a, r.b) for r in near._rest(crowd, none, table).collect()}
+    own = {k: set(v) for k, v in sets.items()}
+    assert links == {(a, b) for a in own for b in own if a < b and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])}
+    assert links and seen[0] < 120 * 119 / 2  # none of the 200 that are alike in their common part only
