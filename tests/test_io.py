@@ -147,6 +147,50 @@ def test_each_row_is_in_one_split(spark, kind, tie):
         assert met.sum().max() <= 2 * 3000 / 8
 
 
+@pytest.mark.parametrize("kind", ["uneven", "hot", "text", "words", "dates", "times", "decimals", "floats", "wide floats", "flags", "all null", "one value", "few"])
+@pytest.mark.parametrize("n", [1, 7, 40])
+def test_tiles_start_where_ntile_starts_them(spark, monkeypatch, kind, n):
+    """Counts between pivots find the tiles that a sort of the whole column gives; no window has more than a few rows."""
+    value = {
+        "uneven": "cast(pow(id, 4) % 100003 as long) - 50000", "hot": "if(id % 3 = 0, 7, id)", "text": "concat('k\\'\\\\', id % 50)",
+        "words": "concat_ws('', element_at(array('Zü', 'zu', '', 'a b', '日本', 'A'), cast(1 + id % 6 as int)), id * 37 % 211)",
+        "dates": "date_add(date'2026-01-01', cast(sqrt(id) as int))", "times": "timestamp_micros(id * id * 1234567)",
+        "decimals": "cast(id * id as decimal(38, 20)) / 1000000000", "floats": "sin(id) * id", "flags": "id % 5 = 0",
+        "wide floats": "case when id % 50 = 0 then double('NaN') when id % 50 = 1 then double('-Infinity') when id % 50 = 2 then double('Infinity') else exp(id / 5) end",
+        "all null": "cast(null as int)", "one value": "5", "few": "if(id < 3, id, null)",
+    }[kind]
+    monkeypatch.setattr(splits, "SORTED", 30)
+    monkeypatch.setattr(splits, "PIVOTS", 12)
+    spark.range(1500).selectExpr(f"if(id % 11 = 5, null, {value}) AS k").createOrReplaceTempView("tile_source")
+    rows = spark.sql(f"SELECT MIN(k) AS lo FROM (SELECT k, NTILE({n}) OVER (ORDER BY k) AS t FROM tile_source WHERE k IS NOT NULL) GROUP BY t ORDER BY t")
+    asked = []
+
+    def ask(text):
+        asked.append(text)
+        return spark.sql(text).collect()
+
+    got = splits.starts_of_tiles(ask, "SELECT * FROM tile_source ; ", "k", n, "spark")
+    assert list(map(str, got)) == [str(r.lo) for r in rows.collect()]
+    assert len(asked) < 40 and not any("NTILE" in x for x in asked)
+    for x in asked:
+        if "ROW_NUMBER" in x:
+            cut = x[x.index("(SELECT k, CASE") if "(SELECT k, CASE" in x else x.index("(SELECT k, 0 AS t") : x.index(") cut")] + ")"
+            assert spark.sql(f"SELECT COUNT(*) AS n FROM {cut} GROUP BY t ORDER BY n DESC").first().n <= 30
+
+
+def test_a_source_with_an_order_of_its_own(monkeypatch):
+    """A source that ignores case, and orders the signs in another way than Python does, still gives its own tiles."""
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(splits, "SORTED", 10)
+    monkeypatch.setattr(splits, "PIVOTS", 8)
+    db = duckdb.connect()
+    db.sql("CREATE TABLE words AS SELECT (CASE i % 3 WHEN 0 THEN 'Ab' WHEN 1 THEN 'aB' ELSE '_z' END || CASE WHEN i % 2 = 0 THEN 'X' ELSE 'x' END || (i * 7 % 23)) COLLATE NOCASE AS k FROM range(600) t(i)")
+    ask = lambda text: [dict(zip((d[0] for d in c.description), r, strict=True)) for c in [db.execute(text)] for r in c.fetchall()]
+    got = splits.starts_of_tiles(ask, "SELECT k COLLATE NOCASE AS k FROM words", "k", 9, "postgresql")
+    rows = ask("SELECT t, MIN(lower(k)) AS lo FROM (SELECT k, NTILE(9) OVER (ORDER BY k) AS t FROM words) x GROUP BY t ORDER BY t")
+    assert [x.lower() for x in got] == [r["lo"] for r in rows]
+
+
 def test_a_scan_by_quantiles(spark):
     spark.range(1000).selectExpr("id * id AS k").createOrReplaceTempView("squares")
     seen = []
