@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 from functools import cache, reduce
 from operator import or_
 from pathlib import Path
@@ -114,11 +115,11 @@ class Model:
 
     def may_match(self, terms: Column) -> Column:
         """Whether different ``terms`` suffice for any template; no text that is near one is missed."""
-        array = lambda x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+        # Filters look terms up; an intersection would put all of the vocabulary into a set for each text.
         least = min(k for k, _ in self.needs)
-        found = F.element_at(
-            F.transform(F.array(F.array_intersect(terms, array(self.rare))), lambda hits: F.when(F.size(hits) >= least, reduce(or_, (F.size(F.array_intersect(hits, array(rare))) >= k for k, rare in self.needs))).otherwise(False)), 1
-        )
+        enough = lambda hits: reduce(or_, (F.size(_among(hits, rare)) >= k for k, rare in sorted(self.needs)))
+        found = F.transform(F.array(F.array_distinct(_among(terms, self.rare))), lambda hits: F.when(F.size(hits) >= least, enough(hits)).otherwise(False))
+        found = F.element_at(found, 1)
         return F.coalesce(found, F.lit(False))
 
 
@@ -126,10 +127,15 @@ def _terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
+def _among(terms: Column, names: Sequence[str]) -> Column:
+    """Those of the terms that are among the names."""
+    return F.filter(terms, lambda t: t.isin(*names)) if names else F.array().cast("array<string>")
+
+
 def model_of(texts: DataFrame) -> Model:
     """The model for the document frequencies of the templates' terms in a column ``raw``: a few thousand counts reach the driver."""
     vocabulary = sorted({t for _, counts in templates() for t in counts})
-    hits = texts.select(F.explode(F.array_intersect(_terms(F.col("raw")), F.array(*map(F.lit, vocabulary)))).alias("term"))
+    hits = texts.select(F.explode(F.array_distinct(_among(_terms(F.col("raw")), vocabulary))).alias("term"))
     return Model({r["term"]: r["df"] for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}, texts.count())
 
 

@@ -337,6 +337,15 @@ def test_nothing_near_a_template_is_passed_over(spark):
     assert all(abs(r["cosine"] - best[r["block"]]) < 1e-8 for r in found)
 
 
+def test_vocabulary_is_looked_up_and_not_hashed_for_each_text(spark):
+    """An intersection with a literal array puts the whole vocabulary into a set for each text and each line."""
+    model = licences.Model({}, 10)
+    rows = spark.createDataFrame([("the the licensed Licensed zzz",), ("",)], "raw string")
+    plan = rows.select(model.may_match(licences._terms(F.col("raw"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "INSET" in plan.upper()
+    assert licences.model_of(rows).idf["licensed"] < licences.model_of(rows).idf["software"]
+
+
 def test_real_licence_texts(spark):
     read = lambda name: (licences.TEXTS / f"{name}.txt").read_text()
     fill = lambda text: text.replace("<year>", "2021").replace("<copyright holders>", "Ann Example and others")
