@@ -263,9 +263,10 @@ def nearest(embeddings: DataFrame, queries: Column, k: int = 5, vec_id: str = "v
                 cols = list(zip(*out, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    # Each block of queries goes to every shard: an equal join on the shard's number.
-    visits = blocked.select("dim", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    hits = visits.join(index, ["shard", "dim"]).select("block", "data").mapInArrow(search, "query_id long, vec_id long, score double")
+    # Each block of queries meets every shard in a task that reads some of both. Blocks repeated for each shard may not be
+    # joined by a key: Spark takes them for as large as the blocks alone and broadcasts them, and a shuffle writes them all.
+    pairs = index.hint("shuffle_replicate_nl").join(blocked, "dim").select("block", "data")
+    hits = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     merged = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

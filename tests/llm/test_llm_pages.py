@@ -167,6 +167,30 @@ def test_recall_over_several_shards(spark):
     assert np.mean([len({*got[q]} & {*best[q]}) / 5 for q in best]) >= 0.9
 
 
+def test_blocks_and_shards_are_not_broadcast(spark):
+    """One block of 200 queries, 100 KB, meets 12 shards: 1.2 MB as a table of all visits."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 64))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1m")
+    try:
+        got = found(hnsw.nearest(rows, F.col("vec_id") % 6 == 0, shard_rows=100))
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    best = truth(list(range(1200)), x, range(0, 1200, 6))
+    assert got.keys() == best.keys() and np.mean([len({*got[q]} & {*best[q]}) / 5 for q in best]) >= 0.9
+
+
+def test_vectors_meet_those_of_their_length_only(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=(4, 6, 9)[i % 3]).tolist()) for i in range(300)]
+    got = found(hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, shard_rows=20))
+    assert got.keys() == {0, 50, 100, 150, 200, 250}
+    for q, near in got.items():
+        own = [i for i in range(q % 3, 300, 3)]
+        assert near == truth(own, np.array([rows[i][1] for i in own]), [q])[q]
+
+
 def test_copies_and_ties(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(300, 8))
