@@ -137,6 +137,16 @@ class Units:
             out[k] = ending(names[k][-2:], unknown)
         return out
 
+    def __reduce__(self) -> tuple:
+        return _units, (self.__dict__,)
+
+
+def _units(state: dict) -> Units:
+    """The units as they were before pickling, which goes by this name and not by that of the class."""
+    units = Units([], [])
+    units.__dict__.update(state)
+    return units
+
 
 def _sequence(units: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
     """All units of the documents in turn, with an end before the first and after each."""
